@@ -61,3 +61,23 @@ def ranked(df: DataFrame, by: str, order: list[str], out: str, salts: int = 64)
     inner = F.row_number().over(W.partitionBy(by, salt).orderBy(*order)) - F.lit(1)
     placed = df.withColumn("__in", inner).join(counts, F.col(by).eqNullSafe(F.col("__by")) & (F.col(salt) == F.col("__s")))
     return placed.withColumn(out, (F.col("__in") + F.col("__first")).cast("long")).drop(salt, "__in", "__by", "__s", "__first")
+
+
+def add_struct(df: DataFrame, measure, columns: list[str], schema: str, into: str) -> DataFrame:
+    """Adds the struct column ``into``, worked out on whole Arrow batches by ``measure(*arrays) -> StructArray``.
+
+    All other columns pass through; one that is already named ``into`` is replaced. No shuffle.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    df = df.drop(into) if into in df.columns and into not in columns else df
+    out = T.StructType([*df.schema.fields, T.StructField(into, T.StructType.fromDDL(schema))])
+    names = df.columns
+
+    def run(batches):
+        for b in batches:
+            found = measure(*[b.column(names.index(c)) for c in columns])
+            yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*names, into])
+
+    return df.mapInArrow(run, out)
