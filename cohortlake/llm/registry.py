@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL twins."""
 
-from cohortlake.llm import q_chat, q_packing, q_shards, q_warc
+from cohortlake.llm import q_chat, q_decontamination, q_packing, q_shards, q_warc
 
-_QUERIES = [q_chat.op1_chat_formatting, q_packing.op2_best_fit_packing, q_warc.op5_warc, q_shards.op10_sharding]
+_QUERIES = [q_chat.op1_chat_formatting, q_packing.op2_best_fit_packing, q_decontamination.op4_decontamination, q_warc.op5_warc, q_shards.op10_sharding]
 
 
 def queries() -> dict:
@@ -10,4 +10,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return dict(q_chat.SQL)
+    return {**q_chat.SQL, **q_decontamination.SQL}
