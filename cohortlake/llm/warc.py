@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import bucket_of, new_path
+from cohortlake.llm.common import new_path, stored
 
 #: Bytes of payload that one archive file holds in the mean.
 FILE_BYTES = 32 << 20
+#: Digests of repeated payloads that may be sent to every task (about 60 bytes each); more are joined by a shuffle.
+BROADCAST_DIGESTS = 500_000
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _CRLF = "\r\n"
 
@@ -41,7 +43,8 @@ def records(df: DataFrame, key: str = "page_id", url: str = "url", payload: str
     rows = df.select(F.col(key).alias("key"), F.col(url).alias("url"), body.alias("payload"))
     rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
     first = rows.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    rows = rows.join(first, "digest", "left")
+    first = stored(first, "digests")
+    rows = rows.join(F.broadcast(first) if first.count() <= BROADCAST_DIGESTS else first.hint("merge"), "digest", "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("key")), F.col("first"))
     rows = rows.withColumn("refers", refers)
     name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(F.url_encode(c.cast("string")), F.lit("")), F.lit(">"))
@@ -61,12 +64,12 @@ def records(df: DataFrame, key: str = "page_id", url: str = "url", payload: str
 
 
 def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, file_bytes: int = FILE_BYTES) -> None:
-    """Writes archives to the folder ``path``, by Spark's own writer and committer, so to any store that Spark can
-    write to. Pages are dealt by hash into files of ``file_bytes`` in the mean. An empty table gives no record."""
-    total = df.agg(F.sum(F.octet_length(F.col(payload)) + 700)).first()[0] or 0
-    files = int(total // file_bytes) + 1
-    out = records(df, key, url, payload, least).select("record", bucket_of(1 << 30, F.col(key), F.col("digest"), F.col("bytes")).alias("at"))
-    out.repartition(files, "at").select("record").write.option("lineSep", _CRLF * 2).text(path)
+    """Writes gzipped archives to the folder ``path``, by Spark's own writer and committer, so to any store that Spark
+    can write to; each task writes what it reads, in files of ``file_bytes`` before compression in the mean. An empty
+    table gives no record."""
+    mean = df.agg(F.avg(F.coalesce(F.octet_length(F.col(payload)), F.lit(0)))).first()[0] or 0
+    most = max(1, int(file_bytes / (mean + 700)))
+    records(df, key, url, payload, least).select("record").write.option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 _VERSION = re.compile(rb"WARC/\d\.\d\r\n")
@@ -102,42 +105,52 @@ def _record(data: bytes, at: int):
 
 
 def _member(data: bytes, at: int):
-    """The gzip member at ``at``: (content, end), or a reason."""
-    unzip = zlib.decompressobj(31)
+    """The gzip member at ``at``: its content, its end, and None or the reason why it breaks off."""
+    unzip, out, step = zlib.decompressobj(31), [], 1 << 16
     try:
-        out = unzip.decompress(data[at:] if at else data)
+        while not unzip.eof and at < len(data):
+            out.append(unzip.decompress(data[at : at + step]))
+            at += step
     except zlib.error as e:
-        return f"gzip: {e}"
-    return (out, len(data) - len(unzip.unused_data)) if unzip.eof else "gzip: the member has no end"
+        return b"".join(out), at, f"gzip: {e}"
+    at = min(at, len(data)) - len(unzip.unused_data)
+    return b"".join(out), at, None if unzip.eof else "gzip: the member has no end"
 
 
 def salvage(data: bytes):
-    """Yields ("record", offset, length, headers, block) and ("gap", offset, length, reason) over one archive.
+    """Yields ("record", offset, length, headers, block) and ("gap", offset, length, reason, None) over one archive.
 
-    Records may be plain or in gzip members. After a failed check the next place that passes all checks is sought,
-    a version line or a gzip member; the bytes passed over are one gap. Together they cover the archive.
+    Records may be plain or in gzip members, one or many in each. After a failed check the next place that passes all
+    checks is sought, a version line or a gzip member; the bytes passed over are one gap. Plain records and gaps cover
+    the archive. Of a member the records have the member's place; what it holds is searched like an archive of its own,
+    so a damaged record costs only itself, and a member that breaks off gives the records before the break and a gap
+    from there on.
     """
     at, n, bad, why = 0, len(data), None, ""
     while at < n:
+        found = []
         if data.startswith(_GZIP, at):
-            got = _member(data, at)
-            inner = _inner(got[0]) if not isinstance(got, str) else got
-            good = not isinstance(inner, str)
-            end = got[1] if good else at
+            content, end, broken = _member(data, at)
+            found = [x for x in salvage(content) if x[0] == "record"] if broken else list(salvage(content))
+            reason, good = broken or "an empty member", not broken or bool(found)
         else:
             got = _record(data, at)
-            inner, good = ([got[:2]] if not isinstance(got, str) else got), not isinstance(got, str)
-            end = got[2] if good else at
+            good = not isinstance(got, str)
+            reason, end, broken = (got, at, None) if not good else ("", got[2], None)
+            found = [("record", 0, 0, *got[:2])] if good else []
         if good:
             if bad is not None:
                 yield "gap", bad, at - bad, why, None
                 bad = None
-            for headers, block in inner:
-                yield "record", at, end - at, headers, block
-            at = end
-            continue
+            for kind, _, _, a, b in found:
+                yield kind, at, end - at, a, b
+            if broken:
+                bad, why = at, broken
+            else:
+                at = end
+                continue
         if bad is None:
-            bad, why = at, inner
+            bad, why = at, reason
         plain = _VERSION.search(data, at + 1)
         zipped = data.find(_GZIP, at + 1)
         at = min([x for x in (plain.start() if plain else -1, zipped) if x >= 0], default=n)
@@ -145,18 +158,6 @@ def salvage(data: bytes):
         yield "gap", bad, n - bad, why, None
 
 
-def _inner(content: bytes):
-    """All records of a member's content, or a reason."""
-    out, at = [], 0
-    while at < len(content):
-        got = _record(content, at)
-        if isinstance(got, str):
-            return got
-        out.append(got[:2])
-        at = got[2]
-    return out
-
-
 READ = "path string, kind string, offset long, length long, reason string, record_id string, record_type string, refers_to string, target_uri string, payload_digest string, payload_bytes long, payload binary"
 
 
