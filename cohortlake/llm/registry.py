@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL twins."""
 
-from cohortlake.llm import q_chat, q_decontamination, q_jaccard, q_lines, q_packing, q_quality, q_shards, q_toxicity, q_warc
+from cohortlake.llm import q_chat, q_decontamination, q_jaccard, q_lines, q_packing, q_pitman_yor, q_quality, q_shards, q_toxicity, q_warc
 
-_QUERIES = [q_chat.op1_chat_formatting, q_packing.op2_best_fit_packing, q_decontamination.op4_decontamination, q_warc.op5_warc, q_toxicity.op6_toxicity, q_jaccard.op7_ngram_jaccard, q_lines.op8_line_dedup, q_quality.op9_quality_rules, q_shards.op10_sharding]
+_QUERIES = [q_chat.op1_chat_formatting, q_packing.op2_best_fit_packing, q_pitman_yor.op3_lm_scoring, q_decontamination.op4_decontamination, q_warc.op5_warc, q_toxicity.op6_toxicity, q_jaccard.op7_ngram_jaccard, q_lines.op8_line_dedup, q_quality.op9_quality_rules, q_shards.op10_sharding]
 
 
 def queries() -> dict:
