@@ -277,7 +277,7 @@ def induce_cone(samples: DataFrame, by: list[str], p: int, seed: int = 0) -> Dat
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         e = cca_endmembers(_matrix(pdf.sort_values("id")["x"]), p, seed)
-        out = pd.DataFrame({"comp": np.arange(len(e), dtype="int32"), "x": list(e)})
+        out = pd.DataFrame({"comp": np.arange(len(e), dtype="int32"), "x": pd.Series([v.tolist() for v in e], dtype=object)})
         for c in reversed(by):
             out.insert(0, c, pdf[c].iloc[0])
         return out

@@ -32,9 +32,13 @@ def normalize_series(ts, how: str) -> Column:
     n = F.size(x).cast("double")
     mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
     if how == "percent":
-        return F.transform(x, lambda v: (v / mean - 1) * 100)
-    std = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n)
-    return F.transform(x, lambda v: F.when(std == 0, 0.0).otherwise((v - mean) / std))
+        return _with(mean, lambda m: F.transform(x, lambda v: (v / m - 1) * 100))
+    return _with(mean, lambda m: _with(F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / n), lambda s: F.transform(x, lambda v: F.when(s == 0, 0.0).otherwise((v - m) / s))))
+
+
+def _with(value: Column, f) -> Column:
+    """``f(value)`` with the value worked out once a row, not once an element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def band_pass(x: np.ndarray, lb: float, ub: float | None, tr: float, method: str = "fir", order: int = 64, rounds: int = 2) -> np.ndarray:

@@ -88,8 +88,19 @@ def param_grid(lists: list[DataFrame]) -> DataFrame:
 
 def volume_matrix(voxels: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     """One row per volume: its values at all flat indexes (0 where absent)."""
+    import numpy as np
+    import pyarrow as pa
+
     n = shape[0] * shape[1] * shape[2]
     at = ((F.col("i") * shape[1] + F.col("j")) * shape[2] + F.col("k")).alias("at")
-    cells = voxels.select("volume_id", F.struct(at, F.col("value").cast("double").alias("value")).alias("c"))
-    whole = cells.groupBy("volume_id").agg(F.map_from_entries(F.collect_list("c")).alias("m"))
-    return whole.select("volume_id", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: F.coalesce(F.col("m")[x], F.lit(0.0))).alias("row"))
+    whole = voxels.groupBy("volume_id").agg(F.collect_list(F.struct(at, F.col("value").cast("double").alias("value"))).alias("cells"))
+
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                cells = b.column(1)[r].values
+                row = np.zeros(n)
+                row[cells.field("at").to_numpy()] = cells.field("value").to_numpy()
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(r, 1), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(row))], names=["volume_id", "row"])
+
+    return whole.mapInArrow(run, f"volume_id {voxels.schema['volume_id'].dataType.simpleString()}, row array<double>")
