@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from cohortlake.llm.common import stored
 from cohortlake.llm.words import NON_SPACE, chunks, find_words, mix, span_hash
 
+#: Rows and deleted lines (some 60 and 4 bytes each) that may be sent to every task; more are joined by a shuffle.
+BROADCAST_ITEMS = 2_000_000
 #: Words that a run of aligned lines holds at least to be deleted.
 MIN_WORDS = 25
 
@@ -158,6 +160,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     gives an empty result. Other columns stay; one that is named ``into`` is replaced.
     """
     found = stored(find_repeats(docs, key, text, min_words), "repeats").select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.struct("deleted", "owners").alias("__found"))
+    items = found.agg(F.coalesce(F.sum(1 + F.size("__found.deleted")), F.lit(0))).first()[0]
+    found = F.broadcast(found) if items <= BROADCAST_ITEMS else found.hint("merge")
     rows = docs.drop(into).withColumn("__h", F.xxhash64(F.col(text)))
     out = rows.join(found, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__h") == F.col("__t")), "left")
     keep = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("__found.deleted"), i))
