@@ -2,7 +2,8 @@
 
 A token is the first four bytes of a lower-cased word, hashed to one of ``BUCKETS``. Its score is the log-odds of
 turning up in a toxic against a clean training text, under a Dirichlet prior that follows the token's overall share,
-less two and a half standard errors; tokens that are not surely toxic score below 0. In a text all maximal scoring segments are
+less two and a half standard errors and a margin (an odds ratio of e is not yet toxic, however sure it is); all other
+tokens score below 0. In a text all maximal scoring segments are
 found in linear time (after Ruzzo and Tompa). Scores of a text's best segment follow an extreme-value law in clean
 texts: P(best >= s) = 1 - exp(-K n exp(-lambda s)), n the words of the text. lambda comes from the scores of clean
 tokens, K from held-back clean texts; a logistic curve over -log(K n exp(-lambda s)) gives the probability.
@@ -24,7 +25,7 @@ BUCKETS = 1 << 18
 STEM = 4  # bytes of a word that make its token
 #: Labelled rows that a fit uses: up to here all, beyond it an even sample by the hash of the key.
 MAX_LABELLED = 200_000
-PRIOR, ERRORS, DRIFT = 20.0, 2.5, 0.2
+PRIOR, ERRORS, MARGIN, DRIFT = 20.0, 2.5, 1.0, 0.2
 CLIP = (-10.0, 60.0)
 
 
@@ -65,7 +66,7 @@ def token_scores(counts: np.ndarray) -> np.ndarray:
     prior = np.maximum(0.5, PRIOR * share)
     odds = np.log((n1 + prior) / (total[1] + PRIOR)) - np.log((n0 + prior) / (total[0] + PRIOR))
     sure = odds - ERRORS * np.sqrt(1 / (n1 + prior) + 1 / (n0 + prior))
-    return np.where(sure > 0, sure, np.clip(odds, -1.0, -DRIFT))
+    return np.where(sure > MARGIN, sure - MARGIN, np.clip(odds, -1.0, -DRIFT))
 
 
 def segments(position: np.ndarray, total: np.ndarray) -> list[tuple[int, int, float]]:
