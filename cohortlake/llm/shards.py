@@ -3,9 +3,10 @@
 Groups of equal texts cannot be divided. Differencing keeps partial partitions, each with a size for every shard;
 it takes the two of largest spread, adds the largest part of one to the smallest of the other and so on, and puts the
 sum back, until one is left. One run of that needs all items in one place, so it runs in levels: items are dealt into
-blocks of bounded size, each block differences its items into parcels (one for each REDUCE items), the parcels are the
-items of the next level, and when few enough are left one last run deals them into the shards. An item far above the
-mean ends as a parcel almost alone, so the last run still sees it and balances it.
+blocks of bounded size, each block differences its items into parcels, the parcels are the items of the next level,
+and when few enough are left one last run deals them into the shards. An item far above the mean ends as a parcel
+almost alone, so the last run still sees it and balances it; and parcels come in three sizes, each a tenth of the one
+before, so that the last run has small ones to even out the rest.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ from pyspark.sql import functions as F
 
 from cohortlake.llm.common import bucket_of, ranked, stored
 
-#: Items of one differencing run at most (in the mean of the hashed blocks), and items per parcel.
+#: Items of one differencing run at most (in the mean of the hashed blocks), and items per parcel; but a level leaves
+#: half a block of parcels at least.
 BLOCK = 16_384
 REDUCE = 64
+#: Shares of a block's items that go into parcels of each size.
+TIERS = (0.9, 0.09, 0.01)
 
 
 def difference(sizes: np.ndarray, parts: int) -> np.ndarray:
@@ -68,10 +72,21 @@ def difference(sizes: np.ndarray, parts: int) -> np.ndarray:
     return part
 
 
-def _difference_block(parts_of):
+def tiered(sizes: np.ndarray, parts: int) -> np.ndarray:
+    """The parcel of each item: the items are dealt into TIERS by their place, and each tier is differenced by itself."""
+    n, own = len(sizes), max(1, parts // len(TIERS))
+    tier = np.searchsorted(np.cumsum(TIERS)[:-1], (np.arange(n) * 0.6180339887498949) % 1.0, "right")
+    part = np.zeros(n, dtype=np.int64)
+    for t in range(len(TIERS)):
+        at = np.flatnonzero(tier == t)
+        part[at] = difference(sizes[at], min(own, max(1, len(at)))) + t * own
+    return part
+
+
+def _block(split):
     def run(key, table):
         table = table.sort_by([("size", "descending"), ("item", "ascending")])
-        part = difference(table.column("size").to_numpy(), parts_of(table.num_rows))
+        part = split(table.column("size").to_numpy())
         return pa.table({"item": table.column("item"), "size": table.column("size"), "block": table.column("block"), "part": pa.array(part)})
 
     return run
@@ -88,13 +103,14 @@ def deal(items: DataFrame, shards: int, block: int = BLOCK, reduce: int = REDUCE
     while n > block:
         blocks = -(-n // block)
         dealt = items.withColumn("block", bucket_of(blocks, "item").cast("long"))
-        dealt = stored(dealt.groupBy("block").applyInArrow(_difference_block(lambda k: max(1, k // reduce)), _OUT), "level")
+        parts = -(-max(n // reduce, block // 2) // blocks)
+        dealt = stored(dealt.groupBy("block").applyInArrow(_block(lambda sizes, parts=parts: tiered(sizes, parts)), _OUT), "level")
         dealt = dealt.withColumn("parcel", F.concat_ws(":", F.lit(len(levels)), "block", "part"))
         levels.append(dealt.select("item", "parcel"))
         items = stored(dealt.groupBy("parcel").agg(F.sum("size").alias("size")).select(F.col("parcel").alias("item"), "size"), "items")
         n = items.count()
     last = items.withColumn("block", F.lit(0).cast("long"))  # at most `block` items, whatever the input
-    out = last.groupBy("block").applyInArrow(_difference_block(lambda k: shards), _OUT).select("item", F.col("part").cast("int").alias("shard"))
+    out = last.groupBy("block").applyInArrow(_block(lambda sizes: difference(sizes, shards)), _OUT).select("item", F.col("part").cast("int").alias("shard"))
     for level in reversed(levels):
         out = level.join(out.select(F.col("item").alias("parcel"), "shard"), "parcel").select("item", "shard")
     return out

@@ -95,8 +95,9 @@ class Model:
     offset: float
 
     def evidence(self, score, n):
-        """-log of the segments of at least this score that a clean text of n words is expected to have."""
-        return np.clip(self.rate * score - np.log(max(self.scale, 1e-12) * np.maximum(n, 1)), *CLIP)
+        """-log of the segments of at least this score that a clean text of n words is expected to have; lowest at 0."""
+        x = np.clip(self.rate * score - np.log(max(self.scale, 1e-12) * np.maximum(n, 1)), *CLIP)
+        return np.where(np.asarray(score) > 0, x, CLIP[0])
 
     def probability(self, best, n):
         return 1 / (1 + np.exp(-(self.slope * self.evidence(best, n) + self.offset)))
@@ -182,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     sums = held.groupBy("__label").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.greatest("n", F.lit(1)) * F.exp(-rate * F.col("best"))).alias("mass")).collect()
     clean = next(((r["rows"], r["mass"]) for r in sums if r["__label"] == 0), (1, 1.0))
     model = Model(scores, rate, clean[0] / max(clean[1], 1e-9), 0.0, 0.0)
-    bin_ = F.round(F.greatest(F.lit(CLIP[0]), F.least(F.lit(CLIP[1]), rate * F.col("best") - F.log(F.lit(max(model.scale, 1e-12)) * F.greatest("n", F.lit(1))))), 1)
+    evidence = rate * F.col("best") - F.log(F.lit(max(model.scale, 1e-12)) * F.greatest("n", F.lit(1)))
+    bin_ = F.when(F.col("best") > 0, F.round(F.greatest(F.lit(CLIP[0]), F.least(F.lit(CLIP[1]), evidence)), 1)).otherwise(F.lit(CLIP[0]))
     hist = held.groupBy("__label", bin_.alias("x")).count().collect()
     x, y, w = (np.array([float(r[k]) for r in hist]) for k in ("x", "__label", "count"))
     if not len(x) or y.min() == y.max():

@@ -91,9 +91,11 @@ def _record(data: bytes, at: int):
         name, colon, value = line.partition(b":")
         if not colon:
             return "a header line without a colon"
-        headers[name.strip().lower()] = value.strip()
-    if not headers.get(b"content-length", b"").isdigit():
-        return "no content length"
+        if (name := name.strip().lower()) in (b"warc-type", b"warc-record-id", b"content-length") and name in headers:
+            return "a header is given twice"
+        headers[name] = value.strip()
+    if not headers.get(b"content-length", b"").isdigit() or b"warc-type" not in headers or b"warc-record-id" not in headers:
+        return "a mandatory header is missing"
     begin = stop + 4
     end = begin + int(headers[b"content-length"])
     block = data[begin:end]
