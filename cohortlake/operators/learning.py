@@ -1,6 +1,6 @@
 """Supervised experiments on pyspark.ml: sample rows (sample_id, y DOUBLE, features VECTOR, fold)."""
 
-from __future__ import annotations
+
 
 import numpy as np
 from pyspark.ml import Pipeline
@@ -39,20 +39,29 @@ def classifier(name: str, dims: int = 0, classes: int = 2, seed: int = 0):
 
 
 class GaussianClasses:
-    """One Gaussian mixture for each class; the class of the largest prior times likelihood."""
+    """One Gaussian (k = 1, from one pass of moments) or Gaussian mixture for each class; the class of the largest
+    prior times likelihood."""
 
     def __init__(self, k: int = 1, seed: int = 0):
         self.k, self.seed = k, seed
 
-    def fit(self, df: DataFrame) -> GaussianClasses:
+    def fit(self, df: DataFrame):
+        from cohortlake.operators.endmembers import moments
+
         counts = {r["y"]: r["count"] for r in df.groupBy("y").count().collect()}
         total = sum(counts.values())
         self.parts = []
         for y, n in sorted(counts.items()):
-            g = GaussianMixture(k=self.k, seed=self.seed).fit(df.filter(F.col("y") == y).select("features"))
-            for w, d in zip(g.weights, g.gaussians, strict=True):
-                cov = d.cov.toArray() + 1e-6 * np.eye(d.cov.numRows)
-                self.parts.append((y, np.log(n / total * max(w, 1e-300)) - 0.5 * np.linalg.slogdet(cov)[1], d.mean.toArray(), np.linalg.inv(cov)))
+            own = df.filter(F.col("y") == y)
+            if self.k == 1:
+                _, mean, cov = moments(own.select(vector_to_array("features").alias("x")))
+                mix = [(1.0, mean, cov)]
+            else:
+                g = GaussianMixture(k=self.k, seed=self.seed).fit(own.select("features"))
+                mix = [(w, d.mean.toArray(), d.cov.toArray()) for w, d in zip(g.weights, g.gaussians, strict=True)]
+            for w, mean, cov in mix:
+                cov = cov + 1e-6 * np.eye(len(cov))
+                self.parts.append((y, np.log(n / total * max(w, 1e-300)) - 0.5 * np.linalg.slogdet(cov)[1], mean, np.linalg.inv(cov)))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
