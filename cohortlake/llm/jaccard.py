@@ -257,9 +257,14 @@ def bucket_of_column(n: str, *cols: str):
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class: that of the smallest key; of rows with the same key and text, one."""
-    found = similar(docs, key, text, **options).filter(F.col("k").eqNullSafe(F.col("class_id")))
-    best = found.groupBy("class_id", "k").agg(F.min("t").alias("t")).select("k", "t")
-    best = stored(best.select(F.col("k").alias("__k"), F.col("t").alias("__t")), "kept")
+    found = stored(similar(docs, key, text, **options).select("k", "t", "class_id"), "classes")
+    best = found.filter(F.col("k").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("t").alias("best"))
+    best = best.select(F.col("class_id").alias("c"), "best")
+    names = found.groupBy("k", "t", "class_id").agg(F.count(F.lit(1)).alias("n")).join(best, F.col("class_id").eqNullSafe(F.col("c")))
+    stays = F.col("k").eqNullSafe(F.col("class_id")) & (F.col("t") == F.col("best"))
+    marked = stored(names.select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.when(~stays, 0).when(F.col("n") > 1, 1).otherwise(2).alias("__m")).filter("__m < 2"), "marked")
+    marked = F.broadcast(marked) if marked.count() <= BROADCAST_ROWS else marked.hint("merge")
     rows = docs.withColumn("__h", F.xxhash64(F.col(text)))
-    out = rows.join(best, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__h") == F.col("__t"))).drop("__k", "__t")
-    return out.dropDuplicates([key, "__h"]).drop("__h")
+    rows = rows.join(marked, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__h") == F.col("__t")), "left").filter("__m is null or __m = 1")
+    alone, again = rows.filter("__m is null"), rows.filter("__m = 1").dropDuplicates(["__k", "__t"])
+    return alone.unionByName(again).drop("__h", "__k", "__t", "__m")
