@@ -50,9 +50,16 @@ def q_summary(spark, sf):
     return E.summary_table(_metrics(spark, sf))
 
 
-@query("fold_significance")
+_LOG = "lgamma(r + 1) - lgamma({0} + 1) - lgamma(r - {0} + 1) + lgamma(n - r + 1) - lgamma(s - {0} + 1) - lgamma(n - r - s + {0} + 1) - lgamma(n + 1) + lgamma(s + 1) + lgamma(n - s + 1)"
+
+
+@query("fold_significance", f"""WITH {D.PRED}, {_CM}, t AS (SELECT *, tp + fp AS r, tp + fn AS s, tp + fp + fn + tn AS n FROM cm),
+ x AS (SELECT *, unnest(range(greatest(0, r + s - n)::BIGINT, least(r, s)::BIGINT + 1))::DOUBLE AS v FROM t),
+ p AS (SELECT config_id, fold, least(1, sum(exp({_LOG.format('v')})) FILTER ({_LOG.format('v')} <= {_LOG.format('tp')} + 1e-7)) AS p FROM x GROUP BY 1, 2),
+ o AS (SELECT config_id, CASE WHEN sum(fp) * sum(fn) > 0 THEN sum(tp) * sum(tn) / (sum(fp) * sum(fn)) END AS odds_ratio FROM cm GROUP BY 1)
+SELECT config_id, round(avg(p), 6) + 0.0 AS p, round(any_value(odds_ratio), 6) + 0.0 AS odds_ratio FROM p JOIN o USING (config_id) GROUP BY 1""")
 def q_fisher(spark, sf):
-    return E.fold_significance(D.predictions(spark, sf))
+    return _round(E.fold_significance(D.predictions(spark, sf)), ["p", "odds_ratio"])
 
 
 @query("localization_votes", f"WITH {D.SEL}, n AS (SELECT config_id, count(DISTINCT fold) AS n FROM sel GROUP BY 1) SELECT config_id, feature_id, round(count(DISTINCT fold) / any_value(n), 6) + 0.0 AS vote FROM sel JOIN n USING (config_id) WHERE weight > 0 GROUP BY 1, 2")
