@@ -25,10 +25,10 @@ def classifier(name: str, dims: int = 0, classes: int = 2, seed: int = 0):
         e = RandomForestClassifier(seed=seed, **common)
         return e, ParamGridBuilder().addGrid(e.numTrees, [10, 30]).addGrid(e.maxDepth, [5]).build()
     if name == "linsvm":
-        e = LinearSVC(weightCol="weight", maxIter=50, **common)
+        e = LinearSVC(weightCol="weight", maxIter=20, **common)
         return e, ParamGridBuilder().addGrid(e.regParam, [0.01, 0.1]).build()
     if name == "sgd":
-        e = LogisticRegression(maxIter=50, elasticNetParam=0.5, **common)
+        e = LogisticRegression(maxIter=20, elasticNetParam=0.5, **common)
         return e, ParamGridBuilder().addGrid(e.regParam, [0.001, 0.01, 0.1]).build()
     if name == "percep":
         e = MultilayerPerceptronClassifier(layers=[dims, classes], seed=seed, **common)
@@ -105,7 +105,7 @@ def rfe(df: DataFrame, k: int, features: str = "features", out: str = "selected"
     keep = list(range(len(df.select(features).first()[0])))
     while len(keep) > k:
         cut = VectorSlicer(inputCol=features, outputCol="__part", indices=keep).transform(df)
-        w = LinearSVC(labelCol="y", featuresCol="__part", maxIter=20, regParam=0.1).fit(cut).coefficients.toArray() ** 2
+        w = LinearSVC(labelCol="y", featuresCol="__part", maxIter=5, regParam=0.1).fit(cut).coefficients.toArray() ** 2
         drop = min(len(keep) - k, max(1, int(step * len(keep))))
         gone = set(np.argsort(w, kind="stable")[:drop].tolist())
         keep = [f for i, f in enumerate(keep) if i not in gone]
@@ -158,6 +158,7 @@ def cross_validate(features: DataFrame, labels: DataFrame, name: str, presel=Non
     The grid is searched on the first inner fold.
     """
     out = None
+    parts = max(1, int(labels.count() // 1000))  # solvers make many short passes: few rows do with few tasks
     for fold in sorted(r["fold"] for r in labels.select("fold").distinct().collect()):
         train = labels.filter(F.col("fold") != fold)
         f = features
@@ -166,7 +167,7 @@ def cross_validate(features: DataFrame, labels: DataFrame, name: str, presel=Non
         if presel is not None:
             chosen = presel(f.join(train.select("sample_id"), "sample_id", "left_semi"), train.select("sample_id", "y")).filter("measure > 0").select("feature_id")
             f = f.join(chosen, "feature_id", "left_semi")
-        rows = to_vectors(f, labels).join(labels.select("sample_id", "fold"), "sample_id").withColumn("weight", F.lit(1.0)).persist()
+        rows = to_vectors(f, labels).join(labels.select("sample_id", "fold"), "sample_id").withColumn("weight", F.lit(1.0)).coalesce(parts).persist()
         own, test = rows.filter(F.col("fold") != fold), rows.filter(F.col("fold") == fold)
         n = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
         total = sum(n.values())

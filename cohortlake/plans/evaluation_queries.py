@@ -107,5 +107,5 @@ def q_cv(spark, sf):
 
 @query("run_experiments")
 def q_run(spark, sf):
-    configs = spark.createDataFrame([("svm_p", "linsvm", "pearson", 50.0)], "config_id string, cl string, prefs string, prefs_thr double")
+    configs = spark.createDataFrame([("cart_p", "cart", "pearson", 50.0)], "config_id string, cl string, prefs string, prefs_thr double")
     return L.run_experiments(D.features(spark, sf), _labelled(spark, sf, 2), configs)
