@@ -36,6 +36,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """``df`` as a table of its own, for broadcast if it has at most ``rows`` rows, else for a sort-merge join.
+
+    A table of its own, so that in the second case the other side is dealt anew and Spark can split its hot keys.
+    """
+    df = stored(df, name)
+    return F.broadcast(df) if df.count() <= rows else df.hint("merge")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import stored
+from cohortlake.llm.common import sent, stored
+
+#: Smallest neighbours (some 30 bytes each) that may be sent to every task.
+BROADCAST_ROWS = 500_000
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -17,7 +20,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``edges`` (u, v; long) to (id, component): the smallest id that can be reached. Ids without an edge have no row.
 
     Each round is two joins on ids and writes its edges to the shared folder; rounds grow with the logarithm of the
-    longest path. A hub's rows are split by Spark's skew join.
+    longest path. The smallest neighbours of all ids are a table of their own: few are sent to the edges, many are
+    joined by a shuffle in which Spark splits a hub's edges.
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     edges = stored(edges, "edges")
@@ -25,9 +29,10 @@ def components(edges: DataFrame) -> DataFrame:
     while (now := _mark(edges)) != before:
         before = now
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        low = sent(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "low", BROADCAST_ROWS)
         large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large, "large")
+        low = sent(large.groupBy("u").agg(F.min("v").alias("m")), "low", BROADCAST_ROWS)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         edges = stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import bucket_of, stored
+from cohortlake.llm.common import bucket_of, sent, stored
 from cohortlake.llm.components import components
 from cohortlake.llm.words import LETTERS, LOWER, Words, chunks, find_words, grams, mix
 
@@ -213,6 +213,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     sets = stored(sets.select("s", F.col("first.k").alias("k"), F.col("first.t").alias("t"), "n", "nodes"), "sets")
     below = sets.filter("n > 0").select("s", F.explode("nodes").alias("node"))
     tops = below.groupBy("node").agg(F.min("s").alias("top"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("node", "top")
+    tops = sent(tops, "tops", BROADCAST_ROWS)
     meet = components(below.join(tops, "node").filter("s <> top").select(F.col("s").alias("u"), F.col("top").alias("v")))
     near = sets.select("s", "k", "t", "n").join(meet.select(F.col("id").alias("s"), "component"), "s")
     weight = near.groupBy("component").agg(F.sum("n").alias("w")).select("component", F.ceil(F.col("w") / block).cast("int").alias("blocks"))
