@@ -1 +1 @@
-
+"""No streaming operators: the data model has no event time."""
