@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import stored
+from cohortlake.llm.common import sent, stored
 from cohortlake.llm.words import NON_SPACE, chunks, find_words, mix, span_hash
 
 #: Rows and deleted lines (some 60 and 4 bytes each) that may be sent to every task; more are joined by a shuffle.
 BROADCAST_ITEMS = 2_000_000
+#: Lines with an owner (some 60 bytes each) that may be sent to every task.
+BROADCAST_ROWS = 1_000_000
 #: Words that a run of aligned lines holds at least to be deleted.
 MIN_WORDS = 25
 
@@ -136,6 +138,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
     lines = stored(line_rows(docs, key, text).dropDuplicates(["k", "t", "line"]), "lines")
     who = F.struct(F.col("k").isNull().alias("late"), "k", "t", "place", "single")
     owner = lines.groupBy("h1", "h2", "occ").agg(F.min(who).alias("o"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "occ", F.col("o.k").alias("ok"), F.col("o.t").alias("ot"), F.col("o.place").alias("oplace"), F.col("o.single").alias("osingle"))
+    owner = sent(owner, "owners", BROADCAST_ROWS)
     shared = lines.join(owner, ["h1", "h2", "occ"]).filter(~(F.col("k").eqNullSafe(F.col("ok")) & (F.col("t") == F.col("ot"))))
     item = F.struct("place", "line", "words", "ok", "ot", "oplace", (F.col("single") & F.col("osingle")).alias("single"))
     one = shared.groupBy("k", "t").agg(F.collect_list(item).alias("rows"), F.sum("words").alias("w")).filter(F.col("w") >= min_words).select("k", "t", "rows")
