@@ -1,6 +1,7 @@
 """Toxic passages as maximum-scoring segments of token log-odds, with extreme-value calibration.
 
-A token is the first four bytes of a lower-cased word, hashed to one of ``BUCKETS``. Its score is the log-odds of
+A token is a whole lower-cased word, hashed to one of ``BUCKETS``; in scripts without spaces each character is a word,
+and its token is a gram of it and the next ones. Its score is the log-odds of
 turning up in a toxic against a clean training text, under a Dirichlet prior that follows the token's overall share,
 less two and a half standard errors and a margin (an odds ratio of e is not yet toxic, however sure it is); all other
 tokens score below 0. In a text all maximal scoring segments are
@@ -19,10 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.llm.common import add_struct
-from cohortlake.llm.words import LETTERS, LOWER, chunks, find_words, span_hash
+from cohortlake.llm.words import LETTERS, LOWER, chunks, find_words, split_unspaced
 
 BUCKETS = 1 << 18
-STEM = 4  # bytes of a word that make its token
 #: Labelled rows that a fit uses: up to here all, beyond it an even sample by the hash of the key.
 MAX_LABELLED = 200_000
 PRIOR, ERRORS, MARGIN, DRIFT = 20.0, 2.5, 1.0, 0.2
@@ -32,9 +32,8 @@ CLIP = (-10.0, 60.0)
 def tokens(column: pa.Array):
     """For each chunk: its first row, the words and the token of each word."""
     for a, b in chunks(column):
-        words = find_words(column.slice(a, b - a), LETTERS, LOWER)
-        h = span_hash(words.data, words.start, np.minimum(words.end, words.start + STEM))
-        yield a, words, (h & np.uint64(BUCKETS - 1)).astype(np.int64)
+        words = split_unspaced(find_words(column.slice(a, b - a), LETTERS, LOWER))
+        yield a, words, (words.hash & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def token_counts(labelled: DataFrame, text: str, label: str) -> np.ndarray:

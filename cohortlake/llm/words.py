@@ -120,6 +120,47 @@ def find_words(column: pa.Array, table: np.ndarray, fold: np.ndarray = SAME) ->
     return Words(data, borders, start, end, text, span_hash(data, start, end))
 
 
+#: Code points of scripts written without spaces, and how many characters a gram of each has: Thai and Lao, Myanmar,
+#: Khmer, kana, Han (with its compatibility forms, and the planes 2 and 3).
+UNSPACED = ((0xE00, 0xF00, 4), (0x1000, 0x10A0, 4), (0x1780, 0x1800, 4), (0x3040, 0x3100, 2), (0x31F0, 0x3200, 2), (0x3400, 0x4DC0, 2), (0x4E00, 0xA000, 2), (0xF900, 0xFB00, 2), (0x20000, 0x40000, 2))
+
+
+def unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, bytes and gram length of each character of an unspaced script."""
+    at = np.flatnonzero(data >= 0xE0)
+    size = np.where(data[at] >= 0xF0, 4, 3)
+    tail = lambda i: data[np.minimum(at + i, len(data) - 1)].astype(np.int64) & 63
+    three = (data[at].astype(np.int64) & 15) << 12 | tail(1) << 6 | tail(2)
+    code = np.where(size == 3, three, (data[at].astype(np.int64) & 7) << 18 | tail(1) << 12 | tail(2) << 6 | tail(3))
+    k = np.zeros(len(at), np.int64)
+    for low, high, n in UNSPACED:
+        k[(code >= low) & (code < high)] = n
+    return at[k > 0], size[k > 0], k[k > 0]
+
+
+def split_unspaced(words: Words) -> Words:
+    """Words with each character of an unspaced script as a word of its own, hashed with those after it as a gram.
+
+    A gram ends early where such characters end; what stands between them in a word is a word. Other words stay.
+    """
+    at, size, k = unspaced(words.data)
+    if not len(at):
+        return words
+    after = np.searchsorted(words.start, at + size, "right") - 1
+    inner = (at + size)[at + size < words.end[after]]
+    start = np.unique(np.concatenate([words.start, at, inner]))
+    word = np.searchsorted(words.start, start, "right") - 1
+    end = np.minimum(words.end[word], np.append(start[1:], len(words.data)))
+    n = np.ones(len(start), np.int64)
+    n[np.searchsorted(start, at)] = k
+    gram = np.zeros(len(start), bool)
+    gram[np.searchsorted(start, at)] = True
+    stop = np.append(~gram[1:] | (word[1:] != word[:-1]), True)  # nothing joins on to the right
+    last = np.flatnonzero(stop)[np.searchsorted(np.flatnonzero(stop), np.arange(len(start)))]
+    end = np.where(gram, end[np.minimum(np.arange(len(start)) + n - 1, last)], end)
+    return Words(words.data, words.borders, start, end, words.text[word], span_hash(words.data, start, end))
+
+
 def grams(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of ``k`` words inside one text, and the number of each run's first word."""
     n = len(words.hash) - k + 1

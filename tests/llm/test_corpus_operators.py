@@ -331,6 +331,23 @@ def test_toxicity_learns(spark):
     assert none == df.count()
 
 
+@pytest.mark.parametrize("gap,clean,toxic", [(" ", [f"прив{i}" for i in range(300)], ["привхам", "привгад", "привзло"]), ("", [chr(0x4E00 + i) for i in range(300)], ["鹿馬鹿", "馬鹿鹿", "鹿鹿馬"])])
+def test_toxicity_tokens_are_whole(spark, gap, clean, toxic):
+    """Toxic words that start as clean ones do, and words of a script without spaces, are told apart."""
+    rng = random.Random(12)
+    texts = []
+    for i in range(600):
+        w = [rng.choice(clean) for _ in range(rng.choice([20, 100, 400]))]
+        if i % 6 == 0:
+            at = rng.randrange(len(w))
+            w[at:at] = [rng.choice(toxic) for _ in range(4)]
+        texts.append((i, gap.join(w)))
+    lab = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(450)], "doc_id long, toxic int")
+    df = docs(spark, texts)
+    out = {r["doc_id"]: r["toxicity"]["score"] for r in toxicity.score(df, toxicity.fit(df, lab)).collect()}
+    assert all((out[i] >= 0.5) == (i % 6 == 0) for i in range(450, 600))
+
+
 # Jaccard join
 
 

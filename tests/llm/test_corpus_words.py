@@ -43,3 +43,10 @@ def test_chunks_cover_all_rows():
     col = pa.array(["a" * 10, None, "", "b" * 100, "c"])
     assert list(W.chunks(col, 20)) == [(0, 3), (3, 4), (4, 5)] or [r for r in W.chunks(col, 20)][-1][1] == 5
     assert np.concatenate([np.arange(a, b) for a, b in W.chunks(col, 20)]).tolist() == [0, 1, 2, 3, 4]
+
+
+def test_split_unspaced():
+    w = W.split_unspaced(W.find_words(pa.array(["ab 猫犬x鳥 é", "", None, "犬", "ไทยนะ z"]), W.LETTERS, W.LOWER))
+    got = [(int(t), w.word(i).decode()) for i, t in enumerate(w.text)]
+    assert got == [(0, "ab"), (0, "猫犬"), (0, "犬"), (0, "x"), (0, "鳥"), (0, "é"), (3, "犬"), (4, "ไทยน"), (4, "ทยนะ"), (4, "ยนะ"), (4, "นะ"), (4, "ะ"), (4, "z")]
+    assert w.hash[2] == w.hash[6] and w.hash[0] == W.find_words(pa.array(["ab"]), W.LETTERS).hash[0]
