@@ -3,8 +3,10 @@
 Documents that hold the same line are linked: each to the earliest document with that line, its owner, so a line in
 any number of documents makes one link for each and never all pairs. For each linked pair the shared lines are aligned
 as patience diff does: lines that are single in both documents are the anchors, their longest run in rising order on
-both sides is kept, and between two anchors the other shared lines are aligned likewise. Runs of aligned lines that
-hold enough words are deleted from the later document.
+both sides is kept, and between two anchors the other shared lines are aligned likewise. Runs of lines that are just
+long enough are keys with an owner of their own, so a passage is found wherever any earlier document holds it in one
+piece, however often and early its lines stand elsewhere. What is aligned with one owner and holds enough words is
+deleted from the later document, with the aligned lines that adjoin it.
 """
 
 from __future__ import annotations
@@ -27,9 +29,27 @@ BROADCAST_ROWS = 1_000_000
 MIN_WORDS = 25
 
 
-def line_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per line with a word: document (k, t), line number, number among such lines, words, hash (h1, h2),
-    which occurrence of the line in its document it is, and whether it is the only one."""
+#: Pairs of equal lines of two documents that are aligned in all; beyond that those of one line are paired by occurrence.
+MAX_MATCHES = 1_000_000
+
+
+def windows(words: np.ndarray, row: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First line and end of the shortest runs of two and more lines of one text with ``min_words`` words, from each
+    line on and up to each line: together they cover every line of every longer run."""
+    total, n = np.concatenate([[0], np.cumsum(words)]), len(words)
+    first, end = np.searchsorted(row, row), np.searchsorted(row, row, "right")
+    at = np.arange(n)
+    to = np.searchsorted(total, total[:-1] + min_words)
+    since = np.searchsorted(total, total[1:] - min_words, "right") - 1
+    on, up = to <= end, since >= first
+    pair = np.unique(np.concatenate([at[on] * (n + 1) + to[on], since[up] * (n + 1) + at[up] + 1]))
+    a, b = pair // (n + 1), pair % (n + 1)
+    return a[b - a > 1], b[b - a > 1]
+
+
+def line_rows(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
+    """A row per document (k, t) and line with a word: hash (h1, h2), words, its places among such lines and its line
+    numbers; and with ``run`` a row per run of ``windows``, with the places and numbers of its lines."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -54,21 +74,25 @@ def line_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
                 own = mix(h1 + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 order = np.lexsort((number, own))
                 s = own[order]
-                fresh = np.concatenate([[True], s[1:] != s[:-1]])
-                begin = np.flatnonzero(fresh)
-                group = np.cumsum(fresh) - 1
-                occ, n = np.zeros(len(s), np.int64), np.diff(np.append(begin, len(s)))
-                occ[order] = np.arange(len(s)) - begin[group]
-                single = np.zeros(len(s), bool)
-                single[order] = n[group] == 1
+                begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
                 place = np.arange(len(row)) - np.searchsorted(row, row)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), *[pa.array(x.astype(np.int32)) for x in (number, place, last - first)], pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(occ.astype(np.int32)), pa.array(single)],
-                    names=["k", "t", "line", "place", "words", "h1", "h2", "occ", "single"],
-                )
+                n, one = last - first, order[begin]
+                yield batch_of(part, row[one], h1[one], h2[one], n[one], np.append(begin, len(s)), place[order], number[order], False)
+                a, b = windows(n, row, min_words)
+                off = np.concatenate([[0], np.cumsum(b - a)])
+                lines = np.arange(off[-1]) + np.repeat(a - off[:-1], b - a)
+                total = np.concatenate([[0], np.cumsum(n)])
+                yield batch_of(part, row[a], span_hash(h1, a, b), span_hash(h2, a, b), total[b] - total[a], off, place[lines], number[lines], True)
+
+    def batch_of(part, row, h1, h2, n, off, places, numbers, is_run):
+        lists = [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (places, numbers)]
+        return pa.RecordBatch.from_arrays(
+            [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(n.astype(np.int32)), *lists, pa.array(np.full(len(row), is_run))],
+            names=["k", "t", "h1", "h2", "words", "places", "lines", "run"],
+        )
 
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x")).filter("x is not null")
-    return rows.mapInArrow(run, f"k {kind}, t long, line int, place int, words int, h1 long, h2 long, occ int, single boolean")
+    return rows.mapInArrow(run, f"k {kind}, t long, h1 long, h2 long, words int, places array<int>, lines array<int>, run boolean")
 
 
 def rising(values: list[int]) -> list[int]:
@@ -93,7 +117,7 @@ def rising(values: list[int]) -> list[int]:
 
 def aligned(matches: list[tuple[int, int, bool]]) -> list[int]:
     """Places in the later document that align; ``matches``: (place, place in the owner, single in both), any order."""
-    matches = sorted(matches)
+    matches = sorted(matches, key=lambda m: (m[0], -m[1]))  # falling, so that a place is taken once
     anchors = [m for m in matches if m[2]]
     kept = [anchors[i] for i in rising([m[1] for m in anchors])]
     out, rest, at = [m[0] for m in kept], [m for m in matches if not m[2]], 0
@@ -107,25 +131,50 @@ def aligned(matches: list[tuple[int, int, bool]]) -> list[int]:
     return sorted(out)
 
 
+def matches(own: list[dict]) -> list[tuple[int, int, bool]]:
+    """(place, place in the owner, single in both) of the lines shared with one owner."""
+    out, left = [], MAX_MATCHES
+    for r in sorted(own, key=lambda r: len(r["places"]) * len(r["oplaces"])):
+        p, o = r["places"], r["oplaces"]
+        left -= len(p) * len(o)
+        pairs = [(x, y) for x in p for y in o] if left >= 0 else list(zip(p, o, strict=False))
+        out += [(x, y, len(p) == len(o) == 1) for x, y in pairs]
+    return out
+
+
+def runs(places: list[int]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for p in places:
+        if out and p == out[-1][-1] + 1:
+            out[-1].append(p)
+        else:
+            out.append([p])
+    return out
+
+
 def deletions(rows: list[dict], min_words: int) -> tuple[list[int], list[int]]:
-    """Line numbers to delete, and the numbers (in ``rows``' owners) used. ``rows``: one document's shared lines."""
+    """Line numbers to delete, and the keys of the owners used. ``rows``: one document's shared lines and runs."""
     by_owner: dict[tuple, list[dict]] = {}
+    line: dict[int, int] = {}
+    used: dict[int, set] = {}
+    sure: set[int] = set()
     for r in rows:
-        by_owner.setdefault((r["ok"], r["ot"]), []).append(r)
-    hit: dict[int, dict] = {}
-    for own in by_owner.values():
-        of = {r["place"]: r for r in own}
-        for p in aligned([(r["place"], r["oplace"], r["single"]) for r in own]):
-            hit[p] = of[p]
-    out, owners, run = [], set(), []
-    for p in [*sorted(hit), None]:
-        if run and (p is None or p != run[-1] + 1):
-            if sum(hit[q]["words"] for q in run) >= min_words:
-                out += [hit[q]["line"] for q in run]
-                owners |= {hit[q]["ok"] for q in run}
-            run = []
-        run.append(p)
-    return out, sorted(owners, key=lambda x: (x is None, x))
+        line.update(zip(r["places"], r["lines"], strict=True))
+        if r["run"] or r["words"] >= min_words:
+            sure.update(r["places"])
+            for p in r["places"]:
+                used.setdefault(p, set()).add(r["ok"])
+        if not r["run"]:
+            by_owner.setdefault((r["ok"], r["ot"]), []).append(r)
+    for (ok, _), own in by_owner.items():
+        words = {p: r["words"] for r in own for p in r["places"]}
+        for run in runs(aligned(matches(own))):
+            for p in run:
+                used.setdefault(p, set()).add(ok)
+            if sum(words[p] for p in run) >= min_words:
+                sure.update(run)
+    gone = [p for run in runs(sorted(used)) if not sure.isdisjoint(run) for p in run]
+    return [line[p] for p in gone], sorted(set().union(*[used[p] for p in gone]), key=lambda x: (x is None, x))
 
 
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -135,13 +184,13 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
     last, then by the text's hash.
     """
     kind = docs.schema[key].dataType.simpleString()
-    lines = stored(line_rows(docs, key, text).dropDuplicates(["k", "t", "line"]), "lines")
-    who = F.struct(F.col("k").isNull().alias("late"), "k", "t", "place", "single")
-    owner = lines.groupBy("h1", "h2", "occ").agg(F.min(who).alias("o"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "occ", F.col("o.k").alias("ok"), F.col("o.t").alias("ot"), F.col("o.place").alias("oplace"), F.col("o.single").alias("osingle"))
+    lines = stored(line_rows(docs, key, text, min_words), "lines")
+    who = F.struct(F.col("k").isNull().alias("late"), "k", "t", F.when(~F.col("run"), F.col("places")).alias("places"))
+    owner = lines.groupBy("h1", "h2", "run").agg(F.min(who).alias("o"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "run", F.col("o.k").alias("ok"), F.col("o.t").alias("ot"), F.col("o.places").alias("oplaces"))
     owner = sent(owner, "owners", BROADCAST_ROWS)
-    shared = lines.join(owner, ["h1", "h2", "occ"]).filter(~(F.col("k").eqNullSafe(F.col("ok")) & (F.col("t") == F.col("ot"))))
-    item = F.struct("place", "line", "words", "ok", "ot", "oplace", (F.col("single") & F.col("osingle")).alias("single"))
-    one = shared.groupBy("k", "t").agg(F.collect_list(item).alias("rows"), F.sum("words").alias("w")).filter(F.col("w") >= min_words).select("k", "t", "rows")
+    shared = lines.join(owner, ["h1", "h2", "run"]).filter(~(F.col("k").eqNullSafe(F.col("ok")) & (F.col("t") == F.col("ot"))))
+    item = F.struct("places", "lines", "words", "run", "ok", "ot", "oplaces")
+    one = shared.groupBy("k", "t").agg(F.collect_set(item).alias("rows"), F.sum(F.col("words") * F.size("places")).alias("w")).filter(F.col("w") >= min_words).select("k", "t", "rows")
 
     def run(batches):
         for b in batches:
@@ -157,7 +206,9 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, into: str = "repeats") -> DataFrame:
     """``docs`` with the repeated runs of lines cut from ``text``, and the struct ``into``: ``deleted``, ``owners``.
 
-    Of documents with a common run of lines (of ``min_words`` words in all) the earliest keeps it. A text that is
+    Of documents with a common run of lines (of ``min_words`` words in all) the earliest keeps it. Every run that an
+    earlier document holds in one piece is found; one with other lines between in the earlier document is found where
+    that document is the first to hold enough of its lines. A text that is
     repeated whole becomes empty. Null and empty texts stay as they are; lines without a word are never deleted and do
     not part a run. Rows with equal key and text are one document, so all of them are treated alike. An empty table
     gives an empty result. Other columns stay; one that is named ``into`` is replaced.

@@ -452,6 +452,29 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_line_dedup_finds_every_passage(spark):
+    rng = random.Random(13)
+    line = lambda n: prose(rng, n, 10**6)
+    a, b, c, d, x, y, z = (line(12) for _ in range(7))
+    x1, x2, e1, e2, q = (line(15) for _ in range(5))
+    f = [line(8) for _ in range(5)]
+    texts = [
+        (1, [a, b, c, d]), (2, [b, x, a, b, c, d]), (3, [a, b, c, d, y, a, b, c, d]),  # a line also stands before; two copies
+        (4, [x2, q, x1]), (5, [x1, x2]), (6, [z, x1, x2]),  # both lines are first in another document
+        (7, [e1, line(9)]), (8, [e2, line(9)]), (9, [e1, e2]),  # no one document holds both
+        (10, f[:2]), (11, f[1:3]), (12, f[2:4]), (13, f[3:]), (14, f), (15, [line(5), *f]),  # each pair has another owner
+        (16, [c, line(3), a, line(3), b]), (17, [line(4)] * 2000), (18, [line(2), *[line(4)] * 2000]),
+    ]
+    out = {r["doc_id"]: r["repeats"]["deleted"] if r["repeats"] else [] for r in lines.dedup_lines(docs(spark, [(i, "\n".join(t)) for i, t in texts])).collect()}
+    assert {i: v for i, v in out.items() if v} == {2: [2, 3, 4, 5], 3: [0, 1, 2, 3, 5, 6, 7, 8], 6: [1, 2], 15: [1, 2, 3, 4, 5]}
+
+
+def test_alignment_chooses_the_occurrence():
+    row = lambda places, oplaces: {"places": places, "lines": places, "words": 12, "run": False, "ok": 1, "ot": 1, "oplaces": oplaces}
+    # the owner has other lines between a, b and c; the later document has one more b before them
+    assert lines.deletions([row([2], [0]), row([0, 3], [2]), row([4], [4])], 25) == ([2, 3, 4], [1])
+
+
 def test_line_order_matters():
     # b a is not aligned with a b: only one of the two lines can be
     assert len(lines.aligned([(0, 1, True), (1, 0, True)])) == 1
