@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -19,17 +20,21 @@ FILE_BYTES = 32 << 20
 BROADCAST_DIGESTS = 500_000
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _CRLF = "\r\n"
+#: A gzip member without content.
+_EMPTY = gzip.compress(b"", mtime=0)
 
 
 def base32_sha1(data: Column) -> Column:
     """Bare upper-case base32 of the SHA-1: 40 hex digits are 8 numbers of 20 bits, each 4 letters."""
-    hex_ = F.sha1(data)
 
-    def four(i: Column) -> Column:
-        v = F.conv(F.substring(hex_, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.concat(*[F.substring(F.lit(_B32), F.shiftright(v, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)])
+    def letters(hex_: Column) -> Column:
+        def four(i: Column) -> Column:
+            v = F.conv(F.substring(hex_, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
+            return F.concat(*[F.substring(F.lit(_B32), F.shiftright(v, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)])
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), four), "")
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), four), "")
+
+    return F.transform(F.array(F.sha1(data)), letters)[0]  # a lambda's variable, so that the digest is made once
 
 
 def records(df: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
@@ -63,13 +68,32 @@ def records(df: DataFrame, key: str = "page_id", url: str = "url", payload: str
     return rows.select(F.col("key").alias(key), "digest", "bytes", F.col("refers"), F.concat(head, block).alias("record"))
 
 
+def _gzipped(batches):
+    """Each record with its end as a gzip member of its own, less the member's last byte: the top byte of the size, 0.
+
+    That byte is the line's end that Spark's text writer adds. An empty member follows records of 16 MB and more, so
+    that theirs ends in 0 too.
+    """
+    for b in batches:
+        out = []
+        for r in b.column(0):
+            data = r.as_py().encode() + b"\r\n\r\n"
+            zip_ = zlib.compressobj(6, zlib.DEFLATED, 31)
+            member = zip_.compress(data) + zip_.flush()
+            if member[-1]:
+                member += _EMPTY
+            out.append(member[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+
 def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, file_bytes: int = FILE_BYTES) -> None:
-    """Writes gzipped archives to the folder ``path``, by Spark's own writer and committer, so to any store that Spark
+    """Writes archives of one gzip member per record to the folder ``path``, by Spark's own writer and committer, so to any store that Spark
     can write to; each task writes what it reads, in files of ``file_bytes`` before compression in the mean. An empty
     table gives no record."""
     mean = df.agg(F.avg(F.coalesce(F.octet_length(F.col(payload)), F.lit(0)))).first()[0] or 0
     most = max(1, int(file_bytes / (mean + 700)))
-    records(df, key, url, payload, least).select("record").write.option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+    members = records(df, key, url, payload, least).select("record").mapInArrow(_gzipped, "value binary")
+    members.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", most).text(path)
 
 
 _VERSION = re.compile(rb"WARC/\d\.\d\r\n")
@@ -107,14 +131,21 @@ def _record(data: bytes, at: int):
 
 
 def _member(data: bytes, at: int):
-    """The gzip member at ``at``: its content, its end, and None or the reason why it breaks off."""
-    unzip, out, step = zlib.decompressobj(31), [], 1 << 16
-    try:
-        while not unzip.eof and at < len(data):
+    """The gzip member at ``at``: its content, its end, and None or the reason why it breaks off.
+
+    Where a step fails it is repeated from the state before in ever smaller ones, so what comes before the damaged
+    byte is kept.
+    """
+    unzip, out, step, why = zlib.decompressobj(31), [], 1 << 16, None
+    while step and not unzip.eof and at < len(data):
+        before = unzip.copy()
+        try:
             out.append(unzip.decompress(data[at : at + step]))
             at += step
-    except zlib.error as e:
-        return b"".join(out), at, f"gzip: {e}"
+        except zlib.error as e:
+            unzip, step, why = before, step // 2, f"gzip: {e}"
+    if why and not unzip.eof:
+        return b"".join(out), min(at, len(data)), why
     at = min(at, len(data)) - len(unzip.unused_data)
     return b"".join(out), at, None if unzip.eof else "gzip: the member has no end"
 

@@ -282,6 +282,29 @@ def test_salvage_one_member(spark, tmp_path):
     assert sum(x[0] == "record" for x in found) >= 12 and found[-1][0] == "gap"
 
 
+def test_salvage_damage_inside_one_member(spark, tmp_path):
+    import gzip
+
+    data = archive(spark, tmp_path, [(i, "http://x", prose(random.Random(i), 300)) for i in range(40)])
+    z = gzip.compress(data)
+    assert len(z) < 1 << 16  # one step of the reader
+    at = len(z) // 2
+    found = list(warc.salvage(z[:at] + bytes(x ^ 0xFF for x in z[at : at + 60]) + z[at + 60 :]))
+    assert sum(x[0] == "record" for x in found) >= 15 and found[-1][0] == "gap"
+
+
+def test_warc_writes_a_member_per_record(spark, tmp_path):
+    rows = [(i, "http://x", f"é{i} " + prose(random.Random(i), 300)) for i in range(20)] + [(20, "u", "x" * (17 << 20))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write(df, str(tmp_path / "m"))
+    whole = b"".join(p.read_bytes() for p in sorted((tmp_path / "m").glob("part*")))
+    found = list(warc.salvage(whole))
+    assert [x[0] for x in found] == ["record"] * 21 and len({x[1] for x in found}) == 21
+    at = found[3][1] + found[3][2] // 2  # a break that stops inflation costs its record alone
+    again = list(warc.salvage(whole[:at] + b"\xff" * 60 + whole[at + 60 :]))
+    assert sum(x[0] == "record" for x in again) == 20
+
+
 # toxicity
 
 
