@@ -30,11 +30,12 @@ def encoding(path: str):
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        whole = json.load(f)
+    vocab, added = whole["model"]["vocab"], {t["content"]: t["id"] for t in whole.get("added_tokens") or []}
     kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     byte_of = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(kept))}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if all(c in byte_of for c in token) and not token.startswith("<|")}
-    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -43,7 +44,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, capacity) for at in range(first, n, capacity)]
 
 
-def tokenised(df: DataFrame, key: str, text: str, capacity: int, end_id: int, vocabulary: str, with_ids: bool) -> DataFrame:
+def tokenised(df: DataFrame, key: str, text: str, capacity: int, end_id: int, vocabulary: str, with_ids: bool, special: bool) -> DataFrame:
     key_type = df.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -54,7 +55,7 @@ def tokenised(df: DataFrame, key: str, text: str, capacity: int, end_id: int, vo
             rows: list[tuple[int, int, int, int, int]] = []
             kept = []
             for i, t in enumerate(b.column(1)):
-                ids = enc.encode_to_numpy(t.as_py() or "", disallowed_special=()).astype("<u4")
+                ids = enc.encode_to_numpy(t.as_py() or "", allowed_special="all" if special else set(), disallowed_special=()).astype("<u4")
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for piece, (at, n) in enumerate(cut(len(ids), capacity)):
                     part = ids[at : at + n]
@@ -129,15 +130,15 @@ def places(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     return {n: np.array(r, dtype=np.int64) for n, r in rows.items()}
 
 
-def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int = 2, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int = 2, vocabulary: str = VOCABULARY, with_ids: bool = False, special: bool = False) -> DataFrame:
     """Per piece: ``key``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset`` (and ``ids``).
 
     A document is its ids and ``end_id``; a null text is empty, so it is the end alone. Only documents of more than
-    ``capacity`` ids are cut, the first piece being the shorter. Strings of special tokens in a text are ordinary
-    text. Repeated rows are packed each; a null key is a key; an empty table gives an empty result; other columns are
+    ``capacity`` ids are cut, the first piece being the shorter. Strings of the vocabulary's added tokens in a text
+    are ordinary text, or with ``special`` those tokens, as tokenizers encode them. Repeated rows are packed each; a null key is a key; an empty table gives an empty result; other columns are
     ignored, whatever their names. To the driver go at most ``capacity`` counts.
     """
-    pieces = stored(tokenised(df, key, text, capacity, end_id, vocabulary, with_ids), "pieces")
+    pieces = stored(tokenised(df, key, text, capacity, end_id, vocabulary, with_ids, special), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = places(best_two_fit(counts, capacity))
 

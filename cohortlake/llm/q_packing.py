@@ -7,4 +7,4 @@ from cohortlake.llm.packing import pack
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read_table(spark, sf_dir, "documents"))
+    return pack(read_table(spark, sf_dir, "documents"), special=True)

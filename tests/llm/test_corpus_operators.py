@@ -127,6 +127,20 @@ def test_ids_are_the_tokenizers(spark):
         assert t.encode(r["text"], add_special_tokens=False).ids == enc.encode_ordinary(r["text"])
 
 
+def test_special_ids_are_the_tokenizers(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.VOCABULARY)
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|", "plain", "é\n<|endoftext|>\n"]
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 275, 2]
+    out = packing.pack(docs(spark, list(enumerate(texts))), with_ids=True, special=True).collect()
+    assert {r["doc_id"]: r["ids"] for r in out} == want
+    docs(spark, list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.queries()["op2_best_fit_packing"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["length"] for r in got} == {i: len(x) for i, x in want.items()}
+
+
 # language model
 
 
