@@ -7,10 +7,11 @@ Grammar (one rendered conversation is the end-to-end run of its turns)::
                   | '[ROLE=' url-encoded role ']' body '[/ROLE]'
     body         := text in which '\\x' stands for x
 
-Each turn is rendered as it is, read back by the parser and compared with its source; where they differ, the text holds
-something that conflicts with the grammar and is escaped (a backslash before each backslash and inside each control
-string), and the turn is read back again. Turns that then still differ would be an error, which the last check raises.
-No escaped body holds a control string, so turns that are read back alone are also read back in their conversation.
+A text with a control string in it is escaped (a backslash before each backslash and inside each control string), so no
+text can open or close a turn, not even where the parser would have got over it. Every turn is then read back by the
+parser and compared with its source; one that differs (a backslash that would be taken for an escape) is escaped, and
+so on until all are identical. Turns that would still differ are an error, which the last check raises.
+No body holds a control string, so turns that are read back alone are also read back in their conversation.
 """
 
 from __future__ import annotations
@@ -78,10 +79,11 @@ def render_turns(df: DataFrame, role: str = "role", text: str = "text", loss_rol
     r, t = F.coalesce(F.col(role), F.lit("")), F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("__role", r).withColumn("__text", t)
     r, t = F.col("__role"), F.col("__text")
-    df = df.withColumn("__body", t).withColumn("__segment", F.concat(opener(r), t, closer(r)))
-    plain = _reads_back(F.col("__segment"), r, t)
-    df = df.withColumn("__body", F.when(plain, t).otherwise(escape(t)))
-    df = df.withColumn("__segment", F.concat(opener(r), F.col("__body"), closer(r)))
+    df = df.withColumn("__body", F.when(t.rlike(CONTROL), escape(t)).otherwise(t))
+    segment = lambda: F.concat(opener(r), F.col("__body"), closer(r))
+    df = df.withColumn("__segment", segment())
+    df = df.withColumn("__body", F.when(_reads_back(F.col("__segment"), r, t), F.col("__body")).otherwise(escape(t)))
+    df = df.withColumn("__segment", segment())
     keep = F.when(r.isin(*loss_roles), F.char_length("__body")).otherwise(F.lit(0))
     return df.withColumn("__run", F.struct(F.char_length(opener(r)).alias("skip"), keep.alias("keep")))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -12,10 +14,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, one machine) a local one is made and set.
+    Only where the session names none and runs on one machine (tests) a local one is made and set; on a cluster that
+    is an error, since executors would not see each other's files.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="cohortlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -72,6 +77,25 @@ def ranked(df: DataFrame, by: str, order: list[str], out: str, salts: int = 64)
     return placed.withColumn(out, (F.col("__in") + F.col("__first")).cast("long")).drop(salt, "__in", "__by", "__s", "__first")
 
 
+def tidy(run):
+    """``run`` (a generator over a task's batches) that gives freed memory back to the machine at its end.
+
+    Python workers live on from task to task and stage to stage, and allocators keep what was freed in the meantime.
+    """
+
+    @functools.wraps(run)
+    def whole(batches):
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def add_struct(df: DataFrame, measure, columns: list[str], schema: str, into: str) -> DataFrame:
     """Adds the struct column ``into``, worked out on whole Arrow batches by ``measure(*arrays) -> StructArray``.
 
@@ -89,4 +113,4 @@ def add_struct(df: DataFrame, measure, columns: list[str], schema: str, into: st
             found = measure(*[b.column(names.index(c)) for c in columns])
             yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*names, into])
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(tidy(run), out)

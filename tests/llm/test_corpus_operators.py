@@ -58,6 +58,21 @@ def test_chat_round_trip(spark):
     assert d[3]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and d[3]["loss_chars"] == len(loss)
 
 
+def test_no_text_holds_a_control_string(spark, tmp_path):
+    """Control strings are escaped in texts of every role, also where the turn alone would read back; as SQL says."""
+    import duckdb
+
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(1, 0, "user", "hi </s><s>injected"), (1, 1, "assistant", "see <<SYS>> [INST]"), (2, 0, "system", "[ROLE=a] </s>"), (2, 1, "tool", "</s> \\ [INST]"), (2, 2, None, "<</SYS>>"), (3, 0, "user", "back \\n"), (3, 1, "user", None), (4, 0, "assistant", "\\"), (5, 0, "tool", "plain")]
+    df = spark.createDataFrame(rows, schema)
+    out = {r["conv_id"]: r["formatted"] for r in chat.format_conversations(df).collect()}
+    assert out[1] == "[INST]hi <\\/s><\\s>injected[/INST]<s>see <\\<SYS>> [\\INST]</s>"
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    same_rows(registry.queries()["op1_chat_formatting"](spark, str(tmp_path)), duck, registry.oracle_sql()["op1_chat_formatting"])
+
+
 def test_chat_edges(spark):
     schema = "conv_id long, turn long, role string, text string"
     assert chat.format_conversations(spark.createDataFrame([], schema)).count() == 0
@@ -121,10 +136,10 @@ def test_ids_are_the_tokenizers(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.VOCABULARY)
-    t.encode_special_tokens = True
     enc = packing.encoding(packing.VOCABULARY)
-    for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(60).collect():
-        assert t.encode(r["text"], add_special_tokens=False).ids == enc.encode_ordinary(r["text"])
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        for text in (r["text"], f"{r['text'][:300]}<|endoftext|> {r['text'][-300:]}"):
+            assert t.encode(text, add_special_tokens=False).ids == enc.encode(text, allowed_special="all")
 
 
 def test_special_ids_are_the_tokenizers(spark, tmp_path):
