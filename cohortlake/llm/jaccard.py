@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import bucket_of, sent, stored
+from cohortlake.llm.common import bucket_of, sent, stored, tidy
 from cohortlake.llm.components import components
 from cohortlake.llm.words import LETTERS, LOWER, Words, chunks, find_words, grams, mix
 
@@ -94,7 +94,7 @@ def signatures(docs: DataFrame, key: str, text: str, k: int, trees: int, length:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int64)), pa.array(s.view(np.int64)), lists], names=["k", "t", "n", "s", "nodes"])
 
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x"))
-    return rows.mapInArrow(run, f"k {kind}, t long, n long, s long, nodes array<long>")
+    return rows.mapInArrow(tidy(run), f"k {kind}, t long, n long, s long, nodes array<long>")
 
 
 def links(sizes: np.ndarray, h: np.ndarray, border: np.ndarray, side: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -245,7 +245,7 @@ def _work(texts: DataFrame, k: int) -> DataFrame:
                 data = pa.array([h[x:y].tobytes() for x, y in zip(border[:-1], border[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(np.diff(border).astype(np.int64)), data], names=["s", "component", "blocks", "n", "shingles"])
 
-    rows = texts.mapInArrow(run, "s long, component long, blocks int, n long, shingles binary").dropDuplicates(["s"])
+    rows = texts.mapInArrow(tidy(run), "s long, component long, blocks int, n long, shingles binary").dropDuplicates(["s"])
     rows = rows.withColumn("own", bucket_of_column("blocks", "s"))
     other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")

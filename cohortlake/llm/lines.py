@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import sent, stored
+from cohortlake.llm.common import sent, stored, tidy
 from cohortlake.llm.words import NON_SPACE, chunks, find_words, mix, span_hash
 
 #: Rows and deleted lines (some 60 and 4 bytes each) that may be sent to every task; more are joined by a shuffle.
@@ -92,7 +92,7 @@ def line_rows(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame
         )
 
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x")).filter("x is not null")
-    return rows.mapInArrow(run, f"k {kind}, t long, h1 long, h2 long, words int, places array<int>, lines array<int>, run boolean")
+    return rows.mapInArrow(tidy(run), f"k {kind}, t long, h1 long, h2 long, words int, places array<int>, lines array<int>, run boolean")
 
 
 def rising(values: list[int]) -> list[int]:
@@ -200,7 +200,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), cut, own], names=["k", "t", "deleted", "owners"])
             yield out.filter(pa.array([len(d) > 0 for d, _ in found], pa.bool_()))
 
-    return one.mapInArrow(run, f"k {kind}, t long, deleted array<int>, owners array<{kind}>")
+    return one.mapInArrow(tidy(run), f"k {kind}, t long, deleted array<int>, owners array<{kind}>")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, into: str = "repeats") -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import ranked, stored
+from cohortlake.llm.common import ranked, stored, tidy
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -68,7 +68,7 @@ def tokenised(df: DataFrame, key: str, text: str, capacity: int, end_id: int, vo
                 cols["ids"] = pa.array([p.astype(np.int32) for p in kept], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(cols)
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {key_type}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidy(run), f"key {key_type}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -157,5 +157,5 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
     cols = ["key", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     order = ranked(pieces, "length", ["key", "piece", "ids_crc32"], "rank").select(*cols, "rank")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in order.schema.fields[:-1]) + ", sequence_id long, offset long"
-    out = order.mapInArrow(run, schema)
+    out = order.mapInArrow(tidy(run), schema)
     return out.withColumnRenamed("key", key)

@@ -1,32 +1,38 @@
 """Toxic passages as maximum-scoring segments of token log-odds, with extreme-value calibration.
 
 A token is a whole lower-cased word, hashed to one of ``BUCKETS``; in scripts without spaces each character is a word,
-and its token is a gram of it and the next ones. Its score is the log-odds of
-turning up in a toxic against a clean training text, under a Dirichlet prior that follows the token's overall share,
-less two and a half standard errors and a margin (an odds ratio of e is not yet toxic, however sure it is); all other
-tokens score below 0. In a text all maximal scoring segments are
-found in linear time (after Ruzzo and Tompa). Scores of a text's best segment follow an extreme-value law in clean
-texts: P(best >= s) = 1 - exp(-K n exp(-lambda s)), n the words of the text. lambda comes from the scores of clean
-tokens, K from held-back clean texts; a logistic curve over -log(K n exp(-lambda s)) gives the probability.
+and its token is a gram of it and the next ones. Its score is the log-odds of turning up in a toxic against a clean
+training text, under a Dirichlet prior that follows the token's overall share, less two standard errors and a margin
+(an odds ratio of e is not yet toxic, however sure it is); all other tokens score below 0. In a text all maximal scoring
+segments are found in linear time (after Ruzzo and Tompa).
+
+Scores of segments follow an extreme-value law in clean texts: of n words, a clean text is expected to hold
+K n exp(-lambda s) segments of at least s, and a segment's evidence is -log of that. lambda comes from the tokens of
+clean texts as often as they occur, K from held-back clean texts. The evidence of a text is that of its r best segments
+together, for the r that makes most of it: with x the sum of their evidence, x - (r - 1) log x + log r! + log (r - 1)!
+(the sum statistic of Karlin and Altschul), so many fair passages can weigh as much as one strong one. A logistic curve
+over that, fitted on the held-back texts, gives the probability.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import add_struct
+from cohortlake.llm.common import add_struct, stored, tidy
 from cohortlake.llm.words import LETTERS, LOWER, chunks, find_words, split_unspaced
 
 BUCKETS = 1 << 18
 #: Labelled rows that a fit uses: up to here all, beyond it an even sample by the hash of the key.
 MAX_LABELLED = 200_000
-PRIOR, ERRORS, MARGIN, DRIFT = 20.0, 2.5, 1.0, 0.2
-CLIP = (-10.0, 60.0)
+PRIOR, ERRORS, MARGIN, DRIFT = 20.0, 2.0, 1.0, 0.4
+#: Evidence beyond these ends says no more.
+CLIP = (-10.0, 15.0)
 
 
 def tokens(column: pa.Array):
@@ -37,30 +43,34 @@ def tokens(column: pa.Array):
 
 
 def token_counts(labelled: DataFrame, text: str, label: str) -> np.ndarray:
-    """2 x BUCKETS: in how many texts of each label (0, 1) a token turns up, and the texts of each label."""
+    """3 x (BUCKETS + 1): in how many texts of each label (0, 1) a token turns up, and how often in those of label 0; the
+    last column has the texts of each label."""
 
     def run(batches):
         for b in batches:
             y = b.column(1).to_numpy(zero_copy_only=False)
-            n = np.zeros((2, BUCKETS + 1), dtype=np.int64)
+            n = np.zeros((3, BUCKETS + 1), dtype=np.int64)
             for a, words, token in tokens(b.column(0)):
                 seen = np.unique(words.text.astype(np.int64) * BUCKETS + token)
+                of = y[a + seen // BUCKETS]
                 for k in (0, 1):
-                    n[k, :BUCKETS] += np.bincount(seen[y[a + seen // BUCKETS] == k] % BUCKETS, minlength=BUCKETS)
-            n[:, BUCKETS] = [(y == 0).sum(), (y == 1).sum()]
+                    np.add.at(n[k], seen[of == k] % BUCKETS, 1)
+                np.add.at(n[2], token[y[a + words.text] == 0], 1)
+            n[:2, BUCKETS] = [(y == 0).sum(), (y == 1).sum()]
             at = np.flatnonzero(n.any(axis=0))
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0, at]), pa.array(n[1, at])], names=["token", "clean", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(n[k, at]) for k in range(3)]], names=["token", "clean", "toxic", "often"])
 
-    rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")).mapInArrow(run, "token long, clean long, toxic long")
-    out = np.zeros((2, BUCKETS + 1), dtype=np.int64)
-    for r in rows.groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toLocalIterator():  # BUCKETS rows at most
-        out[:, r["token"]] = r["clean"], r["toxic"]
+    rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")).mapInArrow(tidy(run), "token long, clean long, toxic long, often long")
+    out = np.zeros((3, BUCKETS + 1), dtype=np.int64)
+    sums = [F.sum(c).alias(c) for c in ("clean", "toxic", "often")]
+    for r in rows.groupBy("token").agg(*sums).toLocalIterator():  # BUCKETS rows at most
+        out[:, r["token"]] = r["clean"], r["toxic"], r["often"]
     return out
 
 
 def token_scores(counts: np.ndarray) -> np.ndarray:
-    n0, n1 = counts[:, :BUCKETS].astype(float)
-    total = counts[:, BUCKETS].astype(float)
+    n0, n1 = counts[:2, :BUCKETS].astype(float)
+    total = counts[:2, BUCKETS].astype(float)
     share = (n0 + n1) / max(1.0, total.sum())
     prior = np.maximum(0.5, PRIOR * share)
     odds = np.log((n1 + prior) / (total[1] + PRIOR)) - np.log((n0 + prior) / (total[0] + PRIOR))
@@ -94,28 +104,36 @@ class Model:
     offset: float
 
     def evidence(self, score, n):
-        """-log of the segments of at least this score that a clean text of n words is expected to have; lowest at 0."""
-        x = np.clip(self.rate * score - np.log(max(self.scale, 1e-12) * np.maximum(n, 1)), *CLIP)
-        return np.where(np.asarray(score) > 0, x, CLIP[0])
-
-    def probability(self, best, n):
-        return 1 / (1 + np.exp(-(self.slope * self.evidence(best, n) + self.offset)))
+        """-log of the segments of at least this score that a clean text of n words is expected to have."""
+        return self.rate * np.asarray(score) - np.log(max(self.scale, 1e-12) * np.maximum(n, 1))
+
+    def combined(self, scores, n) -> float:
+        """The evidence of all segments of a text, the lowest where there is none."""
+        most, total = CLIP[0], 0.0
+        for r, x in enumerate(np.sort(self.evidence(scores, n))[::-1].tolist(), 1):
+            if r > 1 and x <= 0:
+                break
+            total += x
+            most = max(most, total - (r - 1) * np.log(max(total, 1.0)) + lgamma(r + 1) + lgamma(r))
+        return float(np.clip(most, *CLIP))
 
+    def probability(self, evidence):
+        return 1 / (1 + np.exp(-(self.slope * np.asarray(evidence) + self.offset)))
 
-_BEST = "n long, best double"
 
+def segment_scores(docs: DataFrame, text: str, scores: np.ndarray, into: str) -> DataFrame:
+    """``docs`` with the struct ``into``: the words n of each text and the scores of its segments."""
 
-def best_segments(docs: DataFrame, text: str, scores: np.ndarray, into: str) -> DataFrame:
     def run(column):
-        n, best = np.zeros(len(column), np.int64), np.zeros(len(column))
+        n, found = np.zeros(len(column), np.int64), [[] for _ in range(len(column))]
         for a, words, token in tokens(column):
             first = words.first_word()
             n[a : a + words.n_texts] = np.diff(first)
             for t, _, score in _found(words, scores[token], first):
-                best[a + t] = max(best[a + t], score)
-        return pa.StructArray.from_arrays([pa.array(n), pa.array(best)], names=["n", "best"])
+                found[a + t].append(score)
+        return pa.StructArray.from_arrays([pa.array(n), pa.array(found, pa.list_(pa.float64()))], names=["n", "segments"])
 
-    return add_struct(docs, run, [text], _BEST, into)
+    return add_struct(docs, run, [text], "n long, segments array<double>", into)
 
 
 def _found(words, score: np.ndarray, first: np.ndarray):
@@ -129,8 +147,8 @@ def _found(words, score: np.ndarray, first: np.ndarray):
 
 
 def clean_rate(scores: np.ndarray, counts: np.ndarray) -> float:
-    """lambda > 0 with E exp(lambda score) = 1 over the tokens of clean texts."""
-    weight = counts[0, :BUCKETS] / max(1, counts[0, :BUCKETS].sum())
+    """lambda > 0 with E exp(lambda score) = 1 over the tokens of clean texts, each as often as it occurs."""
+    weight = counts[2, :BUCKETS] / max(1, counts[2, :BUCKETS].sum())
     if not (weight[scores > 0] > 0).any():
         return 1.0
     low, high = 1e-6, 50.0
@@ -167,7 +185,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     Rows without a label or a key are left out; of several labels of a key the highest holds. The labels that go to
     all tasks are ``max_labelled`` at most (in the mean of an even hash). To the driver go at most BUCKETS counts and
-    a histogram of fixed size. Without labels of both kinds the model gives the share of toxic rows.
+    a histogram of fixed size. Labelled documents are read twice. Repeated rows count as often as they stand; null texts
+    are empty ones; other columns are ignored, whatever their names. Without labels of both kinds, or with an empty
+    table, the model gives the share of toxic rows (half, where there are none).
     """
     rows = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).filter("__key is not null and __label in (0, 1)").groupBy("__key").agg(F.max("__label").alias("__label"))
     n = rows.count()
@@ -178,44 +198,58 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     counts = token_counts(known.filter(part != 0), "text", "__label")
     scores = token_scores(counts)
     rate = clean_rate(scores, counts)
-    held = best_segments(known.filter(part == 0), "text", scores, "found").select("__label", F.col("found.n").alias("n"), F.col("found.best").alias("best"))
-    sums = held.groupBy("__label").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.greatest("n", F.lit(1)) * F.exp(-rate * F.col("best"))).alias("mass")).collect()
-    clean = next(((r["rows"], r["mass"]) for r in sums if r["__label"] == 0), (1, 1.0))
-    model = Model(scores, rate, clean[0] / max(clean[1], 1e-9), 0.0, 0.0)
-    evidence = rate * F.col("best") - F.log(F.lit(max(model.scale, 1e-12)) * F.greatest("n", F.lit(1)))
-    bin_ = F.when(F.col("best") > 0, F.round(F.greatest(F.lit(CLIP[0]), F.least(F.lit(CLIP[1]), evidence)), 1)).otherwise(F.lit(CLIP[0]))
-    hist = held.groupBy("__label", bin_.alias("x")).count().collect()
-    x, y, w = (np.array([float(r[k]) for r in hist]) for k in ("x", "__label", "count"))
+    held = stored(segment_scores(known.filter(part == 0), "text", scores, "found").select("__label", "found.n", "found.segments"), "held")
+    best = F.coalesce(F.array_max("segments"), F.lit(0.0))
+    clean = held.filter("__label = 0").agg(F.count(F.lit(1)), F.sum(F.greatest("n", F.lit(1)) * F.exp(-rate * best))).first()
+    scale = clean[0] / max(clean[1], 1e-9) if clean[0] else 1.0
+    x, y, w = _histogram(held, Model(scores, rate, scale, 0.0, 0.0))
     if not len(x) or y.min() == y.max():
-        toxic = counts[1, BUCKETS] / max(1, counts[:, BUCKETS].sum())
-        return Model(scores, rate, model.scale, 0.0, float(np.log((toxic + 1e-4) / (1 - toxic + 1e-4))))
+        toxic = (counts[1, BUCKETS] + 1e-4) / (counts[:2, BUCKETS].sum() + 2e-4)
+        return Model(scores, rate, scale, 0.0, float(np.log(toxic / (1 - toxic))))
     slope, offset = logistic(x, y, w)
-    return Model(scores, rate, model.scale, max(0.0, slope), offset)
+    return Model(scores, rate, scale, max(0.0, slope), offset)
+
+
+def _histogram(held: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Evidence in tenths, label and number of the held-back texts."""
+
+    def run(batches):
+        for b in batches:
+            x = [round(10 * model.combined(s or [], n)) for s, n in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.int64())], names=["label", "x"])
+
+    rows = held.mapInArrow(tidy(run), "label int, x long").groupBy("label", "x").count().collect()  # twice the tenths between the ends
+    return tuple(np.array([float(r[k]) / d for r in rows]) for k, d in (("x", 10), ("label", 1), ("count", 1)))
 
 
-_SCORED = "score double, n_words long, best double, passages array<struct<start: long, end: long, score: double, evidence: double>>"
+_SCORED = "score double, n_words long, best double, evidence double, passages array<struct<start: long, end: long, score: double, evidence: double>>"
 _PASSAGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("evidence", pa.float64())]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "toxicity", significance: float = 0.01) -> DataFrame:
-    """``docs`` with the struct ``into``: ``score`` 0..1, ``n_words``, ``best`` and ``passages``.
+    """``docs`` with the struct ``into``: ``score`` 0..1, ``n_words``, ``best``, ``evidence`` and ``passages``.
 
     ``passages``: word numbers, score and evidence of all segments that a clean text of this length would hold with a
-    probability under ``significance``. Null and empty texts have no words and the score of a text without passages.
-    All other columns stay. No shuffle.
+    probability under ``significance``. ``score`` follows from the ``evidence`` of all segments together. Null and empty
+    texts have no words and the score of a text without passages. Repeated rows are scored alike; an empty table gives an
+    empty result; all other columns stay, and one that is named ``into`` is replaced. No shuffle.
     """
     least = -np.log(significance)
 
     def run(column):
-        n, best = np.zeros(len(column), np.int64), np.zeros(len(column))
+        n, best, evidence = np.zeros(len(column), np.int64), np.zeros(len(column)), np.full(len(column), CLIP[0])
         passages: list[list] = [[] for _ in range(len(column))]
         for a, words, token in tokens(column):
             first = words.first_word()
             n[a : a + words.n_texts] = np.diff(first)
+            found: dict[int, list] = {}
             for t, (b, e), s in _found(words, model.scores[token], first):
-                best[a + t] = max(best[a + t], s)
-                if (v := float(model.evidence(s, n[a + t]))) >= least:
-                    passages[a + t].append({"start": b, "end": e, "score": s, "evidence": v})
-        return pa.StructArray.from_arrays([pa.array(model.probability(best, n)), pa.array(n), pa.array(best), pa.array(passages, _PASSAGES)], names=["score", "n_words", "best", "passages"])
+                found.setdefault(a + t, []).append((b, e, s, float(model.evidence(s, n[a + t]))))
+            for t, own in found.items():
+                own_scores = [x[2] for x in own]
+                best[t], evidence[t] = max(own_scores), model.combined(own_scores, n[t])
+                passages[t] = [dict(zip(("start", "end", "score", "evidence"), x, strict=True)) for x in own if x[3] >= least]
+        cols = [pa.array(model.probability(evidence)), pa.array(n), pa.array(best), pa.array(evidence), pa.array(passages, _PASSAGES)]
+        return pa.StructArray.from_arrays(cols, names=["score", "n_words", "best", "evidence", "passages"])
 
     return add_struct(docs, run, [text], _SCORED, into)

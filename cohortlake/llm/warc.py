@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import new_path, stored
+from cohortlake.llm.common import new_path, stored, tidy
 
 #: Bytes of payload that one archive file holds in the mean.
 FILE_BYTES = 32 << 20
@@ -92,7 +92,7 @@ def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payl
     table gives no record."""
     mean = df.agg(F.avg(F.coalesce(F.octet_length(F.col(payload)), F.lit(0)))).first()[0] or 0
     most = max(1, int(file_bytes / (mean + 700)))
-    members = records(df, key, url, payload, least).select("record").mapInArrow(_gzipped, "value binary")
+    members = records(df, key, url, payload, least).select("record").mapInArrow(tidy(_gzipped), "value binary")
     members.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", most).text(path)
 
 
@@ -231,7 +231,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
                 if rows:
                     yield _batch(rows, names)
 
-    return files.mapInArrow(run, READ)
+    return files.mapInArrow(tidy(run), READ)
 
 
 def _batch(rows, names):

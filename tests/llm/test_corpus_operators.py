@@ -381,6 +381,41 @@ def test_toxicity_learns(spark):
     assert len(p) == 1 and p[0]["end"] - p[0]["start"] >= 4
     none = toxicity.score(df, toxicity.fit(df, lab.limit(0))).count()
     assert none == df.count()
+    empty = df.limit(0)
+    assert toxicity.score(empty, toxicity.fit(empty, lab)).count() == 0 and toxicity.score(df, toxicity.fit(empty, lab)).count() == df.count()
+    again = toxicity.score(df.union(df.limit(3)), toxicity.fit(df, lab)).groupBy("doc_id").agg(F.count_distinct("toxicity.score").alias("n")).filter("n > 1")
+    assert again.count() == 0
+
+
+def test_evidence_of_several_passages():
+    m = toxicity.Model(np.zeros(1), 1.0, 0.01, 1.0, 0.0)
+    assert m.combined([], 100) == toxicity.CLIP[0] and m.combined([3.0], 100) == pytest.approx(3.0)
+    one, three = m.combined([4.0], 100), m.combined([4.0, 4.0, 4.0], 100)
+    assert three == pytest.approx(12 - 2 * math.log(12) + math.log(6) + math.log(2)) and three > one
+    assert m.combined([4.0, 0.0, -1.0], 100) == one  # what a clean text holds anyway adds nothing
+
+
+def test_rate_weighs_tokens_by_occurrence(spark):
+    df = docs(spark, [(0, "a a a b"), (1, "b c")]).withColumn("y", F.lit(0))
+    n = toxicity.token_counts(df, "text", "y")
+    assert n[0, :-1].sum() == 4 and n[2, :-1].sum() == 6 and n[0, -1] == 2
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.1"), reason="needs the larger tables")
+def test_toxicity_held_out_accuracy(spark):
+    """Area under the curve on held-out rows, for each language with ten or more toxic ones."""
+    root = "/root/testdata/sf0.1"
+    scored = registry.queries()["op6_toxicity"](spark, root).filter("held_out").join(spark.read.parquet(f"{root}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    by = collections.defaultdict(list)
+    for r in scored.select("lang", "toxic", "score").collect():
+        by[r["lang"]].append((r["score"], r["toxic"]))
+    seen = 0
+    for rows in by.values():
+        bad, good = ([s for s, y in rows if y == k] for k in (1, 0))
+        if len(bad) >= 10:
+            seen += 1
+            assert sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / len(bad) / len(good) >= 0.95
+    assert seen >= 3
 
 
 @pytest.mark.parametrize("gap,clean,toxic", [(" ", [f"прив{i}" for i in range(300)], ["привхам", "привгад", "привзло"]), ("", [chr(0x4E00 + i) for i in range(300)], ["鹿馬鹿", "馬鹿鹿", "鹿鹿馬"])])
