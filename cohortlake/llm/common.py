@@ -54,6 +54,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose texts are worked on where they are read. Where it comes in fewer splits than there are cores (one
+    small file, say), its rows are dealt out, so that no core stands idle; larger tables are never shuffled for that."""
+    df, cores = read_table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def bucket_of(n: int, *cols: str | Column) -> Column:
     """A bucket 0..n-1 that depends on the values alone, not on where a row happens to be."""
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")

@@ -3,12 +3,12 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import read_table
+from cohortlake.llm.common import read_table, read_texts
 from cohortlake.llm.decontamination import find_benchmark, n_hit
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_texts(spark, sf_dir).select("doc_id", "text")
     out = find_benchmark(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id", "leaks")
     return out.select(
         "doc_id",

@@ -3,10 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import read_table
+from cohortlake.llm.common import read_texts
 from cohortlake.llm.jaccard import similar
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = similar(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = similar(read_texts(spark, sf_dir).select("doc_id", "text"))
     return out.select(F.col("k").alias("doc_id"), "class_id", "n_links", "copy_of")

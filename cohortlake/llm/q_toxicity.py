@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import read_table
+from cohortlake.llm.common import read_table, read_texts
 from cohortlake.llm.toxicity import fit, score
 
 
@@ -12,7 +12,7 @@ def held_out(key: str = "doc_id"):
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_texts(spark, sf_dir).select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").filter(~held_out())
     out = score(docs, fit(docs, labels)).select("doc_id", held_out().alias("held_out"), F.col("toxicity.score").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

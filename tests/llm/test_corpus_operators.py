@@ -590,10 +590,70 @@ def test_quality_counts(spark):
         cov = {j for i in range(len(w) - 7) if c[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
         assert [r[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] == [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(cov)], r["doc_id"]
         assert r["base_failed"] == (len(w) < 20 or 100 * len(cov) > 30 * len(w)) and not (r["base_failed"] and r["kept"])
-        if w:
-            ids = [i for x in w for i in quality.processor(quality.VOCABULARY)[0].encode(x)]
+        for name, ids in tokens(t).items():
+            assert r[f"{name}_tokens"] == len(ids), (r["doc_id"], name)
+            if not ids:
+                assert r[f"{name}_chars_per_token"] is None and r[f"{name}_byte_share"] is None and r[f"{name}_entropy"] is None
+                continue
             p = np.array(list(collections.Counter(ids).values())) / len(ids)
-            assert r["n_tokens"] == len(ids) and r["entropy"] == pytest.approx(-(p * np.log2(p)).sum())
+            want = [len(t) / len(ids), sum(whole for whole in map(is_part(name), ids)) / len(ids), -(p * np.log2(p)).sum() / np.log2(len(ids)) if len(ids) > 1 else 1.0]
+            assert [r[f"{name}_{m}"] for m in quality.LEAST] == pytest.approx(want)
+    assert quality.judged(docs(spark, texts, lang="en").limit(0)).count() == 0
+    twice = quality.judged(docs(spark, texts[:3] * 2, lang="en")).groupBy("doc_id").count().collect()
+    assert {r["count"] for r in twice} == {2}
+
+
+def tokens(t):
+    """Ids of a text by each vocabulary, by the libraries' own readers."""
+    import base64
+
+    import public_tokenizers as P
+    import sentencepiece
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    multi = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return {"piece": sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model")).encode(t), "multi": multi.encode_ordinary(t)}
+
+
+def is_part(name):
+    import base64
+
+    import public_tokenizers as P
+    import sentencepiece
+
+    if name == "piece":
+        sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+        return lambda i: sp.id_to_piece(i).startswith("<0x") or i == sp.unk_id()
+    ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    return lambda i: "\ufffd" in ranks[i].decode("utf-8", "replace") and ranks[i] != "\ufffd".encode()
+
+
+def test_quality_scripts(spark):
+    texts = [(0, "plain text"), (1, "привет мир x"), (2, "猫犬鳥"), (3, "ひらがな 猫"), (4, "123 ..."), (5, ""), (6, "éàü"), (7, "한국어"), (8, "Ωμέγα")]
+    got = {r["doc_id"]: r["script"] for r in quality.measures(docs(spark, texts)).select("doc_id", "quality.script").collect()}
+    assert got == {0: "latin", 1: "cyrillic", 2: "han", 3: "kana", 4: "other", 5: "other", 6: "latin", 7: "hangul", 8: "greek"}
+
+
+def test_quality_bands_by_brute_force(spark):
+    """Verdicts against fences worked out one by one; a null language goes by script."""
+    rng = random.Random(14)
+    texts = [(i, prose(rng, rng.choice([19, 20, 30, 300]), 3000) + "".join(f" q𐍈{k}" for k in range(200 * (i % 17 == 0)))) for i in range(120)]
+    df = docs(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "xx"))
+    rows = quality.judged(df).select("doc_id", "lang", "quality.*", "base_failed", "kept").collect()
+    names = [f"{v}_{m}" for v in quality.VOCABULARIES for m in quality.LEAST]
+    for lang in ("xx", None):
+        own = [r for r in rows if r["lang"] == lang]
+        ends = {}
+        for m in names:
+            x = sorted(r[m] for r in own if r["n_words"] >= 20)
+            low, high = x[math.ceil(0.25 * len(x)) - 1], x[math.ceil(0.75 * len(x)) - 1]
+            short = max(0.0, quality.LEAST[m.split("_", 1)[1]] - (high - low)) / 2
+            ends[m] = (low - short, high + short)
+        for r in own:
+            reach = {m: (b - a) * 3 * math.sqrt(1 + 100 / r["n_words"]) for m, (a, b) in ends.items()}
+            assert r["kept"] == (not r["base_failed"] and all(ends[m][0] - reach[m] <= r[m] <= ends[m][1] + reach[m] for m in names))
+    assert 0 < sum(not r["kept"] and not r["base_failed"] for r in rows) < len(rows) / 2
 
 
 def test_quality_bands_reject_misfits(spark):
