@@ -1,35 +1,37 @@
 """Line dedup by pairwise alignment.
 
-Documents that hold the same line are linked: each to the earliest document with that line, its owner, so a line in
-any number of documents makes one link for each and never all pairs. For each linked pair the shared lines are aligned
-as patience diff does: lines that are single in both documents are the anchors, their longest run in rising order on
-both sides is kept, and between two anchors the other shared lines are aligned likewise. Runs of lines that are just
-long enough are keys with an owner of their own, so a passage is found wherever any earlier document holds it in one
-piece, however often and early its lines stand elsewhere. What is aligned with one owner and holds enough words is
-deleted from the later document, with the aligned lines that adjoin it.
+Documents are linked through the lines that few of them hold (rare ones, by their hash): each holder to every earlier
+one. Lines of many documents say little about an overlap, so they link only where they are long, or as parts of a run
+of lines that is long; then each holder is linked to the first one, so that a line or passage in any number of documents
+makes one link for each and never all pairs. The lines of each linked pair are aligned as patience diff does: equal
+lines at either end are taken, lines that are single on both sides are the anchors, their longest run in rising order
+on both sides is kept, and what lies between two anchors is aligned in the same way. The aligned blocks are deleted from
+the later document.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.llm.common import sent, stored, tidy
 from cohortlake.llm.words import NON_SPACE, chunks, find_words, mix, span_hash
 
-#: Rows and deleted lines (some 60 and 4 bytes each) that may be sent to every task; more are joined by a shuffle.
-BROADCAST_ITEMS = 2_000_000
-#: Lines with an owner (some 60 bytes each) that may be sent to every task.
-BROADCAST_ROWS = 1_000_000
-#: Words that a run of aligned lines holds at least to be deleted.
-MIN_WORDS = 25
-
-
-#: Pairs of equal lines of two documents that are aligned in all; beyond that those of one line are paired by occurrence.
+#: Documents that hold a rare line at most.
+RARE = 8
+#: Words from which on a line, or a run of lines, links its holders to the first one however many they are.
+LONG = 25
+#: Words that an aligned block holds at least to be deleted: any line with a word.
+MIN_WORDS = 1
+#: Rows of links or of found documents (some 60 bytes each), and deleted lines (4 bytes each), that may be sent to every task.
+BROADCAST_ROWS, BROADCAST_ITEMS = 500_000, 2_000_000
+#: Pairs of equal lines without an anchor that are searched for the longest common run; beyond that the lines that are
+#: equal are paired by occurrence first.
 MAX_MATCHES = 1_000_000
 
 
@@ -47,9 +49,10 @@ def windows(words: np.ndarray, row: np.ndarray, min_words: int) -> tuple[np.ndar
     return a[b - a > 1], b[b - a > 1]
 
 
-def line_rows(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """A row per document (k, t) and line with a word: hash (h1, h2), words, its places among such lines and its line
-    numbers; and with ``run`` a row per run of ``windows``, with the places and numbers of its lines."""
+def line_table(docs: DataFrame, key: str, text: str, long: int) -> DataFrame:
+    """A row per document (k, t) with a word: ``lines`` (a hash of each line with a word), their ``words`` and line
+    ``numbers``, and the distinct ``keys`` that may link it: its lines' other hashes and those of ``windows``, each with
+    whether it is long (``heavy``)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -69,30 +72,27 @@ def line_rows(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame
                 if not len(row):
                     continue
                 left, right = words.start[first], words.end[last - 1]  # white space at either end does not count
-                h1 = span_hash(data, left, right)
-                h2 = span_hash(data ^ np.uint8(0xA5), left, right)
-                own = mix(h1 + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                order = np.lexsort((number, own))
-                s = own[order]
-                begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                n, one = last - first, order[begin]
-                yield batch_of(part, row[one], h1[one], h2[one], n[one], np.append(begin, len(s)), place[order], number[order], False)
-                a, b = windows(n, row, min_words)
-                off = np.concatenate([[0], np.cumsum(b - a)])
-                lines = np.arange(off[-1]) + np.repeat(a - off[:-1], b - a)
+                n = last - first
+                link, line = span_hash(data, left, right), span_hash(data ^ np.uint8(0xA5), left, right)
+                x, y = windows(n, row, long)
                 total = np.concatenate([[0], np.cumsum(n)])
-                yield batch_of(part, row[a], span_hash(h1, a, b), span_hash(h2, a, b), total[b] - total[a], off, place[lines], number[lines], True)
+                of, key_ = np.concatenate([row, row[x]]), np.concatenate([link, mix(span_hash(link, x, y) + (y - x).astype(np.uint64))])
+                heavy = np.concatenate([n, total[y] - total[x]]) >= long
+                order = np.lexsort((key_, of))
+                of, key_, heavy = of[order], key_[order], heavy[order]
+                fresh = np.concatenate([[True], (of[1:] != of[:-1]) | (key_[1:] != key_[:-1])])
+                of, key_, heavy = of[fresh], key_[fresh], heavy[fresh]
+                some = np.unique(row)
+
+                def lists(values, of, kind, some=some):
+                    return pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(of, some), len(of)).astype(np.int32)), pa.array(values, kind))
 
-    def batch_of(part, row, h1, h2, n, off, places, numbers, is_run):
-        lists = [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (places, numbers)]
-        return pa.RecordBatch.from_arrays(
-            [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(n.astype(np.int32)), *lists, pa.array(np.full(len(row), is_run))],
-            names=["k", "t", "h1", "h2", "words", "places", "lines", "run"],
-        )
+                own = [part.column(c).take(pa.array(some)) for c in (0, 1)]
+                cols = [lists(line.view(np.int64), row, pa.int64()), lists(n, row, pa.int32()), lists(number, row, pa.int32()), lists(key_.view(np.int64), of, pa.int64()), lists(heavy, of, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*own, *cols], names=["k", "t", "lines", "words", "numbers", "keys", "heavy"])
 
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x")).filter("x is not null")
-    return rows.mapInArrow(tidy(run), f"k {kind}, t long, h1 long, h2 long, words int, places array<int>, lines array<int>, run boolean")
+    return rows.mapInArrow(tidy(run), f"k {kind}, t long, lines array<long>, words array<int>, numbers array<int>, keys array<long>, heavy array<boolean>")
 
 
 def rising(values: list[int]) -> list[int]:
@@ -115,33 +115,49 @@ def rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def aligned(matches: list[tuple[int, int, bool]]) -> list[int]:
-    """Places in the later document that align; ``matches``: (place, place in the owner, single in both), any order."""
-    matches = sorted(matches, key=lambda m: (m[0], -m[1]))  # falling, so that a place is taken once
-    anchors = [m for m in matches if m[2]]
-    kept = [anchors[i] for i in rising([m[1] for m in anchors])]
-    out, rest, at = [m[0] for m in kept], [m for m in matches if not m[2]], 0
-    for low, high in zip([(-1, -1), *kept], [*kept, (1 << 31, 1 << 31)], strict=True):
-        gap = []
-        while at < len(rest) and rest[at][0] < high[0]:
-            if low[1] < rest[at][1] < high[1]:
-                gap.append(rest[at])
-            at += 1
-        out += [gap[i][0] for i in rising([m[1] for m in gap])]
+def longest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """A longest common run of lines (gaps allowed) where no line is single on both sides."""
+    in_a, in_b = {}, {}
+    for held, lines in ((in_a, a), (in_b, b)):
+        for i, x in enumerate(lines):
+            held.setdefault(x, []).append(i)
+    both = [x for x in in_a if x in in_b]
+    if sum(len(in_a[x]) * len(in_b[x]) for x in both) <= MAX_MATCHES:
+        pairs = [(i, j) for x in both for i in in_a[x] for j in in_b[x]]
+    else:
+        pairs = [p for x in both for p in zip(in_a[x], in_b[x], strict=False)]
+    pairs.sort(key=lambda p: (p[0], -p[1]))  # falling, so that a line is taken once
+    return [pairs[i] for i in rising([j for _, j in pairs])]
+
+
+def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Patience alignment of two lists of lines: pairs of places with equal lines, rising on both sides."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, i_end, j, j_end = todo.pop()
+        while i < i_end and j < j_end and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < i_end and j < j_end and a[i_end - 1] == b[j_end - 1]:
+            i_end, j_end = i_end - 1, j_end - 1
+            out.append((i_end, j_end))
+        if i == i_end or j == j_end:
+            continue
+        n, m = Counter(a[i:i_end]), Counter(b[j:j_end])
+        place = {x: y for y, x in enumerate(b[j:j_end], j) if m[x] == 1 and n.get(x) == 1}
+        anchors = [(y, place[x]) for y, x in enumerate(a[i:i_end], i) if x in place]
+        if not anchors:
+            out += [(i + x, j + y) for x, y in longest(a[i:i_end], b[j:j_end])]
+            continue
+        kept = [anchors[x] for x in rising([y for _, y in anchors])]
+        out += kept
+        low = (i - 1, j - 1)
+        for high in [*kept, (i_end, j_end)]:
+            todo.append((low[0] + 1, high[0], low[1] + 1, high[1]))
+            low = high
     return sorted(out)
 
 
-def matches(own: list[dict]) -> list[tuple[int, int, bool]]:
-    """(place, place in the owner, single in both) of the lines shared with one owner."""
-    out, left = [], MAX_MATCHES
-    for r in sorted(own, key=lambda r: len(r["places"]) * len(r["oplaces"])):
-        p, o = r["places"], r["oplaces"]
-        left -= len(p) * len(o)
-        pairs = [(x, y) for x in p for y in o] if left >= 0 else list(zip(p, o, strict=False))
-        out += [(x, y, len(p) == len(o) == 1) for x, y in pairs]
-    return out
-
-
 def runs(places: list[int]) -> list[list[int]]:
     out: list[list[int]] = []
     for p in places:
@@ -152,69 +168,91 @@ def runs(places: list[int]) -> list[list[int]]:
     return out
 
 
-def deletions(rows: list[dict], min_words: int) -> tuple[list[int], list[int]]:
-    """Line numbers to delete, and the keys of the owners used. ``rows``: one document's shared lines and runs."""
-    by_owner: dict[tuple, list[dict]] = {}
-    line: dict[int, int] = {}
-    used: dict[int, set] = {}
-    sure: set[int] = set()
-    for r in rows:
-        line.update(zip(r["places"], r["lines"], strict=True))
-        if r["run"] or r["words"] >= min_words:
-            sure.update(r["places"])
-            for p in r["places"]:
-                used.setdefault(p, set()).add(r["ok"])
-        if not r["run"]:
-            by_owner.setdefault((r["ok"], r["ot"]), []).append(r)
-    for (ok, _), own in by_owner.items():
-        words = {p: r["words"] for r in own for p in r["places"]}
-        for run in runs(aligned(matches(own))):
-            for p in run:
-                used.setdefault(p, set()).add(ok)
-            if sum(words[p] for p in run) >= min_words:
-                sure.update(run)
-    gone = [p for run in runs(sorted(used)) if not sure.isdisjoint(run) for p in run]
-    return [line[p] for p in gone], sorted(set().union(*[used[p] for p in gone]), key=lambda x: (x is None, x))
-
-
-def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def common_blocks(later: np.ndarray, earlier: np.ndarray, words: np.ndarray, min_words: int) -> tuple[list[int], list[int]]:
+    """Places of the later document that align with the earlier one, and those of them in blocks of ``min_words`` words."""
+    a, b = np.flatnonzero(np.isin(later, earlier)), np.flatnonzero(np.isin(earlier, later))
+    used = a[[i for i, _ in align(later[a].tolist(), earlier[b].tolist())]].tolist() if len(a) else []
+    return used, [p for run in runs(used) if words[run].sum() >= min_words for p in run]
+
+
+def deletions(pairs: list[dict], numbers: list[int]) -> tuple[list[int], list]:
+    """Line numbers to delete, and the keys of the earlier documents that hold them. ``pairs``: one document's blocks."""
+    sure = {p for x in pairs for p in x["sure"]}
+    used = sorted({p for x in pairs for p in x["used"]})
+    gone = {p for run in runs(used) if not sure.isdisjoint(run) for p in run}
+    owners = {x["ok"] for x in pairs if not gone.isdisjoint(x["used"])}
+    return [numbers[p] for p in sorted(gone)], sorted(owners, key=lambda x: (x is None, x))
+
+
+def _who(k: str, t: str) -> Column:
+    return F.struct(F.col(k).isNull().alias("late"), F.col(k).alias("k"), F.col(t).alias("t"))
+
+
+def links(table: DataFrame, rare: int) -> DataFrame:
+    """Distinct pairs of documents to align: (k, t) the later one, (ok, ot) the earlier one; by key, null last, then text."""
+    keys = table.select("k", "t", F.explode(F.arrays_zip("keys", "heavy")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.heavy").alias("heavy"), _who("k", "t").alias("who"))
+    found = keys.groupBy("key").agg(F.min("who").alias("first"), F.count(F.lit(1)).alias("n"), F.max("heavy").alias("heavy"))
+    found = found.filter((F.col("n") > 1) & ((F.col("n") <= rare) | F.col("heavy"))).select("key", "first", (F.col("n") <= rare).alias("few"))
+    shared = stored(keys.select("key", "who").join(sent(found, "keys", BROADCAST_ROWS), "key"), "shared")
+    many = shared.filter(~F.col("few")).select(F.col("who").alias("a"), F.col("first").alias("b"))
+    holders = shared.filter("few").groupBy("key").agg(F.array_sort(F.collect_set("who")).alias("w"))  # `rare` of them at most
+    each = F.flatten(F.transform("w", lambda x, i: F.transform(F.slice("w", F.lit(1), i), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    few = holders.select(F.explode(each).alias("x")).select("x.a", "x.b")
+    return many.union(few).filter("a <> b").distinct().select(F.col("a.k").alias("k"), F.col("a.t").alias("t"), F.col("b.k").alias("ok"), F.col("b.t").alias("ot"))
+
+
+def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, rare: int = RARE, long: int = LONG) -> DataFrame:
     """``k``, ``t`` (key and text hash), ``deleted`` (line numbers from 0), ``owners`` (keys of the earlier documents).
 
     Only documents with something to delete have a row. A document is its key and its text; documents go by key, null
     last, then by the text's hash.
     """
     kind = docs.schema[key].dataType.simpleString()
-    lines = stored(line_rows(docs, key, text, min_words), "lines")
-    who = F.struct(F.col("k").isNull().alias("late"), "k", "t", F.when(~F.col("run"), F.col("places")).alias("places"))
-    owner = lines.groupBy("h1", "h2", "run").agg(F.min(who).alias("o"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "run", F.col("o.k").alias("ok"), F.col("o.t").alias("ot"), F.col("o.places").alias("oplaces"))
-    owner = sent(owner, "owners", BROADCAST_ROWS)
-    shared = lines.join(owner, ["h1", "h2", "run"]).filter(~(F.col("k").eqNullSafe(F.col("ok")) & (F.col("t") == F.col("ot"))))
-    item = F.struct("places", "lines", "words", "run", "ok", "ot", "oplaces")
-    one = shared.groupBy("k", "t").agg(F.collect_set(item).alias("rows"), F.sum(F.col("words") * F.size("places")).alias("w")).filter(F.col("w") >= min_words).select("k", "t", "rows")
+    table = stored(line_table(docs, key, text, long), "lines")
+    pairs = stored(links(table, rare), "pairs")
+    involved = pairs.select("k", "t").union(pairs.select("ok", "ot")).distinct().select(F.col("k").alias("k2"), F.col("t").alias("t2"))
+    same = lambda k, t, k2, t2: F.col(k).eqNullSafe(F.col(k2)) & (F.col(t) == F.col(t2))
+    own = table.select("k", "t", "lines", "words", "numbers").join(sent(involved, "involved", BROADCAST_ROWS), same("k", "t", "k2", "t2"), "left_semi")
+    own = stored(own.dropDuplicates(["k", "t"]), "involved")
+    earlier = own.select(F.col("k").alias("k2"), F.col("t").alias("t2"), F.col("lines").alias("others"))
+    later = own.select(F.col("k").alias("k3"), F.col("t").alias("t3"), "lines", "words", "numbers")
+    both = pairs.join(earlier.hint("merge"), same("ok", "ot", "k2", "t2")).select("k", "t", "ok", "others")
+    both = both.join(later.hint("merge"), same("k", "t", "k3", "t3")).select("k", "t", "ok", "lines", "others", "words", "numbers")
+
+    def aligned(batches):
+        for b in batches:
+            found = []
+            for x, y, w in zip(b.column("lines"), b.column("others"), b.column("words"), strict=True):
+                found.append(common_blocks(*(v.values.to_numpy(zero_copy_only=False) for v in (x, y, w)), min_words))
+            lists = [pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (0, 1)]
+            out = pa.RecordBatch.from_arrays([b.column("k"), b.column("t"), b.column("ok"), b.column("numbers"), *lists], names=["k", "t", "ok", "numbers", "used", "sure"])
+            yield out.filter(pa.array([len(f[0]) > 0 for f in found], pa.bool_()))
 
-    def run(batches):
+    blocks = both.mapInArrow(tidy(aligned), f"k {kind}, t long, ok {kind}, numbers array<int>, used array<int>, sure array<int>")
+    one = blocks.groupBy("k", "t").agg(F.collect_list(F.struct("ok", "used", "sure")).alias("pairs"), F.first("numbers").alias("numbers"))
+
+    def cut(batches):
         for b in batches:
-            found = [deletions(r, min_words) for r in b.column(2).to_pylist()]
-            cut = pa.array([d for d, _ in found], pa.list_(pa.int32()))
-            own = pa.array([o for _, o in found], pa.list_(b.schema.field("k").type))
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), cut, own], names=["k", "t", "deleted", "owners"])
+            found = [deletions(p, n) for p, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([d for d, _ in found], pa.list_(pa.int32())), pa.array([o for _, o in found], pa.list_(b.schema.field("k").type))], names=["k", "t", "deleted", "owners"])
             yield out.filter(pa.array([len(d) > 0 for d, _ in found], pa.bool_()))
 
-    return one.mapInArrow(tidy(run), f"k {kind}, t long, deleted array<int>, owners array<{kind}>")
+    return one.mapInArrow(tidy(cut), f"k {kind}, t long, deleted array<int>, owners array<{kind}>")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, into: str = "repeats") -> DataFrame:
-    """``docs`` with the repeated runs of lines cut from ``text``, and the struct ``into``: ``deleted``, ``owners``.
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, rare: int = RARE, long: int = LONG, into: str = "repeats") -> DataFrame:
+    """``docs`` with the lines cut from ``text`` that align with an earlier document, and the struct ``into``: ``deleted``,
+    ``owners``.
 
-    Of documents with a common run of lines (of ``min_words`` words in all) the earliest keeps it. Every run that an
-    earlier document holds in one piece is found; one with other lines between in the earlier document is found where
-    that document is the first to hold enough of its lines. A text that is
+    Two documents are aligned if they share a line that ``rare`` rows hold at most; a line of ``long`` words or a run of
+    lines of as many words also links each of its holders to the first, however many there are. Of an aligned pair the
+    later one loses the aligned blocks of ``min_words`` words, and the aligned lines that adjoin them. A text that is
     repeated whole becomes empty. Null and empty texts stay as they are; lines without a word are never deleted and do
-    not part a run. Rows with equal key and text are one document, so all of them are treated alike. An empty table
-    gives an empty result. Other columns stay; one that is named ``into`` is replaced.
+    not part a block. Rows with equal key and text are one document, so all of them are treated alike (each counts as a
+    holder). An empty table gives an empty result. Other columns stay; one that is named ``into`` is replaced.
     """
-    found = stored(find_repeats(docs, key, text, min_words), "repeats").select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.struct("deleted", "owners").alias("__found"))
-    items = found.agg(F.coalesce(F.sum(1 + F.size("__found.deleted")), F.lit(0))).first()[0]
+    found = stored(find_repeats(docs, key, text, min_words, rare, long), "repeats").select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.struct("deleted", "owners").alias("__found"))
+    items = found.agg(F.coalesce(F.sum(16 + F.size("__found.deleted") + F.size("__found.owners")), F.lit(0))).first()[0]
     found = F.broadcast(found) if items <= BROADCAST_ITEMS else found.hint("merge")
     rows = docs.drop(into).withColumn("__h", F.xxhash64(F.col(text)))
     out = rows.join(found, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__h") == F.col("__t")), "left")

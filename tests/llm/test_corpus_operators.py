@@ -236,8 +236,10 @@ def brute_hits(texts, items, window=10):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 20, 200])
-def test_decontamination(spark, block):
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_decontamination(spark, monkeypatch, rows):
+    """With few rows sent to all tasks, and with shuffles alone."""
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", rows)
     rng = random.Random(3)
     items = [(i, prose(rng, n, 60)) for i, n in enumerate([30, 12, 10, 9, 4, 1, 15, 40])] + [(8, ""), (9, None), (10, prose(rng, 10, 60))]
     texts = []
@@ -250,7 +252,7 @@ def test_decontamination(spark, block):
         texts.append((i, " ".join([*w[:at], *cutout, *w[at:]]).upper() if i % 3 == 0 else ", ".join([*w[:at], *cutout, *w[at:]])))
     texts += [(60, None), (61, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    out = decontamination.find_benchmark(docs(spark, texts, leaks="clash"), bench, block_bytes=block).select("doc_id", "leaks.*", decontamination.n_hit().alias("n_hit")).collect()
+    out = decontamination.find_benchmark(docs(spark, texts, leaks="clash"), bench).select("doc_id", "leaks.*", decontamination.n_hit().alias("n_hit")).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_hit"], ",".join(r["items"])) for r in out} == brute_hits(texts, items)
     assert decontamination.find_benchmark(docs(spark, texts), bench.limit(0)).filter(decontamination.n_hit() > 0).count() == 0
 
@@ -527,7 +529,7 @@ def test_line_dedup(spark):
         (5, f"{p[1]}\n{p[1]}\n{own()}"), (6, f"{own()}\n{p[1]}"), (7, None), (8, ""), (9, "\n\n"),
     ]
     texts += [(10, texts[3][1]), (10, texts[3][1]), (-1, f"{p[0]}\nnull key")]
-    out = lines.dedup_lines(docs(spark, texts, repeats="clash", k="clash")).collect()
+    out = lines.dedup_lines(docs(spark, texts, repeats="clash", k="clash"), min_words=25).collect()
     got = {r["doc_id"]: (r["text"], r["repeats"]["deleted"] if r["repeats"] else []) for r in out}
     assert len(out) == len(texts)
     src = dict((i if i >= 0 else None, t) for i, t in texts)
@@ -552,21 +554,95 @@ def test_line_dedup_finds_every_passage(spark):
         (10, f[:2]), (11, f[1:3]), (12, f[2:4]), (13, f[3:]), (14, f), (15, [line(5), *f]),  # each pair has another owner
         (16, [c, line(3), a, line(3), b]), (17, [line(4)] * 2000), (18, [line(2), *[line(4)] * 2000]),
     ]
-    out = {r["doc_id"]: r["repeats"]["deleted"] if r["repeats"] else [] for r in lines.dedup_lines(docs(spark, [(i, "\n".join(t)) for i, t in texts])).collect()}
+    out = {r["doc_id"]: r["repeats"]["deleted"] if r["repeats"] else [] for r in lines.dedup_lines(docs(spark, [(i, "\n".join(t)) for i, t in texts]), min_words=25).collect()}
     assert {i: v for i, v in out.items() if v} == {2: [2, 3, 4, 5], 3: [0, 1, 2, 3, 5, 6, 7, 8], 6: [1, 2], 15: [1, 2, 3, 4, 5]}
 
 
 def test_alignment_chooses_the_occurrence():
-    row = lambda places, oplaces: {"places": places, "lines": places, "words": 12, "run": False, "ok": 1, "ot": 1, "oplaces": oplaces}
     # the owner has other lines between a, b and c; the later document has one more b before them
-    assert lines.deletions([row([2], [0]), row([0, 3], [2]), row([4], [4])], 25) == ([2, 3, 4], [1])
+    assert lines.align(list("bxabc"), list("aqbrc")) == [(2, 0), (3, 2), (4, 4)]
+    one = {"ok": 1, "used": [2, 3, 4], "sure": [2, 3, 4]}
+    assert lines.deletions([one, {"ok": 7, "used": [6], "sure": []}], [0, 1, 3, 4, 5, 6, 8]) == ([3, 4, 5], [1])
 
 
 def test_line_order_matters():
     # b a is not aligned with a b: only one of the two lines can be
-    assert len(lines.aligned([(0, 1, True), (1, 0, True)])) == 1
-    assert lines.aligned([(0, 0, True), (1, 1, False), (2, 2, True), (3, 9, False)]) == [0, 1, 2, 3]
+    assert len(lines.align(list("ab"), list("ba"))) == 1
     assert lines.rising([3, 1, 2, 2, 5]) == [1, 2, 4] or lines.rising([3, 1, 2, 2, 5]) == [1, 3, 4]
+    assert lines.longest(list("xyxy"), list("yxyx"))[0][0] < 2 and len(lines.longest(list("xyxy"), list("yxyx"))) == 3
+
+
+def test_alignment_recurses():
+    """Lines that are single only between two anchors are anchors there."""
+    a, b = list("pqAqpBpq"), list("qpAqpBqp")
+    got = lines.align(a, b)
+    assert [(i, j) for i, j in got if 2 <= i <= 5] == [(2, 2), (3, 3), (4, 4), (5, 5)] and len(got) == 6
+    assert lines.align(["l"] * 3000, ["l"] * 2500 + ["m"]) == [(i, i) for i in range(2500)]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_alignment_is_a_common_run(seed):
+    rng = random.Random(seed)
+    a, b = ([rng.choice("abcdefgh"[: rng.randrange(2, 9)]) for _ in range(rng.randrange(12))] for _ in range(2))
+    got = lines.align(a, b)
+    assert all(a[i] == b[j] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
+    if not got:
+        assert not set(a) & set(b)
+
+
+def test_three_documents(spark):
+    """The passage of 2 and 3 is found although 1 holds each of its lines first, in the other order."""
+    rng = random.Random(15)
+    six = [prose(rng, 12, 10**6) for _ in range(6)]
+    texts = [(1, "\n".join(six[::-1])), (2, "\n".join(six)), (3, "\n".join([*six, "tail"]))]
+    out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs(spark, texts)).collect()}
+    assert out[3] == "tail" and out[1] == texts[0][1]
+
+
+def brute_dedup(texts, rare, long, min_words):
+    """Every linked pair, one by one: texts as lists of lines, all with words; by key."""
+    hold, heavy = collections.defaultdict(set), set()
+    n = lambda x: len(x.split())
+    for i, t in texts.items():
+        for x in range(len(t)):
+            for y in range(x + 1, len(t) + 1):
+                w = [n(v) for v in t[x:y]]
+                # a line, or a run that is long and would not be without its first or last line
+                if y - x == 1 or sum(w) >= long and (sum(w[1:]) < long or sum(w[:-1]) < long):
+                    hold[tuple(t[x:y])].add(i)
+                    if sum(w) >= long:
+                        heavy.add(tuple(t[x:y]))
+    pairs = set()
+    for k, ids in hold.items():
+        if len(ids) <= rare:
+            pairs |= {(a, b) for a in ids for b in ids if b < a}
+        elif k in heavy:
+            pairs |= {(a, min(ids)) for a in ids if a != min(ids)}
+    out = {}
+    for i, t in texts.items():
+        own = []
+        for a, b in pairs:
+            if a == i:
+                used = [x for x, _ in lines.align(t, texts[b])]
+                own.append({"ok": b, "used": used, "sure": [p for r in lines.runs(used) if sum(n(t[q]) for q in r) >= min_words for p in r]})
+        gone, _ = lines.deletions(own, list(range(len(t))))
+        out[i] = [x for p, x in enumerate(t) if p not in gone]
+    return out
+
+
+@pytest.mark.parametrize("rows,min_words,rare", [(500_000, 1, 3), (0, 1, 2), (500_000, 12, 4)])
+def test_line_dedup_by_brute_force(spark, monkeypatch, rows, min_words, rare):
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", rows)
+    rng = random.Random(16)
+    pool = [prose(rng, rng.choice([1, 2, 5, 9, 13, 30]), 10**6) for _ in range(60)]
+    texts = {}
+    for i in range(70):
+        t = [rng.choice(pool) if rng.random() < 0.5 else prose(rng, rng.randrange(1, 20), 10**6) for _ in range(rng.randrange(1, 9))]
+        at = rng.randrange(60)
+        texts[i] = t + pool[at : at + rng.randrange(4)]
+    df = docs(spark, [(i, "\n".join(t)) for i, t in texts.items()])
+    out = {r["doc_id"]: r["text"].split("\n") if r["text"] else [] for r in lines.dedup_lines(df, min_words=min_words, rare=rare).collect()}
+    assert out == brute_dedup(texts, rare, lines.LONG, min_words)
 
 
 # quality
