@@ -1,12 +1,15 @@
 """N-gram Jaccard self-join: a MinHash LSH forest, then exact verification.
 
 A text is the set of its five-word shingles; texts of equal sets are one class of copies and go on as one. Each tree of
-the forest sorts the sets by a signature of MinHash values, and sets below one trie node share a prefix of it. The
-prefix starts at its full length and is shortened until pairs at the threshold meet in some tree with the target
-probability. Sets that meet, directly or through others, are a neighbourhood; in it every pair is verified by counting
-common shingles, in blocks of bounded size, so no pair is ever a row: a block gives the number of links of each set
-and a forest of links that joins what is linked. Large neighbourhoods are split into blocks, and each pair of blocks is
-a piece of work of its own.
+the forest labels a set with ``LONGEST`` digests of MinHash values, most significant first, so that sorted labels are a
+prefix trie. Sets below one trie node at a level are compared pair by pair, by counting common shingles. The forest is
+first read at its longest prefixes, where few sets meet by chance. The links found there, each weighted by one over its
+chance to be found, tell how similar linked sets are in these data, and so which share of all links any shorter prefix
+finds: prefixes are shortened as far as the target recall needs, and what is then found is weighed again.
+
+Nodes with the same sets are one piece of work, and a pair that meets in several pieces counts in the first alone, so
+no pair is ever a row: a piece gives the number of links of each set and a forest of links that joins what is linked.
+Large pieces are split into blocks, and each pair of blocks is a piece of its own.
 """
 
 from __future__ import annotations
@@ -23,19 +26,30 @@ from cohortlake.llm.components import components
 from cohortlake.llm.words import LETTERS, LOWER, Words, chunks, find_words, grams, mix
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, LONGEST, RECALL = 16, 8, 0.999
-#: Shingles in a block of one neighbourhood, and in what one task works on, in the mean.
+TREES, LONGEST, RECALL = 16, 8, 0.9995
+#: Shingles in a block of one piece, and half of those that one task works on, in the mean.
 BLOCK = 1_000_000
 #: Rows (about 60 bytes each) that may be sent to every task.
 BROADCAST_ROWS = 500_000
 #: Bytes of a block's bit table; beyond them common shingles are counted from posting lists.
-BITS_BYTES = 64 << 20
+BITS_BYTES = 32 << 20
 
 
-def prefix_length(threshold: float, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> int:
-    """The longest prefix at which pairs of ``threshold`` similarity share a node of some tree often enough."""
-    k = longest
-    while k > 1 and 1 - (1 - threshold**k) ** trees < recall:
+def meets(similarity: np.ndarray | float, length: int, trees: int):
+    """The chance that two sets share a node at this level in some tree."""
+    return 1 - (1 - np.asarray(similarity) ** length) ** trees
+
+
+def next_length(similarity: np.ndarray, found: np.ndarray, length: int, threshold: float, trees: int, recall: float) -> int:
+    """The longest prefix, of ``length`` at most, that is expected to find the share ``recall`` of all links.
+
+    ``found``: links of each ``similarity`` found at ``length``. One link at the threshold counts besides them, so that
+    few or no links found mean caution.
+    """
+    weight = np.append(found / meets(similarity, length, trees), 1.0)
+    similarity = np.append(similarity, threshold)
+    k = length
+    while k > 1 and (weight * meets(similarity, k, trees)).sum() < recall * weight.sum():
         k -= 1
     return k
 
@@ -71,10 +85,11 @@ def _reduce(f, values: np.ndarray, border: np.ndarray, none: int) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, key: str, text: str, k: int, trees: int, length: int) -> DataFrame:
-    """Per row: k, t, n (distinct shingles), s (a 64-bit id of the set) and nodes (one 64-bit trie node for each tree)."""
+def signatures(docs: DataFrame, key: str, text: str, k: int, trees: int) -> DataFrame:
+    """Per row: k, t, n (distinct shingles), s (a 64-bit id of the set) and its labels: in each tree 128 bits, of which
+    ``hi`` holds the first four digests and ``lo`` the other four."""
     kind = docs.schema[key].dataType.simpleString()
-    odd = mix(np.arange(1, trees * length + 1, dtype=np.uint64)) | np.uint64(1)
+    odd = mix(np.arange(1, trees * LONGEST + 1, dtype=np.uint64)) | np.uint64(1)
 
     def run(batches):
         for batch in batches:
@@ -83,24 +98,34 @@ def signatures(docs: DataFrame, key: str, text: str, k: int, trees: int, length:
                 h, border = shingles(find_words(part.column(2), LETTERS, LOWER), k)
                 n = np.diff(border)
                 s = mix(_reduce(np.add, mix(h ^ np.uint64(0x5851F42D4C957F2D)), border, 0) + n.astype(np.uint64))
-                nodes = np.zeros((len(n), trees), dtype=np.uint64)
+                label = np.zeros((2, len(n), trees), dtype=np.uint64)
                 for t in range(trees):
-                    node = np.full(len(n), t + 1, dtype=np.uint64)
-                    for j in range(length):
-                        node = mix(node + _reduce(np.minimum, h * odd[t * length + j], border, 0))
-                    nodes[:, t] = node
-                flat = pa.array(nodes.ravel().view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * trees), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int64)), pa.array(s.view(np.int64)), lists], names=["k", "t", "n", "s", "nodes"])
+                    for j in range(LONGEST):
+                        digest = mix(_reduce(np.minimum, h * odd[t * LONGEST + j], border, 0)) & np.uint64(0xFFFF)
+                        label[j // 4, :, t] = label[j // 4, :, t] << np.uint64(16) | digest
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * trees), pa.array(x.ravel().view(np.int64))) for x in label]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int64)), pa.array(s.view(np.int64)), *lists], names=["k", "t", "n", "s", "hi", "lo"])
 
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x"))
-    return rows.mapInArrow(tidy(run), f"k {kind}, t long, n long, s long, nodes array<long>")
+    return rows.mapInArrow(tidy(run), f"k {kind}, t long, n long, s long, hi array<long>, lo array<long>")
+
 
+def nodes(sets: DataFrame, length: int) -> DataFrame:
+    """``s``, ``n`` and ``node``: the trie node of each tree that holds the set at this level."""
+    each = sets.select("s", "n", F.posexplode(F.arrays_zip("hi", "lo")).alias("tree", "x"))
+    hi = F.shiftright("x.hi", max(0, 64 - 16 * length))
+    lo = F.shiftright("x.lo", 128 - 16 * length) if length > 4 else F.lit(0).cast("long")
+    return each.select("s", "n", F.xxhash64("tree", hi, lo).alias("node"))
 
-def links(sizes: np.ndarray, h: np.ndarray, border: np.ndarray, side: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Number of links of each set, and a forest of links (pairs of rows) that joins what the links join.
 
-    ``side``: all 0, each pair counts; otherwise pairs of a row of side 0 with one of side 1 count.
+def links(
+    sizes: np.ndarray, h: np.ndarray, border: np.ndarray, side: np.ndarray, threshold: Fraction, before: np.ndarray | None = None
+) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
+    """Number of links of each set, a forest of links (pairs of rows) that joins what the links join, and the number of
+    links of each similarity in hundredths.
+
+    ``side``: all 0, each pair counts; otherwise pairs of a row of side 0 with one of side 1 count. ``before``: for each
+    row the earlier pieces that hold it (padded with rows' own negative numbers); pairs with a common one do not count.
     """
     n = len(sizes)
     cross = bool(side.any())
@@ -135,6 +160,8 @@ def links(sizes: np.ndarray, h: np.ndarray, border: np.ndarray, side: np.ndarray
     found = np.zeros(n, dtype=np.int64)
     label = np.arange(n)
     forest: list[tuple[int, int]] = []
+    similar_by = np.zeros(101, dtype=np.int64)
+    before = None if before is None else before[rank]
     step = max(1, (8 << 20) // (8 * width))
     for i in range(n - 1):
         hits = []
@@ -142,18 +169,25 @@ def links(sizes: np.ndarray, h: np.ndarray, border: np.ndarray, side: np.ndarray
             for a in range(i + 1, int(reach[i]), step):
                 b = min(a + step, int(reach[i]))
                 common = np.bitwise_count(bits[a:b] & bits[i]).sum(axis=1, dtype=np.int64)
-                hits.append(a + np.flatnonzero(common * (p + q) >= p * (size[i] + size[a:b])))
+                good = np.flatnonzero(common * (p + q) >= p * (size[i] + size[a:b]))
+                hits.append((a + good, common[good]))
         else:
             mine = own[own_at[i] : own_at[i + 1]]
             if len(mine):
                 met = np.concatenate([posting[post_at[c] : post_at[c + 1]] for c in mine.tolist()])
                 at, common = np.unique(met[met > i], return_counts=True)
-                hits.append(at[common * (p + q) >= p * (size[i] + size[at])])
-        j = np.concatenate(hits) if hits else np.zeros(0, np.int64)
-        if cross:
-            j = j[side[j] != side[i]]
+                good = common * (p + q) >= p * (size[i] + size[at])
+                hits.append((at[good], common[good]))
+        if not hits:
+            continue
+        j, common = (np.concatenate(x) for x in zip(*hits, strict=True))
+        fresh = side[j] != side[i] if cross else np.ones(len(j), bool)
+        if before is not None and before.shape[1]:
+            fresh &= ~(before[j][:, :, None] == before[i][None, None, :]).any(axis=(1, 2))
+        j, common = j[fresh], common[fresh]
         if not len(j):
             continue
+        similar_by += np.bincount(100 * common // (size[i] + size[j] - common), minlength=101)
         found[i] += len(j)
         found[j] += 1
         away = j[label[j] != label[i]]
@@ -163,40 +197,85 @@ def links(sizes: np.ndarray, h: np.ndarray, border: np.ndarray, side: np.ndarray
             away = away[label[away] != label[i]]
     out = np.zeros(n, dtype=np.int64)
     out[rank] = found
-    return out, forest
+    return out, forest, similar_by
 
 
-_WORK = "piece long, s long, n long, side int, shingles binary"
-_FOUND = "s long, other long, n_links long"
+#: kind 0: a set and its number of links; 1: two linked sets; 2: a similarity in hundredths and its number of links.
+_FOUND = "kind int, s long, other long, n long"
 
 
 def _verify(threshold: Fraction):
     def run(table):
-        table = table.combine_chunks().sort_by([("piece", "ascending"), ("s", "ascending")])
-        piece = table.column("piece").to_numpy()
-        s, n, side = (table.column(c).to_numpy() for c in ("s", "n", "side"))
+        table = table.combine_chunks().sort_by([("work", "ascending"), ("s", "ascending")])
+        work, piece, s, n, side = (table.column(c).to_numpy() for c in ("work", "piece", "s", "n", "side"))
         data = table.column("shingles").combine_chunks()
         h, border = np.frombuffer(b"".join(x.as_py() for x in data), dtype=np.uint64), np.concatenate([[0], np.cumsum(n)])
-        out_s, out_o, out_n = [], [], []
-        begin = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]])) if len(piece) else []
-        for a, b in zip(begin, [*begin[1:], len(piece)], strict=True):
-            own = border[a : b + 1]
-            count, forest = links(n[a:b], h[own[0] : own[-1]], own - own[0], side[a:b], threshold)
+        held = table.column("pieces").combine_chunks()
+        own_at, own = held.offsets.to_numpy(), held.values.to_numpy(zero_copy_only=False)
+        out: list[list] = [[], [], [], []]
+
+        def add(kind, *cols):
+            for x, v in zip(out, (np.full(len(cols[0]), kind, np.int32), *cols), strict=True):
+                x.append(v)
+
+        begin = np.flatnonzero(np.concatenate([[True], work[1:] != work[:-1]])) if len(work) else []
+        for a, b in zip(begin, [*begin[1:], len(work)], strict=True):
+            at = border[a : b + 1]
+            width = int(np.diff(own_at[a : b + 1]).max())
+            before = np.repeat(-1 - np.arange(b - a, dtype=np.int64)[:, None], width, axis=1)  # no piece is below 0
+            for i in range(b - a):
+                mine = own[own_at[a + i] : own_at[a + i + 1]]
+                mine = mine[mine < piece[a]]
+                before[i, : len(mine)] = mine
+            count, forest, similar_by = links(n[a:b], h[at[0] : at[-1]], at - at[0], side[a:b], threshold, before)
             some = np.flatnonzero(count)
-            out_s.append(s[a:b][some])
-            out_o.append(s[a:b][some])
-            out_n.append(count[some])
-            if forest:
-                pair = s[a:b][np.array(forest)]
-                out_s.append(pair[:, 0])
-                out_o.append(pair[:, 1])
-                out_n.append(np.zeros(len(pair), np.int64))
-        cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-        return pa.table({"s": cat(out_s), "other": cat(out_o), "n_links": cat(out_n)})
+            add(0, s[a:b][some], s[a:b][some], count[some])
+            pair = s[a:b][np.array(forest, dtype=np.int64).reshape(-1, 2)]
+            add(1, pair[:, 0], pair[:, 1], np.ones(len(pair), np.int64))
+            some = np.flatnonzero(similar_by)
+            add(2, some, some, similar_by[some])
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        return pa.table({name: pa.array(np.concatenate(x) if x else [], kind) for name, x, kind in zip(("kind", "s", "other", "n"), out, kinds, strict=True)})
 
     return run
 
 
+def _work(texts: DataFrame, k: int) -> DataFrame:
+    """One row per set and piece of work. A piece of b blocks has work for each block and each pair of blocks."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b in chunks(batch.column(2)):
+                part = batch.slice(a, b - a)
+                h, border = shingles(find_words(part.column(2), LETTERS, LOWER), k)
+                data = pa.array([h[x:y].tobytes() for x, y in zip(border[:-1], border[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(border).astype(np.int64)), data], names=["s", "held", "n", "shingles"])
+
+    rows = texts.select("s", "held", "x").mapInArrow(tidy(run), "s long, held array<struct<piece: long, blocks: int>>, n long, shingles binary").dropDuplicates(["s"])
+    rows = rows.select("s", "n", "shingles", F.col("held.piece").alias("pieces"), F.explode("held").alias("p"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("s"), F.col("p.blocks")).cast("int"))
+    other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p.blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    return other.select(F.xxhash64("p.piece", low, high).alias("work"), F.col("p.piece").alias("piece"), "pieces", "s", "n", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "shingles")
+
+
+def found_at(docs: DataFrame, sets: DataFrame, length: int, key: str, text: str, k: int, threshold: float, block: int) -> DataFrame:
+    """What is found (``_FOUND``) among the sets that share a node at this level, all of it exact."""
+    below = nodes(sets.filter("n > 0"), length)
+    groups = below.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("s")).alias("x")).filter("c > 1")
+    piece = F.xxhash64("x", "c", "w").bitwiseAND((1 << 62) - 1)  # nodes of the same sets have the same
+    groups = groups.select("node", F.struct(piece.alias("piece"), F.ceil(F.col("w") / block).cast("int").alias("blocks")).alias("p"))
+    held = below.join(sent(groups, "nodes", BROADCAST_ROWS), "node").groupBy("s").agg(F.collect_set("p").alias("held"))  # one a tree at most
+    near = stored(sets.select("s", "k", "t", "n").join(held, "s"), "near")
+    total, some = near.agg(F.sum(F.col("n") * F.aggregate("held", F.lit(0), lambda a, p: a + p["blocks"])), F.count(F.lit(1))).first()
+    tasks = int((total or 0) // (2 * block)) + 1
+    who = near.select("s", F.col("k").alias("k2"), F.col("t").alias("t2"), "held")
+    who = F.broadcast(who) if some <= BROADCAST_ROWS // 4 else who  # these rows are wider
+    texts = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x"))
+    texts = texts.join(who, F.col("k").eqNullSafe(F.col("k2")) & (F.col("t") == F.col("t2")))
+    return stored(_work(texts, k).groupBy(bucket_of(tasks, "work").alias("task")).applyInArrow(_verify(Fraction(threshold).limit_denominator(1000)), _FOUND), "links")
+
+
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = WORDS, trees: int = TREES, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """Per row of ``docs``: k (key), t (text hash), copy_of, class_id, n_links.
 
@@ -204,29 +283,23 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     directly or not. n_links: how many other sets are similar by at least ``threshold``. Case and what stands between
     words do not count. Texts without a word, null included, have the empty set: one class, no links. A null key comes
     after all others; repeated rows are copies of each other; an empty table gives an empty result; other columns are
-    ignored. The pairs that are missed share no node in any tree and in no third set's: under 1 - ``recall`` of those
-    at the threshold, fewer above it. All links found are exact.
+    ignored. ``recall``: the share of all links that the prefixes in use find in the mean, as weighed by those found.
+    All links found are exact.
     """
-    length = prefix_length(threshold, trees, recall=recall)
-    rows = stored(signatures(docs, key, text, k, trees, length), "signatures")
-    sets = rows.groupBy("s").agg(F.min(F.struct(F.col("k").isNull().alias("late"), "k", "t")).alias("first"), F.min("n").alias("n"), F.min("nodes").alias("nodes"))
-    sets = stored(sets.select("s", F.col("first.k").alias("k"), F.col("first.t").alias("t"), "n", "nodes"), "sets")
-    below = sets.filter("n > 0").select("s", F.explode("nodes").alias("node"))
-    tops = below.groupBy("node").agg(F.min("s").alias("top"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("node", "top")
-    tops = sent(tops, "tops", BROADCAST_ROWS)
-    meet = components(below.join(tops, "node").filter("s <> top").select(F.col("s").alias("u"), F.col("top").alias("v")))
-    near = sets.select("s", "k", "t", "n").join(meet.select(F.col("id").alias("s"), "component"), "s")
-    weight = near.groupBy("component").agg(F.sum("n").alias("w")).select("component", F.ceil(F.col("w") / block).cast("int").alias("blocks"))
-    near = stored(near.join(weight, "component").select("s", "k", "t", "n", "component", "blocks"), "near")
-    total, some = near.agg(F.sum(F.col("n") * F.col("blocks")), F.count(F.lit(1))).first()
-    tasks = int((total or 0) // (2 * block)) + 1
-    who = near.select("s", F.col("k").alias("k2"), F.col("t").alias("t2"), "component", "blocks")
-    who = F.broadcast(who) if some <= BROADCAST_ROWS else who
-    texts = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x"))
-    texts = texts.join(who, F.col("k").eqNullSafe(F.col("k2")) & (F.col("t") == F.col("t2"))).select("s", "component", "blocks", "x")
-    found = stored(_work(texts, k).groupBy(bucket_of(tasks, "piece").alias("task")).applyInArrow(_verify(Fraction(threshold).limit_denominator(1000)), _FOUND), "links")
-    joined = components(found.filter("s <> other").select(F.col("s").alias("u"), F.col("other").alias("v")))
-    counts = found.filter("s = other").groupBy("s").agg(F.sum("n_links").alias("n_links"))
+    rows = stored(signatures(docs, key, text, k, trees), "signatures")
+    sets = rows.groupBy("s").agg(F.min(F.struct(F.col("k").isNull().alias("late"), "k", "t")).alias("first"), F.min("n").alias("n"), F.min("hi").alias("hi"), F.min("lo").alias("lo"))
+    sets = stored(sets.select("s", F.col("first.k").alias("k"), F.col("first.t").alias("t"), "n", "hi", "lo"), "sets")
+    length = LONGEST
+    while True:
+        found = found_at(docs, sets, length, key, text, k, threshold, block)
+        by = {r["s"]: r["n"] for r in found.filter("kind = 2").groupBy("s").agg(F.sum("n").alias("n")).collect()}  # 101 at most
+        at = np.array(sorted(by), dtype=float)
+        shorter = next_length(np.maximum(at / 100, threshold), np.array([by[x] for x in at]), length, threshold, trees, recall)
+        if shorter == length:
+            break
+        length = shorter
+    joined = components(found.filter("kind = 1").select(F.col("s").alias("u"), F.col("other").alias("v")))
+    counts = found.filter("kind = 0").groupBy("s").agg(F.sum("n").alias("n_links"))
     named = sets.select("s", "k").join(joined.select(F.col("id").alias("s"), "component"), "s", "left").join(counts, "s", "left")
     named = stored(named.select("s", F.col("k").alias("copy_of"), F.coalesce("component", "s").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
     ids = named.groupBy("c").agg(F.min("copy_of").alias("class_id"))
@@ -234,28 +307,6 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     return rows.select("k", "t", "s").join(named, "s").select("k", "t", "copy_of", "class_id", "n_links")
 
 
-def _work(texts: DataFrame, k: int) -> DataFrame:
-    """One row per set and piece of work. A neighbourhood of b blocks has a piece for each block and pair of blocks."""
-
-    def run(batches):
-        for batch in batches:
-            for a, b in chunks(batch.column(3)):
-                part = batch.slice(a, b - a)
-                h, border = shingles(find_words(part.column(3), LETTERS, LOWER), k)
-                data = pa.array([h[x:y].tobytes() for x, y in zip(border[:-1], border[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(np.diff(border).astype(np.int64)), data], names=["s", "component", "blocks", "n", "shingles"])
-
-    rows = texts.mapInArrow(tidy(run), "s long, component long, blocks int, n long, shingles binary").dropDuplicates(["s"])
-    rows = rows.withColumn("own", bucket_of_column("blocks", "s"))
-    other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    return other.select(F.xxhash64("component", low, high).alias("piece"), "s", "n", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "shingles")
-
-
-def bucket_of_column(n: str, *cols: str):
-    return F.pmod(F.xxhash64(*cols), F.col(n)).cast("int")
-
-
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class: that of the smallest key; of rows with the same key and text, one."""
     found = stored(similar(docs, key, text, **options).select("k", "t", "class_id"), "classes")

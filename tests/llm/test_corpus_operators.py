@@ -491,7 +491,8 @@ def test_jaccard_posting_lists(monkeypatch):
     args = (sizes, np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]), np.zeros(len(sets), int), jaccard.Fraction(1, 2))
     dense = jaccard.links(*args)
     monkeypatch.setattr(jaccard, "BITS_BYTES", 0)
-    assert (jaccard.links(*args)[0] == dense[0]).all() and dense[0].sum() > 0
+    posted = jaccard.links(*args)
+    assert (posted[0] == dense[0]).all() and dense[0].sum() > 0 and (posted[2] == dense[2]).all() and 2 * dense[2].sum() == dense[0].sum()
     want = [sum(i != j and 2 * len(set(a) & set(b)) >= len(set(a) | set(b)) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
     assert dense[0].tolist() == want
 
@@ -504,9 +505,29 @@ def test_keep_one(spark):
     assert jaccard.keep_one(df.limit(0)).count() == 0
 
 
-def test_prefix_length():
-    k = jaccard.prefix_length(0.8)
-    assert 1 - (1 - 0.8**k) ** jaccard.TREES >= 0.999 > 1 - (1 - 0.8 ** (k + 1)) ** jaccard.TREES
+def test_prefixes_are_shortened_as_far_as_needed():
+    at, trees = np.array([0.8, 0.85, 0.99]), jaccard.TREES
+    far = jaccard.next_length(np.array([]), np.array([]), 8, 0.8, trees, 0.9995)
+    assert jaccard.meets(0.8, far, trees) >= 0.9995 > jaccard.meets(0.8, far + 1, trees)
+    assert jaccard.next_length(at, np.array([0, 0, 10**6]), 8, 0.8, trees, 0.9995) == 8  # close copies meet at the longest
+    mid = jaccard.next_length(at, np.array([0, 10**6, 0]), 8, 0.8, trees, 0.9995)
+    assert far < mid < 8 and jaccard.next_length(at, np.array([10**6, 0, 0]), 8, 0.8, trees, 0.9995) == far
+
+
+def test_jaccard_recall_of_planted_pairs(spark):
+    """Pairs whose similarity is 0.8 to 0.9 by construction, among other texts: nearly all are found."""
+    rng = random.Random(17)
+    texts, pairs = [], []
+    for i in range(300):
+        w = prose(rng, 204, 10**6).split()
+        v = list(w)
+        for at in rng.sample(range(10, 190, 12), rng.choice([2, 3, 4])):  # each costs five shingles of 200 on both sides
+            v[at] = f"x{rng.randrange(10**6)}"
+        texts += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        pairs.append((200 - 5 * sum(a != b for a, b in zip(w, v, strict=True))) / (200 + 5 * sum(a != b for a, b in zip(w, v, strict=True))))
+    assert all(0.8 <= p < 0.95 for p in pairs) and sum(p < 0.85 for p in pairs) > 50
+    out = {r["k"]: r["class_id"] for r in jaccard.similar(docs(spark, texts)).collect()}
+    assert sum(out[2 * i + 1] == 2 * i for i in range(300)) >= 299
 
 
 def test_components(spark):
