@@ -11,6 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch between Spark and Python, where the session names none: Spark's own 64 MB are held several
+#: times over by each task, in the executor and in its worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -36,6 +47,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: what follows survives lost executors without a second run of what came before.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -57,6 +69,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """A table whose texts are worked on where they are read. Where it comes in fewer splits than there are cores (one
     small file, say), its rows are dealt out, so that no core stands idle; larger tables are never shuffled for that."""
+    small_batches(spark)
     df, cores = read_table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
@@ -111,6 +124,7 @@ def add_struct(df: DataFrame, measure, columns: list[str], schema: str, into: st
     import pyarrow as pa
     from pyspark.sql import types as T
 
+    small_batches(df.sparkSession)
     df = df.drop(into) if into in df.columns and into not in columns else df
     out = T.StructType([*df.schema.fields, T.StructField(into, T.StructType.fromDDL(schema))])
     names = df.columns

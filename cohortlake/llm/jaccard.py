@@ -28,7 +28,7 @@ from cohortlake.llm.words import LETTERS, LOWER, Words, chunks, find_words, gram
 WORDS, THRESHOLD = 5, 0.8
 TREES, LONGEST, RECALL = 16, 8, 0.9995
 #: Shingles in a block of one piece, and half of those that one task works on, in the mean.
-BLOCK = 1_000_000
+BLOCK = 500_000
 #: Rows (about 60 bytes each) that may be sent to every task.
 BROADCAST_ROWS = 500_000
 #: Bytes of a block's bit table; beyond them common shingles are counted from posting lists.
