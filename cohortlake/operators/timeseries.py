@@ -191,7 +191,11 @@ def roi_pairs(rois: DataFrame, symmetric: bool = False) -> DataFrame:
 
 
 def connectivity_matrix(rois: DataFrame, measure: str = "correlation", **options) -> DataFrame:
-    """(volume_id, roi_a, roi_b, value). Symmetric measures are worked out once a pair and mirrored."""
+    """(volume_id, roi_a, roi_b, value). Correlation is worked out by built-in functions, other measures in Arrow batches;
+    symmetric ones once a pair, and mirrored."""
+    if measure == "correlation" and MEASURES[measure][0] is pearson:
+        long = rois.select("volume_id", "roi", F.posexplode("ts").alias("t", "x"))
+        return correlation_long(long).withColumn("value", F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0)))
     symmetric = MEASURES[measure][1]
     out = pair_measure(roi_pairs(rois, symmetric), measure, **options).select("volume_id", "roi_a", "roi_b", "value")
     if not symmetric:
@@ -243,7 +247,8 @@ def edge_list(matrix: DataFrame) -> DataFrame:
 
 
 def is_symmetric(matrix: DataFrame) -> DataFrame:
-    """One row ``symmetric``: |a - b| <= 1e-8 + 1e-5 |b| for all cells and their mirrors."""
-    t = matrix.select(F.col("roi_b").alias("roi_a"), F.col("roi_a").alias("roi_b"), F.col("value").alias("other"))
-    j = matrix.join(t, ["roi_a", "roi_b"], "left")
+    """One row ``symmetric``: |a - b| <= 1e-8 + 1e-5 |b| for all cells and their mirrors, scan by scan."""
+    scan = ["volume_id"] if "volume_id" in matrix.columns else []
+    t = matrix.select(*scan, F.col("roi_b").alias("roi_a"), F.col("roi_a").alias("roi_b"), F.col("value").alias("other"))
+    j = matrix.join(t, [*scan, "roi_a", "roi_b"], "left")
     return j.agg(F.bool_and(F.coalesce(F.abs(F.col("value") - F.col("other")) <= 1e-8 + 1e-5 * F.abs("other"), F.lit(False))).alias("symmetric"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cohortlake.operators.timeseries import functional_connectivity as connectivity
 from cohortlake.plans.base import query, table
 
 
@@ -10,7 +11,6 @@ WITH long AS (SELECT label AS roi, unnest(embedding)::DOUBLE AS x, generate_subs
  m AS (SELECT roi, t, avg(x) AS x FROM long GROUP BY roi, t)
 SELECT a.roi AS roi_a, b.roi AS roi_b, round(corr(a.x, b.x), 6) + 0.0 AS r FROM m a JOIN m b USING (t) GROUP BY 1, 2""")
 def functional_connectivity(spark, sf):
-    e = table(spark, sf, "embeddings").filter(F.col("label") != 0)
-    m = e.select(F.col("label").alias("roi"), F.posexplode("embedding").alias("t", "x")).groupBy("roi", "t").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    a, b = m.select(F.col("roi").alias("roi_a"), "t", F.col("x").alias("xa")), m.select(F.col("roi").alias("roi_b"), "t", F.col("x").alias("xb"))
-    return a.join(b, "t").groupBy("roi_a", "roi_b").agg((F.round(F.corr("xa", "xb"), 6) + 0.0).alias("r"))
+    """All series as one scan."""
+    e = table(spark, sf, "embeddings").select(F.lit(0).alias("volume_id"), F.col("vec_id").alias("voxel_id"), F.col("label").alias("roi"), F.col("embedding").cast("array<double>").alias("ts"))
+    return connectivity(e).select("roi_a", "roi_b", (F.round("value", 6) + 0.0).alias("r"))

@@ -15,7 +15,7 @@ LABELS = "alabels AS (SELECT 'demo' AS atlas, r_regionkey AS idx, r_name AS name
 FEAT = "feat AS (SELECT vec_id AS sample_id, (generate_subscripts(embedding, 1) - 1)::INT AS feature_id, unnest(embedding)::DOUBLE AS value FROM embeddings), lab AS (SELECT vec_id AS sample_id, label % 3 AS y FROM embeddings)"
 MOM = "mom AS (SELECT feature_id, y, count(*) AS n, avg(value) AS mean, var_pop(value) AS v FROM feat JOIN lab USING (sample_id) GROUP BY 1, 2)"
 SERIES = "series AS (SELECT 'v' || (vec_id % 2) AS volume_id, vec_id AS voxel_id, label AS roi, embedding::DOUBLE[] AS ts FROM embeddings), long AS (SELECT volume_id, voxel_id, roi, generate_subscripts(ts, 1) - 1 AS t, unnest(ts) AS x FROM series), ml AS (SELECT volume_id, roi, t, avg(x) AS x FROM long GROUP BY 1, 2, 3)"
-IDS = "ids AS (SELECT o_orderpriority AS set_name, CASE WHEN o_custkey % 97 = 0 THEN NULL ELSE 'C' || o_custkey END AS id, 'O' || o_orderkey AS ref, o_orderkey AS pos FROM orders WHERE o_orderkey % 4 < 3)"
+IDS = "ids AS (SELECT o_orderpriority AS set_name, CASE WHEN o_custkey % 97 = 0 THEN NULL ELSE 'C' || o_custkey END AS id, 'O' || o_orderkey AS ref, o_orderkey AS pos FROM orders)"
 FILES = "files AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages WHERE url IS NOT NULL)"
 TAGS = "tags AS (SELECT c_name AS file, 16 AS grp, 16 AS elem, 'PN' AS vr, 'PatientName' AS keyword, c_name AS value FROM customer UNION ALL SELECT c_name, 16, 48, 'DA', 'PatientBirthDate', c_nationkey::VARCHAR FROM customer UNION ALL SELECT c_name, 16, 4096, 'LO', 'OtherPatientIDs', c_mktsegment FROM customer UNION ALL SELECT c_name, 16, 4160, 'LO', 'PatientAddress', c_mktsegment FROM customer UNION ALL SELECT c_name, 20480 + 2 * c_nationkey, 5, 'US', 'CurveDimensions', '1' FROM customer UNION ALL SELECT c_name, 9 + c_nationkey, 1, 'LO', 'Vendor', c_mktsegment FROM customer)"
 PRED = "pred AS (SELECT 'c' || (doc_id % 3) AS config_id, (doc_id % 10)::INT AS fold, doc_id AS sample_id, quality AS y_true, 1 - toxic AS y_pred FROM labels)"
@@ -65,7 +65,7 @@ def series(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ids(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").filter("o_orderkey % 4 < 3")
+    o = table(spark, sf, "orders")
     return o.select(F.col("o_orderpriority").alias("set_name"), F.when(F.col("o_custkey") % 97 != 0, F.concat(F.lit("C"), F.col("o_custkey").cast("string"))).alias("id"), F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("ref"), F.col("o_orderkey").alias("pos"))
 
 

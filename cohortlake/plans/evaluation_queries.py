@@ -72,20 +72,20 @@ def q_rogers(spark, sf):
     return _round(E.rogers_tanimoto_matrix(D.selections(spark, sf), 20000), ["value"])
 
 
-@query("write_svmperf_lines", "SELECT vec_id, printf('%+d', CASE WHEN label % 2 = 0 THEN -1 ELSE 1 END) || ' ' || array_to_string(list_transform(range(1, 9), lambda i: i || ':' || printf('%.4f', embedding[i]::DOUBLE)), ' ') AS line FROM embeddings")
+@query("write_svmperf_lines", "SELECT vec_id, printf('%+d', CASE WHEN label % 2 = 0 THEN -1 ELSE 1 END) || ' ' || array_to_string(list_transform(range(1, len(embedding) + 1), lambda i: i || ':' || printf('%.4f', embedding[i]::DOUBLE)), ' ') AS line FROM embeddings")
 def q_svmline(spark, sf):
     e = table(spark, sf, "embeddings")
-    x = F.slice(F.col("embedding").cast("array<double>"), 1, 8)
+    x = F.col("embedding").cast("array<double>")
     return e.select("vec_id", svmperf_line(F.when(F.col("label") % 2 == 0, -1).otherwise(1), x).alias("line"))
 
 
-@query("write_arff_lines", """SELECT -5::BIGINT + i AS "at", v AS value FROM (SELECT unnest(['@RELATION demo', '@ATTRIBUTE a NUMERIC', '@ATTRIBUTE b NUMERIC', '@ATTRIBUTE class {0,1}', '@DATA']) AS v, unnest([0, 1, 2, 3, 4]) AS i) UNION ALL SELECT vec_id, printf('%6.4f', embedding[1]::DOUBLE) || ',' || printf('%6.4f', embedding[2]::DOUBLE) || ',' || (label % 2) FROM embeddings""")
+@query("write_arff_lines", """SELECT -67::BIGINT + i AS "at", v AS value FROM (SELECT unnest(['@RELATION demo'] || list_transform(range(0, 64), lambda x: '@ATTRIBUTE f' || x || ' NUMERIC') || ['@ATTRIBUTE class {0,1}', '@DATA']) AS v, unnest(range(0, 67)) AS i) UNION ALL SELECT vec_id, array_to_string(list_transform(embedding::DOUBLE[], lambda x: printf('%6.4f', x)), ',') || ',' || (label % 2) FROM embeddings""")
 def q_arff(spark, sf):
     from cohortlake.sources.text import arff_lines
 
     e = table(spark, sf, "embeddings")
-    rows = e.select(F.col("vec_id").alias("sample_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 2).alias("x"), (F.col("label") % 2).alias("y"))
-    return arff_lines(rows, ["a", "b"], "demo", [0, 1])
+    rows = e.select(F.col("vec_id").alias("sample_id"), F.col("embedding").cast("array<double>").alias("x"), (F.col("label") % 2).alias("y"))
+    return arff_lines(rows, [f"f{i}" for i in range(64)], "demo", [0, 1])
 
 
 @query("load_matrix", f"WITH {D.VOX}, {D.MASK} SELECT sample_id, y, i || ',' || j || ',' || k AS feature_id, value FROM (SELECT (row_number() OVER (ORDER BY volume_id) - 1)::INT AS sample_id, volume_id, (dense_rank() OVER (ORDER BY CASE volume_id WHEN 'R' THEN 'old' ELSE 'new' END) - 1)::INT AS y FROM (SELECT DISTINCT volume_id FROM vox)) JOIN (SELECT volume_id, i, j, k, value FROM vox SEMI JOIN mask USING (i, j, k)) USING (volume_id)")

@@ -39,15 +39,15 @@ def q_matrix(spark, sf):
     return _round(T.functional_connectivity(D.series(spark, sf)), "value")
 
 
-@query("edge_list", f"WITH {D.SERIES}, {_CORR} SELECT roi_a AS a, roi_b AS b, round(value, 6) + 0.0 AS weight FROM cor WHERE volume_id = 'v0' AND value > 0 AND roi_a <> roi_b")
+@query("edge_list", f"WITH {D.SERIES}, {_CORR} SELECT roi_a AS a, roi_b AS b, round(value, 6) + 0.0 AS weight FROM cor WHERE value > 0 AND roi_a <> roi_b")
 def q_edges(spark, sf):
-    m = T.correlation_long(T.mean_timeseries(_some(spark, sf))).filter("volume_id = 'v0'")
+    m = T.correlation_long(T.mean_timeseries(_some(spark, sf)))
     return _round(T.edge_list(m), "weight")
 
 
-@query("is_symmetric", f"WITH {D.SERIES}, {_CORR} SELECT bool_and(abs(a.value - b.value) <= 1e-8 + 1e-5 * abs(b.value)) AS symmetric FROM cor a JOIN cor b ON a.volume_id = b.volume_id AND a.roi_a = b.roi_b AND a.roi_b = b.roi_a WHERE a.volume_id = 'v0'")
+@query("is_symmetric", f"WITH {D.SERIES}, {_CORR} SELECT bool_and(abs(a.value - b.value) <= 1e-8 + 1e-5 * abs(b.value)) AS symmetric FROM cor a JOIN cor b ON a.volume_id = b.volume_id AND a.roi_a = b.roi_b AND a.roi_b = b.roi_a")
 def q_sym(spark, sf):
-    return T.is_symmetric(T.correlation_long(T.mean_timeseries(_some(spark, sf))).filter("volume_id = 'v0'").drop("volume_id"))
+    return T.is_symmetric(T.correlation_long(T.mean_timeseries(_some(spark, sf))))
 
 
 @query("normalize_series_zscore", f"WITH {D.SERIES}, s AS (SELECT voxel_id, avg(x) AS m, stddev_pop(x) AS s FROM long GROUP BY 1) SELECT voxel_id, t::INT AS t, round((x - m) / s, 5) + 0.0 AS x FROM long JOIN s USING (voxel_id)")
@@ -62,11 +62,16 @@ def q_percent(spark, sf):
     return _round(s.select("voxel_id", F.posexplode(T.normalize_series("ts", "percent")).alias("t", "x")), "x", n=5)
 
 
-_SEED = f"WITH {D.SERIES}, sc AS (SELECT a.roi AS seed, b.roi AS target, corr(a.x, b.x) AS value FROM ml a JOIN ml b USING (volume_id, t) WHERE a.volume_id = 'v0' AND a.roi IN (1, 2) AND b.roi > 2 GROUP BY 1, 2)"
+_SEED = f"WITH {D.SERIES}, one AS (SELECT roi, t, avg(x) AS x FROM long GROUP BY 1, 2), sc AS (SELECT a.roi AS seed, b.roi AS target, corr(a.x, b.x) AS value FROM one a JOIN one b USING (t) WHERE a.roi IN (1, 2) AND b.roi > 2 GROUP BY 1, 2)"
+
+
+def _one(spark, sf):
+    """All series as one scan."""
+    return _some(spark, sf).withColumn("volume_id", F.lit("v"))
 
 
 def _seeds(spark, sf):
-    m = T.mean_timeseries(_some(spark, sf)).filter("volume_id = 'v0'")
+    m = T.mean_timeseries(_one(spark, sf))
     return m.filter("roi in (1, 2)").select(F.col("roi").alias("seed"), "t", "x"), m.filter("roi > 2").select(F.col("roi").alias("target"), "t", "x")
 
 
@@ -81,7 +86,7 @@ def q_mseed(spark, sf):
 
 
 def _seed_arrays(spark, sf):
-    a = T.as_arrays(T.mean_timeseries(_some(spark, sf))).filter("volume_id = 'v0'")
+    a = T.as_arrays(T.mean_timeseries(_one(spark, sf)))
     return a.filter("roi in (1, 2)").select(F.col("roi").alias("seed"), "ts"), a.filter("roi > 2").select(F.col("roi").alias("target"), "ts")
 
 
@@ -121,11 +126,11 @@ def q_set(spark, sf):
     return s.withColumn("volume_id", F.concat_ws(":", "volume_id", "band")).transform(lambda d: T.select_timeseries(d, "mean"))
 
 
-_D = "d AS (SELECT generate_subscripts(embedding, 1) - 1 AS p, vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings), e AS (SELECT * FROM d WHERE p < 12), lam AS (SELECT a.p::INT AS b, c.p::INT AS c, min(a.x - c.x) AS w, max(a.x - c.x) AS m FROM e a JOIN e c USING (vec_id) GROUP BY 1, 2)"
+_D = "d AS (SELECT generate_subscripts(embedding, 1) - 1 AS p, vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings), e AS (SELECT * FROM d), lam AS (SELECT a.p::INT AS b, c.p::INT AS c, min(a.x - c.x) AS w, max(a.x - c.x) AS m FROM e a JOIN e c USING (vec_id) GROUP BY 1, 2)"
 
 
-def _samples(spark, sf, d=12):
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, d).alias("x"), "label")
+def _samples(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), "label")
 
 
 @query("lattice_memories", f"WITH {_D} SELECT b, c, round(w, 6) + 0.0 AS w, round(m, 6) + 0.0 AS m FROM lam")
@@ -159,14 +164,16 @@ def q_vd(spark, sf):
 
 @query("ilsia")
 def q_ilsia(spark, sf):
-    return N.induce(_samples(spark, sf, 6), "ilsia", ["label"])
+    return N.induce(_samples(spark, sf), "ilsia", ["label"])
 
 
 @query("eiha")
 def q_eiha(spark, sf):
-    return N.induce(_samples(spark, sf, 6), "eiha", ["label"])
+    return N.induce(_samples(spark, sf), "eiha", ["label"])
 
 
 @query("cca_endmembers")
 def q_cca(spark, sf):
-    return N.induce_cone(_samples(spark, sf, 6), ["label"], 3)
+    """On the sums of the eight blocks of eight dimensions: fewer than the samples of a label have."""
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.aggregate(F.slice("x", b * 8 + 1, F.lit(8)), F.lit(0.0), lambda a, v: a + v))
+    return N.induce_cone(_samples(spark, sf).withColumn("x", blocks), ["label"], 3)

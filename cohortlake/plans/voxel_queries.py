@@ -47,9 +47,9 @@ def q_centres(spark, sf):
     return V.roi_centres(D.rois(spark, sf)).select("roi", *[F.round(c, 6).alias(c) for c in "ijk"])
 
 
-@query("union_mask", f"WITH {D.VOX} SELECT i, j, k, 1 AS value FROM vox WHERE volume_id <> 'R' GROUP BY i, j, k HAVING sum(value) > 0")
+@query("union_mask", f"WITH {D.VOX} SELECT i, j, k, 1 AS value FROM vox GROUP BY i, j, k HAVING sum(value) > 0")
 def q_union(spark, sf):
-    return V.union_mask(D.vox(spark, sf).filter("volume_id <> 'R'"))
+    return V.union_mask(D.vox(spark, sf))
 
 
 @query("partition_by_roi", """
@@ -94,9 +94,9 @@ def q_keep(spark, sf):
     return V.keep_selected(s.filter("config_id = 'p0'").select("fold", "feature_id"), s.filter("config_id = 'p0'"), s.filter("config_id = 'p1'")).distinct()
 
 
-@query("skip_done", "SELECT c_custkey AS config_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("skip_done", "SELECT c_custkey AS config_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def q_skip(spark, sf):
-    return V.skip_done(table(spark, sf, "customer").select(F.col("c_custkey").alias("config_id")), table(spark, sf, "orders").select(F.col("o_custkey").alias("config_id")))
+    return V.skip_done(table(spark, sf, "customer").select(F.col("c_custkey").alias("config_id")), table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("config_id")))
 
 
 @query("param_grid", "SELECT r_name AS a, b, c FROM region, (SELECT DISTINCT o_orderpriority AS b FROM orders), (SELECT DISTINCT l_returnflag AS c FROM lineitem)")
