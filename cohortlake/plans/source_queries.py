@@ -119,7 +119,7 @@ def q_atlas_labels(spark, sf):
     label = F.concat(F.lit('<label index="'), "p", F.lit('" x="'), "s", F.lit('" y="'), "y", F.lit('" z="'), "z", F.lit('" v="1">'), "n", F.lit("</label>"))
     for r in part.select("maker").distinct().orderBy("maker").collect():  # manufacturers, a handful
         head = spark.createDataFrame([(f"<header><name>{r['maker']}</name><type>Label</type></header>",)], "value string")
-        head.union(part.filter(F.col("maker") == r["p_mfgr"]).select(label.alias("value"))).coalesce(1).write.mode("append").text(path)
+        head.union(part.filter(F.col("maker") == r["maker"]).select(label.alias("value"))).coalesce(1).write.mode("append").text(path)
     return S.read_atlas_labels(spark, path)
 
 
