@@ -118,8 +118,8 @@ def q_atlas_labels(spark, sf):
     part = table(spark, sf, "part").select(F.substring("p_brand", 1, 7).alias("maker"), F.col("p_partkey").cast("string").alias("p"), F.expr("replace(replace(p_name, '&', '&amp;'), '<', '&lt;')").alias("n"), F.col("p_size").cast("string").alias("s"), (F.col("p_partkey") % 7).cast("string").alias("y"), (F.col("p_partkey") % 11).cast("string").alias("z"))
     label = F.concat(F.lit('<label index="'), "p", F.lit('" x="'), "s", F.lit('" y="'), "y", F.lit('" z="'), "z", F.lit('" v="1">'), "n", F.lit("</label>"))
     for r in part.select("maker").distinct().orderBy("maker").collect():  # manufacturers, a handful
-        head = spark.createDataFrame([(f"<header><name>{r['maker']}</name><type>Label</type></header>",)], "value string")
-        head.union(part.filter(F.col("maker") == r["maker"]).select(label.alias("value"))).coalesce(1).write.mode("append").text(path)
+        head, foot = (spark.createDataFrame([(x,)], "value string").coalesce(1) for x in (f"<atlas><header><name>{r['maker']}</name><type>Label</type></header><data>", "</data></atlas>"))
+        head.union(part.filter(F.col("maker") == r["maker"]).select(label.alias("value"))).union(foot).coalesce(1).write.mode("append").text(path)
     return S.read_atlas_labels(spark, path)
 
 
