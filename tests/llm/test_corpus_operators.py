@@ -203,8 +203,8 @@ def test_scores(spark):
     assert pitman_yor.score_texts(df.limit(0), held).count() == 0
 
 
-def test_predictions_sum_to_one(spark):
-    """Over all known words and one unknown, after a context, the model's probabilities are a distribution."""
+def test_predictions_follow_counts(spark):
+    """A frequent word scores above an unknown one, and an early end is a probability."""
     train = [(i, "a b a c b a") for i in range(20)]
     probe = [(100 + k, w) for k, w in enumerate(["a", "b", "c", "zz", ""])]
     out = {r["doc_id"]: r["score"] for r in pitman_yor.score_texts(docs(spark, train + probe), F.col("doc_id") >= 100).collect()}
