@@ -159,14 +159,8 @@ def test_special_ids_are_the_tokenizers(spark, tmp_path):
 # language model
 
 
-def test_stirling_against_recursion():
-    d = 0.5
-    s = np.exp(pitman_yor.stirling(5, d))
-    assert s[2, 1] == pytest.approx(1 - d) and s[2, 2] == pytest.approx(1) and s[3, 2] == pytest.approx((1 - d) + (2 - 2 * d))
-
-
 def test_tables_follow_their_law():
-    """Draws of t for c = 4 against the seatings counted one by one."""
+    """Tables of dishes of 4 customers after Gibbs sweeps, against the seatings counted one by one."""
     d, mass, w = 0.6, 3.0, 0.2
     law = collections.Counter()
 
@@ -181,9 +175,46 @@ def test_tables_follow_their_law():
     seat([1], mass * w, 3)
     total = sum(law.values())
     n = 40_000
-    t = pitman_yor.draw_tables(np.full(n, 4), np.full(n, mass), np.full(n, w), d, pitman_yor.stirling(8, d), np.random.default_rng(0))
+    seating = pitman_yor.Seating(np.full(n, 5)).fill(np.ones(n, np.int64), np.full(n, 4))
+    rng, every = np.random.default_rng(0), np.arange(n)
+    for _ in range(12):
+        seating.sweep(np.zeros(n), np.full(n, w), mass, d, rng)
     for k, v in law.items():
-        assert (t == k).mean() == pytest.approx(v / total, abs=0.01)
+        assert (seating.t == k).mean() == pytest.approx(v / total, abs=0.01)
+    seating.enter(every, np.full(n, 0.5), d, rng)
+    seating.leave(every, rng)
+    again = pitman_yor.Seating(np.full(n, 5)).fill(*seating.tables())
+    for x in (seating, again):  # what is kept of seats is all that counts
+        assert (x.n == 4).all() and x.size.sum() == 4 * n and ((x.size.reshape(n, 5) > 0).sum(axis=1) == x.t).all()
+    assert np.array_equal(np.sort(seating.size.reshape(n, 5)), np.sort(again.size.reshape(n, 5)))
+
+
+def test_predictions_sum_to_one():
+    """Over all words and one unknown, after contexts that are known whole, in part and not at all."""
+    rng = np.random.default_rng(1)
+    w = rng.zipf(1.5, 4000) % 40 + 1
+    w[::7] = 0
+    words = np.arange(45, dtype=np.uint64) << np.uint64(40)  # the last ones never occur
+    blob = pitman_yor.packed(words, w[1:-1].astype(np.uint8), w[:-2].astype(np.uint8), w[2:].astype(np.uint8), np.zeros(len(w) - 2, np.uint16))
+    model, stats = pitman_yor.counted([blob])
+    bucket = pitman_yor.Bucket(model)
+    seen = np.flatnonzero(bucket.count)
+    assert stats[0] == len(w) - 2 == bucket.count.sum()
+    customers = bucket.sent()
+    for _ in range(4):
+        tables = np.minimum(customers, 2)
+        setting = pitman_yor.Setting(stats[0], len(seen), (0.7, 0.6, 0.5), int(customers.sum()), int(tables.sum()))
+        root = setting.root(customers, tables)
+        bucket.sweep(root, setting, rng)
+        state = bucket.state(root, setting)
+        for near, far in [(0, 1), (1, 0), (1, 44), (44, 1), (44, 43)]:
+            every = np.append(seen, 44)
+            p = pitman_yor.predicted(bucket, [state], [root], np.full(len(every), near), np.full(len(every), far), every)
+            assert p.min() > 0 and p.sum() == pytest.approx(1)
+        assert np.array_equal(np.bincount(bucket.mid, bucket.t), bucket.high.n)
+        customers = bucket.sent()
+        kept = pitman_yor.Bucket(model, bucket.seats())
+        assert np.array_equal(kept.t, bucket.t) and np.array_equal(kept.sent(), customers)
 
 
 def test_scores(spark):
@@ -213,6 +244,18 @@ def test_predictions_follow_counts(spark):
     assert 0 < first < 1
 
 
+def test_longer_contexts_count(spark):
+    """The word two before tells which of two words comes next; a text that occurs twice scores above one that occurs once."""
+    train = [(i, f"{x} m {y} " * 5) for i in range(30) for x, y in [("p", "q"), ("r", "s")]]
+    rng = random.Random(3)
+    once, twice = prose(rng, 60, 500), prose(rng, 60, 500)
+    probe = [(100, "p m q"), (101, "p m s")]
+    got = pitman_yor.score_texts(docs(spark, train + [(50, once), (51, twice), (52, twice)] + probe), F.col("doc_id") >= 100, bucket_tokens=200).collect()
+    out = {r["doc_id"]: r["score"] for r in got}
+    assert out[100] > out[101] + 1
+    assert out[51] == pytest.approx(out[52]) and out[51] > out[50] + 5
+
+
 # decontamination
 
 
