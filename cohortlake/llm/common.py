@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import tempfile
@@ -97,25 +98,53 @@ def ranked(df: DataFrame, by: str, order: list[str], out: str, salts: int = 64)
     return placed.withColumn(out, (F.col("__in") + F.col("__first")).cast("long")).drop(salt, "__in", "__by", "__s", "__first")
 
 
-def tidy(run):
-    """``run`` (a generator over a task's batches) that gives freed memory back to the machine at its end.
+def give_back() -> None:
+    """Gives freed memory of this Python worker back to the machine.
 
-    Python workers live on from task to task and stage to stage, and allocators keep what was freed in the meantime.
+    Workers live on from task to task and stage to stage, and allocators keep what was freed in the meantime.
     """
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """``run`` (a generator over a task's batches) that gives freed memory back at its end."""
 
     @functools.wraps(run)
     def whole(batches):
-        import pyarrow as pa
-
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
-        if trim:
-            trim(0)
+        give_back()
 
     return whole
 
 
+def tidy_groups(run):
+    """``run`` (of a key and its table, or of two tables of one key) that gives freed memory back after each group."""
+
+    def whole(a, b):
+        out = run(a, b)
+        give_back()
+        return out
+
+    return whole
+
+
+@contextlib.contextmanager
+def short_shuffles(spark: SparkSession):
+    """Inside, shuffle files go as soon as the write that needed them has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def add_struct(df: DataFrame, measure, columns: list[str], schema: str, into: str) -> DataFrame:
     """Adds the struct column ``into``, worked out on whole Arrow batches by ``measure(*arrays) -> StructArray``.
 
