@@ -75,10 +75,10 @@ def _box(x: np.ndarray, width: int, rounds: int) -> np.ndarray:
     return x
 
 
-def filter_series(series: DataFrame, lb: float, ub: float | None, tr: float = 2.0, method: str = "fir", column: str = "ts") -> DataFrame:
+def filter_series(series: DataFrame, lb: float, ub: float | None, tr: float = 2.0, method: str = "fir", column: str = "ts", order: int = 64) -> DataFrame:
     @pandas_udf("array<double>")
     def run(ts: pd.Series) -> pd.Series:
-        return ts.map(lambda x: band_pass(np.asarray(x, dtype=float), lb, ub, tr, method).tolist())
+        return ts.map(lambda x: band_pass(np.asarray(x, dtype=float), lb, ub, tr, method, order).tolist())
 
     return series.withColumn(column, run(column))
 

@@ -90,24 +90,45 @@ def _seed_arrays(spark, sf):
     return a.filter("roi in (1, 2)").select(F.col("roi").alias("seed"), "ts"), a.filter("roi > 2").select(F.col("roi").alias("target"), "ts")
 
 
-@query("seed_coherence")
+def _coherence(series: str, key: str) -> str:
+    """``spec``: the spectrum of each series' Hann windows; ``coh``: for each pair the mean coherence of bins 1 to 15."""
+    scan, same = ("volume_id, ", "a.volume_id = b.volume_id AND ") if key == "volume_id, roi" else ("", "")
+    return f"""spec AS (SELECT {key}, s, f, sum(x * w * cos(2 * pi() * f * (t - s) / 32)) AS re, -sum(x * w * sin(2 * pi() * f * (t - s) / 32)) AS im
+ FROM (SELECT {key}, s, t, x, 0.5 - 0.5 * cos(2 * pi() * (t - s) / 32) AS w FROM {series}, (SELECT unnest([0, 16, 32]) AS s) WHERE t >= s AND t < s + 32), range(1, 16) r(f) GROUP BY ALL),
+ coh AS (SELECT {scan}roi_a, roi_b, avg(CASE WHEN xx * yy > 0 THEN (re * re + im * im) / (xx * yy) ELSE 0 END) AS value
+ FROM (SELECT {"a." + scan if scan else ""}a.roi AS roi_a, b.roi AS roi_b, a.f, avg(a.re * b.re + a.im * b.im) AS re, avg(a.re * b.im - a.im * b.re) AS im, avg(a.re * a.re + a.im * a.im) AS xx, avg(b.re * b.re + b.im * b.im) AS yy
+ FROM spec a JOIN spec b ON {same}a.s = b.s AND a.f = b.f WHERE a.roi <> 0 AND b.roi <> 0 GROUP BY ALL) GROUP BY ALL)"""
+
+
+_SEED_COH = f"WITH {D.SERIES}, one AS (SELECT roi, t, avg(x) AS x FROM long GROUP BY 1, 2), {_coherence('one', 'roi')}"
+
+
+@query("seed_coherence", f"{_SEED_COH} SELECT roi_a AS seed, roi_b AS target, round(value, 6) + 0.0 AS value FROM coh WHERE roi_a IN (1, 2) AND roi_b > 2")
 def q_scoh(spark, sf):
-    return T.seed_coherence(*_seed_arrays(spark, sf), nfft=32)
+    return _round(T.seed_coherence(*_seed_arrays(spark, sf), nfft=32), "value")
 
 
-@query("mean_seed_coherence")
+@query("mean_seed_coherence", f"{_SEED_COH} SELECT round(avg(value), 6) + 0.0 AS value FROM coh WHERE roi_a IN (1, 2) AND roi_b > 2")
 def q_mscoh(spark, sf):
-    return T.mean_seed_coherence(*_seed_arrays(spark, sf), nfft=32)
+    return _round(T.mean_seed_coherence(*_seed_arrays(spark, sf), nfft=32), "value")
 
 
-@query("coherence")
+@query("coherence", f"WITH {D.SERIES}, {_coherence('ml', 'volume_id, roi')} SELECT volume_id, roi_a, roi_b, round(value, 6) + 0.0 AS value FROM coh")
 def q_coh(spark, sf):
-    return T.functional_connectivity(D.series(spark, sf), measure="coherence", nfft=32)
-
-
-@query("granger_causality")
+    return _round(T.functional_connectivity(D.series(spark, sf), measure="coherence", nfft=32), "value")
+
+
+@query("granger_causality", f"""WITH {D.SERIES}, z AS (SELECT volume_id, roi, t, x - avg(x) OVER (PARTITION BY volume_id, roi) AS x FROM ml WHERE roi <> 0),
+ n AS (SELECT *, lead(x) OVER (PARTITION BY volume_id, roi ORDER BY t) AS y FROM z),
+ r AS (SELECT volume_id, a.roi AS roi_a, b.roi AS roi_b, avg(a.x * a.x) AS aa, avg(a.x * b.x) AS ab, avg(b.x * b.x) AS bb, coalesce(sum(a.y * a.x), 0) / count(*) AS a1a, coalesce(sum(a.y * b.x), 0) / count(*) AS a1b, coalesce(sum(b.y * a.x), 0) / count(*) AS b1a, coalesce(sum(b.y * b.x), 0) / count(*) AS b1b
+ FROM n a JOIN n b USING (volume_id, t) WHERE a.roi <> b.roi GROUP BY 1, 2, 3),
+ c AS (SELECT *, (a1a * bb - a1b * ab) / (aa * bb - ab * ab) AS c11, (a1b * aa - a1a * ab) / (aa * bb - ab * ab) AS c12, (b1a * bb - b1b * ab) / (aa * bb - ab * ab) AS c21, (b1b * aa - b1a * ab) / (aa * bb - ab * ab) AS c22 FROM r),
+ e AS (SELECT *, aa - c11 * a1a - c12 * a1b AS n11, ab - c11 * b1a - c12 * b1b AS n12, bb - c21 * b1a - c22 * b1b AS n22 FROM c),
+ s AS (SELECT volume_id, roi_a, roi_b, c21 * c21 * n11 + 2 * n12 * c21 * (cos(pi() * k / 128) - c11) + n22 * (1 + c11 * c11 - 2 * c11 * cos(pi() * k / 128)) AS whole, (n11 - n12 * n12 / n22) * c21 * c21 AS part FROM e, range(1, 128) q(k))
+SELECT volume_id, roi_a, roi_b, round(avg(ln(whole / (whole - part))), 6) + 0.0 AS value FROM s GROUP BY 1, 2, 3
+UNION ALL SELECT DISTINCT volume_id, roi, roi, 0.0::DOUBLE FROM z""")
 def q_granger(spark, sf):
-    return T.functional_connectivity(D.series(spark, sf), measure="granger")
+    return _round(T.functional_connectivity(D.series(spark, sf), measure="granger"), "value")
 
 
 @query("eigen_timeseries")
@@ -115,15 +136,25 @@ def q_eigen(spark, sf):
     return T.eigen_timeseries(_some(spark, sf), 2)
 
 
-@query("filter_series")
+_SINC = "CASE WHEN j = 0 THEN 1.0 ELSE sin(pi() * {0} * j) / (pi() * {0} * nullif(j, 0)) END"
+_TAPS = f"h AS (SELECT j, (0.4 * ({_SINC.format(0.4)}) - 0.04 * ({_SINC.format(0.04)})) * (0.54 + 0.46 * cos(2 * pi() * j / 16)) AS h FROM range(-8, 9) r(j))"
+_ONCE = "{0} AS (SELECT voxel_id, q.t, sum(x * h) AS x FROM {1} JOIN (SELECT t, j, h, CASE WHEN t + j < 0 THEN -t - j WHEN t + j > 63 THEN 126 - t - j ELSE t + j END AS u FROM h, range(0, 64) g(t)) q ON {1}.t = q.u GROUP BY 1, 2)"
+
+
+@query("filter_series", f"WITH {D.SERIES}, m AS (SELECT voxel_id, avg(x) AS m FROM long WHERE roi <> 0 GROUP BY 1), z AS (SELECT voxel_id, t, x - m AS x FROM long JOIN m USING (voxel_id)), {_TAPS}, {_ONCE.format('y', 'z')}, {_ONCE.format('w', 'y')} SELECT voxel_id, t::INT AS t, round(x + m, 6) + 0.0 AS x FROM w JOIN m USING (voxel_id)")
 def q_filter(spark, sf):
-    return T.filter_series(_some(spark, sf), 0.01, 0.1)
+    out = T.filter_series(_some(spark, sf), 0.01, 0.1, order=16)
+    return _round(out.select("voxel_id", F.posexplode("ts").alias("t", "x")), "x")
 
 
-@query("filtered_set")
+@query("filtered_set", f"""WITH {D.SERIES}, bands AS (SELECT 'low' AS band, 0.0 AS lb, 0.08 AS ub UNION ALL SELECT 'high', 0.08, 0.25),
+ g AS (SELECT band, d, sum(CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END * cos(2 * pi() * k * d / 64)) / 64 AS g FROM bands, range(0, 33) q(k), range(0, 64) r(d) WHERE k = 0 OR k / 128.0 BETWEEN lb AND ub GROUP BY 1, 2)
+SELECT volume_id || ':original' AS volume_id, roi, t::INT AS t, round(x, 6) + 0.0 AS x FROM ml WHERE roi <> 0
+UNION ALL SELECT volume_id || ':' || band, roi, v.t::INT, round(sum(x * g), 6) + 0.0 FROM ml, range(0, 64) v(t), g WHERE roi <> 0 AND d = (v.t - ml.t + 64) % 64 GROUP BY volume_id, band, roi, v.t""")
 def q_set(spark, sf):
     s = T.filtered_set(_some(spark, sf), [("low", None, 0.08), ("high", 0.08, None)])
-    return s.withColumn("volume_id", F.concat_ws(":", "volume_id", "band")).transform(lambda d: T.select_timeseries(d, "mean"))
+    means = T.select_timeseries(s.withColumn("volume_id", F.concat_ws(":", "volume_id", "band")), "mean")
+    return _round(means.select("volume_id", "roi", F.posexplode("ts").alias("t", "x")), "x")
 
 
 _D = "d AS (SELECT generate_subscripts(embedding, 1) - 1 AS p, vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings), e AS (SELECT * FROM d), lam AS (SELECT a.p::INT AS b, c.p::INT AS c, min(a.x - c.x) AS w, max(a.x - c.x) AS m FROM e a JOIN e c USING (vec_id) GROUP BY 1, 2)"

@@ -81,11 +81,10 @@ def q_drain(spark, sf):
     return V.drain_rois(D.rois(spark, sf)).select("i", "j", "k", "roi")
 
 
-@query("shape_check", "SELECT n_regionkey::VARCHAR AS image_id, [n_regionkey + 1, count(*)::INT] AS shape FROM nation GROUP BY n_regionkey HAVING n_regionkey <> 0")
+@query("shape_check", "WITH s AS (SELECT l_orderkey::VARCHAR AS image_id, [max(l_linenumber), count(DISTINCT l_returnflag)::INT] AS shape FROM lineitem GROUP BY l_orderkey) SELECT image_id, shape FROM s WHERE image_id <> '1' AND shape <> (SELECT shape FROM s WHERE image_id = '1')")
 def q_shape(spark, sf):
-    n = table(spark, sf, "nation").groupBy("n_regionkey").count()
-    shapes = n.select(F.col("n_regionkey").cast("string").alias("image_id"), F.array(F.col("n_regionkey") + 1, F.col("count").cast("int")).alias("shape"))
-    return V.shape_check(shapes, "0").select("image_id", "shape")
+    n = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("a"), F.count_distinct("l_returnflag").cast("int").alias("b"))
+    return V.shape_check(n.select(F.col("l_orderkey").cast("string").alias("image_id"), F.array("a", "b").alias("shape")), "1").select("image_id", "shape")
 
 
 @query("keep_selected", f"WITH {D.SEL} SELECT DISTINCT fold, feature_id FROM sel a WHERE config_id = 'p0' AND weight > 0 AND EXISTS (SELECT 1 FROM sel b WHERE b.config_id = 'p1' AND b.fold = a.fold AND b.feature_id = a.feature_id AND b.weight > 0)")
@@ -120,9 +119,10 @@ def q_vox(spark, sf):
     return out.select("i", "j", "k", "vi", "vj", "vk")
 
 
-@query("coordinate_grid", "SELECT i::INT AS i, j::INT AS j, k::INT AS k, 2.0::DOUBLE * i - 10 AS x, 2.0::DOUBLE * j + 4 AS y, 3.0::DOUBLE * k AS z FROM range(0, (SELECT count(*) FROM nation)) a(i), range(0, (SELECT count(*) FROM region)) b(j), range(0, 4) c(k)")
+@query("coordinate_grid", "SELECT i::INT AS i, j::INT AS j, k::INT AS k, 2.0::DOUBLE * i - 10 AS x, 2.0::DOUBLE * j + 4 AS y, 3.0::DOUBLE * k AS z FROM range(0, (SELECT max(l_partkey) FROM lineitem)) a(i), range(0, (SELECT max(l_linenumber) FROM lineitem)) b(j), range(0, 4) c(k)")
 def q_cgrid(spark, sf):
-    return A.coordinate_grid(spark, (table(spark, sf, "nation").count(), table(spark, sf, "region").count(), 4), AFF)
+    a, b = table(spark, sf, "lineitem").agg(F.max("l_partkey"), F.max("l_linenumber")).first()
+    return A.coordinate_grid(spark, (a, b, 4), AFF)
 
 
 @query("resample_to_atlas", f"WITH {D.VOX}, {D.MASK} SELECT i - 1 AS i, j AS j, k + 1 AS k, value FROM mask")
@@ -153,9 +153,10 @@ def q_lookup(spark, sf):
     return A.label_lookup(D.atlas(spark, sf), D.atlas_labels(spark, sf)).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("label_centres", f"WITH {D.LABELS} SELECT atlas, idx, x, y, z FROM alabels")
+@query("label_centres", "SELECT p_brand AS atlas, p_partkey AS idx, (p_partkey % 35)::INT AS x, p_size AS y, (p_partkey % 9)::INT AS z FROM part")
 def q_lcentres(spark, sf):
-    return A.label_centres(D.atlas_labels(spark, sf))
+    k = F.col("p_partkey")
+    return A.label_centres(table(spark, sf, "part").select(F.col("p_brand").alias("atlas"), k.alias("idx"), F.col("p_name").alias("name"), (k % 35).cast("int").alias("x"), F.col("p_size").alias("y"), (k % 9).cast("int").alias("z")))
 
 
 _POINTS = "pts AS (SELECT p_partkey AS point_id, (p_partkey % 4)::INT AS label_idx, (2 * (p_partkey % 35) - 10)::DOUBLE AS x, (2 * (p_size % 33) + 4)::DOUBLE AS y, (3 * (p_partkey % 9))::DOUBLE AS z FROM part)"
