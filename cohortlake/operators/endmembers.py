@@ -83,6 +83,44 @@ def moments(samples: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     return n, mean, m2 / max(n, 1)
 
 
+HELD_BYTES = 64 << 20  # of sums that a task of ``products`` holds before it hands them on
+
+
+def products(samples: DataFrame, by: list[str], centred: bool = False) -> DataFrame:
+    """(*by, n, m): of each group the number of samples and the d x d sum of x x^T, row by row; ``centred`` takes each x
+    less its own mean first. Tasks hand on their sums cell by cell, so a group of any size is never gathered: only d x d
+    numbers of it are."""
+
+    def cells(held, kinds):
+        for key, (n, m) in held.items():
+            size = m.size
+            yield pa.RecordBatch.from_arrays([*[pa.array([k] * size, t) for k, t in zip(key, kinds, strict=True)], pa.array(np.arange(size, dtype="int32")), pa.array(np.full(size, n)), pa.array(m.ravel())], names=[*by, "at", "n", "s"])
+
+    def run(batches):
+        held, kinds = {}, []
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in by]
+            x = _rows(batch, "x")
+            x = x - x.mean(1, keepdims=True) if centred and len(x) else x
+            keys = list(zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in by], strict=True))
+            places = {}
+            for i, key in enumerate(keys):
+                places.setdefault(key, []).append(i)
+            for key, rows in places.items():
+                part = x[rows]
+                n, m = held.get(key, (0, 0.0))
+                held[key] = (n + len(rows), m + part.T @ part)
+            if sum(m.nbytes for _, m in held.values()) > HELD_BYTES:
+                yield from cells(held, kinds)
+                held = {}
+        yield from cells(held, kinds)
+
+    schema = ", ".join(f"{c} {samples.schema[c].dataType.simpleString()}" for c in by)
+    sums = samples.select(*by, "x").mapInArrow(run, f"{schema}, at int, n long, s double").groupBy(*by, "at").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    whole = sums.groupBy(*by).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "s"))).alias("m"))
+    return whole.select(*by, "n", F.transform("m", lambda c: c["s"]).alias("m"))
+
+
 def virtual_dimensionality(samples: DataFrame, rates: tuple[float, ...] = (1e-3, 1e-4, 1e-5)) -> dict[float, int]:
     """The HFC count of sources for each false-alarm rate."""
     n, mean, cov = moments(samples)
@@ -239,9 +277,8 @@ def eiha(x: np.ndarray, alpha: float = 2.0, seed: int = 0) -> list[int]:
     return own
 
 
-def cca_endmembers(x: np.ndarray, p: int, seed: int = 0, tol: float = 1e-6) -> np.ndarray:
-    """p vectors at the edge of the convex cone of the first p eigenvectors (fewer if the draws run out)."""
-    corr = x.T @ x / max(len(x), 1)
+def cca_endmembers(corr: np.ndarray, p: int, seed: int = 0, tol: float = 1e-6) -> np.ndarray:
+    """p vectors at the edge of the convex cone of the first p eigenvectors of the correlation x^T x / n (fewer if the draws run out)."""
     val, vec = np.linalg.eigh(corr)
     v = vec[:, np.argsort(-val)[:p]]
     v = v * np.where(v.sum(0) < 0, -1, 1)
@@ -273,14 +310,15 @@ def induce(samples: DataFrame, method: str, by: list[str], n_comps: int | None =
 
 
 def induce_cone(samples: DataFrame, by: list[str], p: int, seed: int = 0) -> DataFrame:
-    """(*by, comp, x): CCA's vectors of each group."""
+    """(*by, comp, x): CCA's vectors of each group, from its d x d correlation."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = cca_endmembers(_matrix(pdf.sort_values("id")["x"]), p, seed)
+        d = int(round(len(pdf["m"].iloc[0]) ** 0.5))
+        e = cca_endmembers(np.asarray(pdf["m"].iloc[0], dtype=float).reshape(d, d) / pdf["n"].iloc[0], p, seed)
         out = pd.DataFrame({"comp": np.arange(len(e), dtype="int32"), "x": pd.Series([v.tolist() for v in e], dtype=object)})
         for c in reversed(by):
             out.insert(0, c, pdf[c].iloc[0])
         return out
 
     kinds = ", ".join(f"{c} {samples.schema[c].dataType.simpleString()}" for c in by)
-    return samples.select(*by, "id", "x").groupBy(*by).applyInPandas(run, f"{kinds}, comp int, x array<double>")
+    return products(samples, by).groupBy(*by).applyInPandas(run, f"{kinds}, comp int, x array<double>")

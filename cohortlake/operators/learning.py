@@ -1,7 +1,5 @@
 """Supervised experiments on pyspark.ml: sample rows (sample_id, y DOUBLE, features VECTOR, fold)."""
 
-
-
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
@@ -79,6 +77,19 @@ class GaussianClasses:
         return df.withColumn("prediction", best(vector_to_array("features")))
 
 
+INNER_FOLDS = 3
+
+
+def inner_folds(rows: DataFrame, *by):
+    """The (training, test) rows of each inner fold, dealt by the values of ``by``."""
+    fold = F.pmod(F.xxhash64(*by), F.lit(INNER_FOLDS))
+    return [(rows.filter(fold != i), rows.filter(fold == i)) for i in range(INNER_FOLDS)]
+
+
+def _accuracy(predicted: DataFrame) -> float:
+    return predicted.agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0] or 0.0
+
+
 def feature_selector(name: str, features: str = "features", out: str = "selected", k: int = 10, seed: int = 0):
     """An unfitted selector stage, or for 'extratrees' and 'rfe' a callable(df) -> VectorSlicer, for 'lda' -> weights."""
     modes = {"univariate": ("percentile", 0.05), "fpr": ("fpr", 0.05), "fdr": ("fdr", 0.05), "anova": ("numTopFeatures", k)}
@@ -89,8 +100,10 @@ def feature_selector(name: str, features: str = "features", out: str = "selected
         return PCA(k=k, inputCol=features, outputCol=out)
     if name == "extratrees":
         return lambda df: _slicer(RandomForestClassifier(labelCol="y", featuresCol=features, seed=seed).fit(df).featureImportances.toArray(), k, features, out)
-    if name in ("rfe", "rfecv"):
+    if name == "rfe":
         return lambda df: rfe(df, k, features, out)
+    if name == "rfecv":
+        return lambda df: rfecv(df, features, out)
     if name == "lda":
         return lambda df: fisher_lda(df, features)
     raise ValueError(f"no selector {name}")
@@ -100,18 +113,40 @@ def _slicer(score: np.ndarray, k: int, features: str, out: str) -> VectorSlicer:
     return VectorSlicer(inputCol=features, outputCol=out, indices=sorted(np.argsort(-score, kind="stable")[:k].tolist()))
 
 
-def rfe(df: DataFrame, k: int, features: str = "features", out: str = "selected", step: float = 0.05) -> VectorSlicer:
-    """Drops the twentieth of least squared SVM weight until ``k`` features are left."""
-    keep = list(range(len(df.select(features).first()[0])))
-    while len(keep) > k:
-        cut = VectorSlicer(inputCol=features, outputCol="__part", indices=keep).transform(df)
-        w = LinearSVC(labelCol="y", featuresCol="__part", maxIter=5, regParam=0.1).fit(cut).coefficients.toArray() ** 2
-        drop = min(len(keep) - k, max(1, int(step * len(keep))))
-        gone = set(np.argsort(w, kind="stable")[:drop].tolist())
+def _eliminations(df: DataFrame, least: int, features: str, step: float):
+    """Sets of features from all down to ``least``, each with the SVM fit on it: a share ``step`` of all, those of least
+    squared weight, goes each time."""
+    dims = len(df.select(features).first()[0])
+    keep = list(range(dims))
+    while True:
+        part = VectorSlicer(inputCol=features, outputCol="__part", indices=keep)
+        model = LinearSVC(labelCol="y", featuresCol="__part", maxIter=5, regParam=0.1).fit(part.transform(df))
+        yield keep, part, model
+        if len(keep) <= least:
+            return
+        drop = min(len(keep) - least, max(1, int(step * dims)))
+        gone = set(np.argsort(model.coefficients.toArray() ** 2, kind="stable")[:drop].tolist())
         keep = [f for i, f in enumerate(keep) if i not in gone]
+
+
+def rfe(df: DataFrame, k: int, features: str = "features", out: str = "selected", step: float = 0.05) -> VectorSlicer:
+    """Drops a twentieth of all features, those of least squared SVM weight, until ``k`` are left."""
+    *_, (keep, _, _) = _eliminations(df, k, features, step)
     return VectorSlicer(inputCol=features, outputCol=out, indices=keep)
 
 
+def rfecv(df: DataFrame, features: str = "features", out: str = "selected", step: float = 0.05) -> VectorSlicer:
+    """``rfe`` down to the number of features of best mean accuracy over the inner folds; of equal ones the smallest."""
+    scores: dict[int, list[float]] = {}
+    df = df.persist()
+    for own, rest in inner_folds(df, vector_to_array(features)):
+        for keep, part, model in _eliminations(own, 1, features, step):
+            scores.setdefault(len(keep), []).append(_accuracy(model.transform(part.transform(rest))))
+    best = rfe(df, min(scores, key=lambda n: (-np.mean(scores[n]), n)), features, out, step)
+    df.unpersist()
+    return best
+
+
 def fisher_lda(df: DataFrame, features: str = "features") -> np.ndarray:
     """Discriminant weights (d x classes - 1) from one pass of class moments."""
     from cohortlake.operators.endmembers import moments
@@ -155,7 +190,7 @@ def cross_validate(features: DataFrame, labels: DataFrame, name: str, presel=Non
     """(fold, sample_id, y_true, y_pred): for each fold fit on the others, scaled and preselected there, predict it.
 
     ``labels`` (sample_id, y, fold); ``presel(features, labels) -> (feature_id, measure)`` sees training rows alone.
-    The grid is searched on the first inner fold.
+    The grid is searched by cross-validation over ``INNER_FOLDS`` folds of the training rows.
     """
     out = None
     parts = max(1, int(labels.count() // 1000))  # solvers make many short passes: few rows do with few tasks
@@ -185,9 +220,8 @@ def cross_validate(features: DataFrame, labels: DataFrame, name: str, presel=Non
 
 
 def _inner_score(est, params, rows: DataFrame) -> float:
-    part = F.pmod(F.xxhash64("sample_id"), F.lit(3)) == 0
-    got = est.fit(rows.filter(~part), params).transform(rows.filter(part))
-    return got.agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0] or 0.0
+    """Mean accuracy over the inner folds."""
+    return float(np.mean([_accuracy(est.fit(own, params).transform(rest)) for own, rest in inner_folds(rows, "sample_id")]))
 
 
 def run_experiments(features: DataFrame, labels: DataFrame, configs: DataFrame, results: DataFrame | None = None) -> DataFrame:

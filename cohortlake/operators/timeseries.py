@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from cohortlake.operators.endmembers import products
 from cohortlake.operators.sizes import small
 
 SELECTORS: dict[str, Callable] = {}
@@ -101,21 +102,22 @@ def as_arrays(long: DataFrame) -> DataFrame:
     return whole.select("volume_id", "roi", F.transform("p", lambda p: p["x"]).alias("ts"))
 
 
-def eigen(matrix: np.ndarray, n_comps: int) -> np.ndarray:
-    """Component scores over time of the centred series; the largest loading of each is positive."""
-    x = matrix - matrix.mean(axis=1, keepdims=True)
-    u, s, vt = np.linalg.svd(x, full_matrices=False)
-    n = min(n_comps, int((s > 1e-10 * max(s[0], 1e-300)).sum()) or 1)
-    sign = np.sign(u[np.abs(u[:, :n]).argmax(axis=0), np.arange(n)])
-    sign[sign == 0] = 1
-    return (vt[:n].T * s[:n] * sign).T
+def eigen(gram: np.ndarray, n_comps: int) -> np.ndarray:
+    """Component scores over time from the times x times sum of products of the centred series; signs are free."""
+    val, vec = np.linalg.eigh(gram)
+    first = np.argsort(-val, kind="stable")
+    s = np.sqrt(np.maximum(val[first], 0))
+    n = min(n_comps, int((s > 1e-7 * max(s[0], 1e-300)).sum()) or 1)  # squares keep half of the digits
+    return (vec[:, first[:n]] * s[:n]).T
 
 
 def select_timeseries(series: DataFrame, selector: str, n_comps: int = 1) -> DataFrame:
-    """(volume_id, roi, comp, ts) by 'mean', 'eigen' or a registered selector, one group at a time in a task."""
+    """(volume_id, roi, comp, ts) by 'mean', 'eigen' or a registered selector; those get one whole region at a time in a task."""
     if selector == "mean":
         return as_arrays(mean_timeseries(series)).select("volume_id", "roi", F.lit(0).alias("comp"), "ts")
-    f = SELECTORS.get(selector) or {"eigen": lambda m: eigen(m, n_comps)}[selector]
+    if selector == "eigen":
+        return eigen_timeseries(series, n_comps)
+    f = SELECTORS[selector]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("voxel_id")
@@ -127,7 +129,26 @@ def select_timeseries(series: DataFrame, selector: str, n_comps: int = 1) -> Dat
 
 
 def eigen_timeseries(series: DataFrame, n_comps: int = 1) -> DataFrame:
-    return select_timeseries(series, "eigen", n_comps)
+    """(volume_id, roi, comp, ts): the first components of each region's series, each centred over time; the voxel of the
+    largest loading (the smallest voxel_id of several) has a positive one.
+
+    Regions are summed as times x times products, so no task holds a whole one; a second pass over the voxels finds signs.
+    """
+    keys = ["volume_id", "roi"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.asarray(pdf["m"].iloc[0], dtype=float)
+        d = int(round(len(m) ** 0.5))
+        out = eigen(m.reshape(d, d), n_comps)
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(out) for c in keys}, "comp": np.arange(len(out), dtype="int32"), "score": out.tolist()})
+
+    kinds = ", ".join(f"{c} {series.schema[c].dataType.simpleString()}" for c in keys)
+    found = products(series.select(*keys, F.col("ts").alias("x")), keys, centred=True).groupBy(*keys).applyInPandas(run, f"{kinds}, comp int, score array<double>")
+    # scores sum to 0 over time, so a series need not be centred to find its loading
+    load = F.aggregate(F.zip_with("ts", "score", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    voxels = series.select(*keys, "voxel_id", "ts").join(found, keys).select(*keys, "comp", "score", "voxel_id", load.alias("load"))
+    most = voxels.groupBy(*keys, "comp").agg(F.max_by("load", F.struct(F.abs("load"), -F.col("voxel_id"))).alias("load"), F.first("score").alias("score"))
+    return most.select(*keys, "comp", F.when(F.col("load") < 0, F.transform("score", lambda v: -v)).otherwise(F.col("score")).alias("ts"))
 
 
 def pearson(a: np.ndarray, b: np.ndarray) -> float:

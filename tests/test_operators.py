@@ -156,10 +156,26 @@ def test_inductions_pick_rows():
     x = np.random.default_rng(4).normal(size=(40, 3))
     for own in (endmembers.ilsia(x), endmembers.eiha(x), endmembers.ilsia(x, alpha=0.5)):
         assert len(own) == len(set(own)) >= 1 and all(0 <= i < 40 for i in own)
-    e = endmembers.cca_endmembers(np.abs(x) + 0.1, 3)
+    x = np.abs(x) + 0.1
+    e = endmembers.cca_endmembers(x.T @ x / len(x), 3)
     assert len(e) <= 3 and (e > -1e-6).all()
 
 
+def test_group_products(spark, monkeypatch):
+    monkeypatch.setattr(endmembers, "HELD_BYTES", 100)
+    x = np.random.default_rng(11).normal(size=(90, 4))
+    s = spark.createDataFrame([("a" if i % 3 else None, i, v.tolist()) for i, v in enumerate(x)], "label string, id long, x array<double>").repartition(5)
+    for centred in (False, True):
+        z = x - x.mean(1, keepdims=True) if centred else x
+        got = {r["label"]: (r["n"], r["m"]) for r in endmembers.products(s, ["label"], centred).collect()}
+        for label, rows in (("a", np.arange(90) % 3 > 0), (None, np.arange(90) % 3 == 0)):
+            assert got[label][0] == rows.sum() and np.allclose(np.reshape(got[label][1], (4, 4)), z[rows].T @ z[rows])
+    assert endmembers.products(s.limit(0), ["label"]).count() == 0
+    cone = endmembers.induce_cone(s.withColumn("x", F.transform("x", lambda v: F.abs(v) + 0.1)).filter("label is not null"), ["label"], 2).collect()
+    want = np.abs(x[np.arange(90) % 3 > 0]) + 0.1
+    assert np.allclose([r["x"] for r in sorted(cone, key=lambda r: r["comp"])], endmembers.cca_endmembers(want.T @ want / len(want), 2))
+
+
 def test_filters():
     t = np.arange(256) * 2.0
     slow, fast = np.sin(2 * np.pi * 0.02 * t), np.sin(2 * np.pi * 0.2 * t)
@@ -178,11 +194,18 @@ def test_coherence_and_granger():
     assert timeseries.granger(a, b) > 10 * abs(timeseries.granger(b, a))
 
 
-def test_eigen_against_svd():
-    m = np.random.default_rng(6).normal(size=(8, 30))
-    e = timeseries.eigen(m, 2)
-    x = m - m.mean(1, keepdims=True)
-    assert np.allclose((e**2).sum(1), np.linalg.svd(x, compute_uv=False)[:2] ** 2)
+def test_eigen_against_svd(spark):
+    m = np.random.default_rng(6).normal(size=(24, 30)) + 3
+    flat = np.ones((2, 30))
+    s = spark.createDataFrame([("v", i, 1 + i % 2, v.tolist()) for i, v in enumerate(m)] + [("v", 90 + i, 3, v.tolist()) for i, v in enumerate(flat)], "volume_id string, voxel_id long, roi int, ts array<double>").repartition(4)
+    got = {(r["roi"], r["comp"]): np.array(r["ts"]) for r in timeseries.eigen_timeseries(s, 2).collect()}
+    assert set(got) == {(1, 0), (1, 1), (2, 0), (2, 1), (3, 0)} and np.allclose(got[3, 0], 0)
+    for roi in (1, 2):
+        x = m[roi - 1 :: 2] - m[roi - 1 :: 2].mean(1, keepdims=True)
+        u, size, vt = np.linalg.svd(x, full_matrices=False)
+        for k in range(2):
+            sign = np.sign(u[np.abs(u[:, k]).argmax(), k])
+            assert np.allclose(got[roi, k], sign * size[k] * vt[k])
 
 
 def test_hooks(spark):
@@ -228,6 +251,7 @@ def test_selectors(spark):
     rows = learning.to_vectors(feats, labels.select("sample_id", "y"))
     assert learning.feature_selector("anova", k=1).fit(rows).selectedFeatures == [2]
     assert learning.feature_selector("rfe", k=1)(rows).getIndices() == [2]
+    assert 2 in learning.feature_selector("rfecv")(rows).getIndices()
     assert learning.feature_selector("extratrees", k=1)(rows).getIndices() == [2]
     assert np.abs(learning.feature_selector("lda")(rows)[:, 0]).argmax() == 2
 
