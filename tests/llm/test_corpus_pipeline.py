@@ -40,6 +40,40 @@ def test_decontamination_drops_leaks(spark):
     assert out.columns == COLUMNS and sorted(r["doc_id"] for r in out.collect()) == sorted(i for i, _ in texts)
 
 
+def test_stages_on_odd_rows(spark):
+    """Null keys, nulls in any column, empty, repeated and very long texts, clashing column names, and empty tables."""
+    rng = random.Random(21)
+    long = prose(rng, 30_000, 10**6)
+    rows = [(i, prose(rng, 80, 10**6), "en", "s", 7) for i in range(8)]
+    rows += [(None, "a text of its own without any key at all", None, None, None), (20, None, "en", None, 0), (21, "", None, "s", 0), (22, long, "en", "s", None), (23, rows[0][1], "en", "s", 7), (23, rows[0][1], "en", "s", 7)]
+    extra = ["k", "t", "score", "toxicity", "leaks", "repeats", "class_id", "offset", "best"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"'clash' as {c}" for c in extra])
+    columns = COLUMNS + extra
+    keys = lambda out: sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in out.collect())
+    every = keys(df)
+    for stage in (P.toxicity, P.line_dedup, P.near_duplicates, P.decontamination):
+        out = stage(spark, df, DATA)
+        assert out.columns == columns and out.filter("k <> 'clash' or score <> 'clash'").count() == 0
+        # copies are the only rows that may go, and only where one of each group stays: 23 is 0, and 21 (empty) is 20 (null)
+        assert keys(out) == ([k for k in every if k not in (21, 23)] if stage is P.near_duplicates else every), stage.__name__
+        assert out.filter("doc_id = 22").first()["text"] == long and out.filter("doc_id = 20").first()["text"] is None
+        assert out.filter("doc_id is null").first()["text"] == rows[8][1]
+        assert stage(spark, df.limit(0), DATA).count() == 0
+    packed = P.packing(spark, df, DATA).collect()
+    pieces = lambda k: [r for r in packed if r["doc_id"] == k]
+    assert {r["doc_id"] for r in packed} == {r[0] for r in rows} and [r["length"] for r in pieces(20) + pieces(21)] == [1, 1]
+    assert len(pieces(23)) == 2 * len(pieces(0)) and sorted(r["piece"] for r in pieces(22)) == list(range(len(pieces(22))))
+    assert P.packing(spark, df.limit(0), DATA).count() == 0
+
+
+def test_toxicity_stage_follows_the_scores(spark):
+    from cohortlake.llm import toxicity
+
+    df, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    scores = {r["doc_id"]: r["toxicity"]["score"] for r in toxicity.score(df, toxicity.fit(df, labels)).select("doc_id", "toxicity").collect()}
+    assert {r["doc_id"] for r in P.toxicity(spark, df, DATA).collect()} == {k for k, s in scores.items() if s < 0.5}
+
+
 def test_whole_run(spark):
     out = P.run(spark, DATA)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 100
