@@ -52,32 +52,32 @@ def train_moments(by_fold: DataFrame, by: tuple[str, ...] = ("feature_id", "y"))
     return merged(others, ("fold", *by))
 
 
-def pearson_features(m: DataFrame) -> DataFrame:
-    """(feature_id, measure): correlation of value and y, from moments by class; NaN is 0."""
-    w = Window.partitionBy("feature_id")
+def pearson_features(m: DataFrame, by: tuple[str, ...] = ("feature_id",)) -> DataFrame:
+    """(*by, measure): correlation of value and y, from moments by class; NaN is 0. ``by`` may hold a fold too."""
+    w = Window.partitionBy(*by)
     n = F.sum("n").over(w)
     gx, gy = F.sum(F.col("n") * F.col("mean")).over(w) / n, F.sum(F.col("n") * F.col("y")).over(w) / n
     rows = m.withColumns({"gx": gx, "gy": gy})
     dx, dy = F.col("mean") - F.col("gx"), F.col("y") - F.col("gy")
-    s = rows.groupBy("feature_id").agg(F.sum(F.col("n") * dx * dy).alias("xy"), F.sum(F.col("m2") + F.col("n") * dx * dx).alias("xx"), F.sum(F.col("n") * dy * dy).alias("yy"))
-    return s.select("feature_id", F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).otherwise(0.0).alias("measure"))
+    s = rows.groupBy(*by).agg(F.sum(F.col("n") * dx * dy).alias("xy"), F.sum(F.col("m2") + F.col("n") * dx * dx).alias("xx"), F.sum(F.col("n") * dy * dy).alias("yy"))
+    return s.select(*by, F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).otherwise(0.0).alias("measure"))
 
 
-def _pairs(m: DataFrame) -> DataFrame:
-    s = m.select("feature_id", "y", "n", "mean", (F.col("m2") / F.col("n")).alias("v"))
-    a = s.select("feature_id", *[F.col(c).alias(f"{c}_a") for c in ("y", "n", "mean", "v")])
-    b = s.select("feature_id", *[F.col(c).alias(f"{c}_b") for c in ("y", "n", "mean", "v")])
-    return a.join(b, "feature_id").filter("y_a < y_b")
+def _pairs(m: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    s = m.select(*by, "y", "n", "mean", (F.col("m2") / F.col("n")).alias("v"))
+    a = s.select(*by, *[F.col(c).alias(f"{c}_a") for c in ("y", "n", "mean", "v")])
+    b = s.select(*by, *[F.col(c).alias(f"{c}_b") for c in ("y", "n", "mean", "v")])
+    return a.join(b, list(by)).filter("y_a < y_b")
 
 
-def bhattacharyya_features(m: DataFrame) -> DataFrame:
+def bhattacharyya_features(m: DataFrame, by: tuple[str, ...] = ("feature_id",)) -> DataFrame:
     """Largest Bhattacharyya distance over the pairs of classes, 0 at least; what is not finite is 0."""
     va, vb = F.col("v_a"), F.col("v_b")
     d = F.when((va > 0) & (vb > 0), 0.25 * F.pow(F.col("mean_a") - F.col("mean_b"), 2) / (va + vb) + 0.5 * F.log((va + vb) / (2 * F.sqrt(va) * F.sqrt(vb)))).otherwise(0.0)
-    return _pairs(m).groupBy("feature_id").agg(F.greatest(F.max(d), F.lit(0.0)).alias("measure"))
+    return _pairs(m, by).groupBy(*by).agg(F.greatest(F.max(d), F.lit(0.0)).alias("measure"))
 
 
-def welch_features(m: DataFrame, variant: str = "reference") -> DataFrame:
+def welch_features(m: DataFrame, variant: str = "reference", by: tuple[str, ...] = ("feature_id",)) -> DataFrame:
     """Largest signed t over the pairs of classes, 0 at least.
 
     ``variant``: "reference" divides by sqrt(var_a^2 / n_a + var_b^2 / n_b), "standard" by sqrt(var_a / n_a + var_b / n_b).
@@ -85,7 +85,14 @@ def welch_features(m: DataFrame, variant: str = "reference") -> DataFrame:
     p = 2 if variant == "reference" else 1
     e = F.sqrt(F.pow("v_a", F.lit(p)) / F.col("n_a") + F.pow("v_b", F.lit(p)) / F.col("n_b"))
     t = F.when(e > 0, (F.col("mean_a") - F.col("mean_b")) / e).otherwise(0.0)
-    return _pairs(m).groupBy("feature_id").agg(F.greatest(F.max(t), F.lit(0.0)).alias("measure"))
+    return _pairs(m, by).groupBy(*by).agg(F.greatest(F.max(t), F.lit(0.0)).alias("measure"))
+
+
+def measure_features(m: DataFrame, method: str, by: tuple[str, ...] = ("feature_id",)) -> DataFrame:
+    """(*by, measure) from moments (*by, y, n, mean, m2). ``method``: pearson (absolute), bhattacharyya or welcht."""
+    if method == "pearson":
+        return pearson_features(m, by).withColumn("measure", F.abs("measure"))
+    return {"bhattacharyya": bhattacharyya_features, "welcht": welch_features}[method](m, by=by)
 
 
 def distance_features(features: DataFrame, labels: DataFrame, distance) -> DataFrame:
@@ -111,8 +118,7 @@ def feature_selection(features: DataFrame, labels: DataFrame, method: str, thr_m
     elif method == "":
         out = features.select("feature_id").distinct().withColumn("measure", F.lit(1.0))
     else:
-        m = moments(features, labels)
-        out = {"pearson": lambda: pearson_features(m).withColumn("measure", F.abs("measure")), "bhattacharyya": lambda: bhattacharyya_features(m), "welcht": lambda: welch_features(m)}[method]()
+        out = measure_features(moments(features, labels), method)
     if not thr_method:
         return out
     rows = out.select(F.lit(0).alias("grp"), "feature_id", F.col("measure").alias("value"))

@@ -1,103 +1,88 @@
 """Supervised experiments on pyspark.ml: sample rows (sample_id, y DOUBLE, features VECTOR, fold)."""
 
+import itertools
+
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.clustering import GaussianMixture
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, RandomForestClassifier
 from pyspark.ml.feature import PCA, UnivariateFeatureSelector, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.operators.features import standardize
+from cohortlake.operators.crossval import CrossValidation, Preselection, accuracy, cross_validate, inner_folds  # noqa: F401
+from cohortlake.operators.estimators import FisherLDA, GaussianClasses, MixedPerceptron, RandomizedPCA, SGDClassifier
+from cohortlake.operators.experiments import ResultsTable, run_experiments  # noqa: F401
+
+
+def _steps(dims: int, first: int, last: int, width: int) -> list[int]:
+    """first, first + width, ... below last; of few features every second number."""
+    return list(range(first, dims, 2)) if dims < 10 else list(range(first, last, width))
+
 
+def classifier_grid(name: str, dims: int, rows: int = 1000) -> list[dict]:
+    """All candidates of a classifier's own grid, as parameters by name. ``rows``: of the training set, for 'linsvm'."""
+    powers = lambda low, high: [10.0**i for i in range(low, high + 1)]
+    axes = {
+        "cart": {"impurity": ["gini", "entropy"], "maxDepth": [30, 10, 20]},  # 30 is the deepest there is
+        "rf": {"numTrees": [3, 5, 10, 30, 50, 100], "featureSubsetStrategy": [*map(str, _steps(dims, 1, 30, 4)), "all", "auto", "sqrt", "log2"]},
+        "gmm": {"nComponents": [2, 3, 4, 5], "covarianceType": ["spherical", "tied", "diag"]},
+        "linsvm": {"regParam": [1 / (c * rows) for c in powers(-3, 3)]},
+        "sgd": {"loss": ["hinge", "modified_huber", "log"], "penalty": ["l1", "l2", "elasticnet"], "alpha": powers(-6, -1)},
+        "percep": {"penalty": ["none", "l2", "l1", "elasticnet"], "alpha": powers(-3, 3)},
+    }[name]
+    return [dict(zip(axes, values, strict=True)) for values in itertools.product(*axes.values())]
 
-def classifier(name: str, dims: int = 0, classes: int = 2, seed: int = 0):
-    """The estimator and its parameter grid. Labels y, features features. 'gmm' is ``GaussianClasses``."""
+
+def classifier(name: str, dims: int = 0, classes: int = 2, seed: int = 0, grid: list[dict] | None = None, rows: int = 1000):
+    """The estimator and its candidates as parameter maps. Labels y, features features, weights weight.
+
+    ``grid``: the candidates as parameters by name; without one those of ``classifier_grid``.
+    """
     common = {"labelCol": "y", "featuresCol": "features"}
-    if name == "cart":
-        e = DecisionTreeClassifier(seed=seed, **common)
-        return e, ParamGridBuilder().addGrid(e.maxDepth, [3, 5, 10]).build()
-    if name == "rf":
-        e = RandomForestClassifier(seed=seed, **common)
-        return e, ParamGridBuilder().addGrid(e.numTrees, [10, 30]).addGrid(e.maxDepth, [5]).build()
-    if name == "linsvm":
-        e = LinearSVC(weightCol="weight", maxIter=20, **common)
-        return e, ParamGridBuilder().addGrid(e.regParam, [0.01, 0.1]).build()
-    if name == "sgd":
-        e = LogisticRegression(maxIter=20, elasticNetParam=0.5, **common)
-        return e, ParamGridBuilder().addGrid(e.regParam, [0.001, 0.01, 0.1]).build()
-    if name == "percep":
-        e = MultilayerPerceptronClassifier(layers=[dims, classes], seed=seed, **common)
-        return e, ParamGridBuilder().addGrid(e.stepSize, [0.03]).build()
-    if name == "gmm":
-        return GaussianClasses(seed=seed), [{}]
-    raise ValueError(f"no classifier {name}")
-
-
-class GaussianClasses:
-    """One Gaussian (k = 1, from one pass of moments) or Gaussian mixture for each class; the class of the largest
-    prior times likelihood."""
-
-    def __init__(self, k: int = 1, seed: int = 0):
-        self.k, self.seed = k, seed
-
-    def fit(self, df: DataFrame):
-        from cohortlake.operators.endmembers import moments
-
-        counts = {r["y"]: r["count"] for r in df.groupBy("y").count().collect()}
-        total = sum(counts.values())
-        self.parts = []
-        for y, n in sorted(counts.items()):
-            own = df.filter(F.col("y") == y)
-            if self.k == 1:
-                _, mean, cov = moments(own.select(vector_to_array("features").alias("x")))
-                mix = [(1.0, mean, cov)]
-            else:
-                g = GaussianMixture(k=self.k, seed=self.seed).fit(own.select("features"))
-                mix = [(w, d.mean.toArray(), d.cov.toArray()) for w, d in zip(g.weights, g.gaussians, strict=True)]
-            for w, mean, cov in mix:
-                cov = cov + 1e-6 * np.eye(len(cov))
-                self.parts.append((y, np.log(n / total * max(w, 1e-300)) - 0.5 * np.linalg.slogdet(cov)[1], mean, np.linalg.inv(cov)))
-        return self
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        import pandas as pd
-        from pyspark.sql.functions import pandas_udf
-
-        parts = self.parts
-
-        @pandas_udf("double")
-        def best(x: pd.Series) -> pd.Series:
-            m = np.stack(x.map(np.asarray).to_list())
-            s = np.stack([c - 0.5 * np.einsum("ij,jk,ik->i", m - mu, inv, m - mu) for _, c, mu, inv in parts])
-            return pd.Series(np.array([p[0] for p in parts])[s.argmax(0)])
-
-        return df.withColumn("prediction", best(vector_to_array("features")))
-
-
-INNER_FOLDS = 3
-
-
-def inner_folds(rows: DataFrame, *by):
-    """The (training, test) rows of each inner fold, dealt by the values of ``by``."""
-    fold = F.pmod(F.xxhash64(*by), F.lit(INNER_FOLDS))
-    return [(rows.filter(fold != i), rows.filter(fold == i)) for i in range(INNER_FOLDS)]
-
-
-def _accuracy(predicted: DataFrame) -> float:
-    return predicted.agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0] or 0.0
+    known = {
+        "cart": lambda: DecisionTreeClassifier(weightCol="weight", seed=seed, maxDepth=30, **common),
+        "rf": lambda: RandomForestClassifier(weightCol="weight", seed=seed, maxDepth=30, **common),
+        "gmm": lambda: GaussianClasses(seed=seed, **common),
+        "linsvm": lambda: LinearSVC(weightCol="weight", maxIter=20, **common),
+        "sgd": lambda: SGDClassifier(weightCol="weight", seed=seed, **common),
+        "percep": lambda: MixedPerceptron(weightCol="weight", seed=seed, **common),
+    }
+    if name not in known:
+        raise ValueError(f"no classifier {name}")
+    e = known[name]()
+    candidates = classifier_grid(name, dims, rows) if grid is None else grid
+    return e, [{e.getParam(k): v for k, v in c.items()} for c in candidates] or [{}]
+
+
+def selector_grid(name: str, dims: int) -> list[dict]:
+    """All candidates of a selector's own grid, as parameters by name of its stage, or of its function."""
+    some, comps = _steps(dims, 2, 20, 4), _steps(dims, 1, 30, 4)
+    axes = {
+        "rfe": {"c": [0.1, 1.0, 10.0], "k": some},
+        "rfecv": {"c": [0.1, 1.0, 10.0]},
+        "univariate": {"selectionThreshold": [0.01, 0.03, 0.05, 0.1]},
+        "fpr": {"selectionThreshold": [0.01, 0.03, 0.05, 0.1]},
+        "fdr": {"selectionThreshold": [0.01, 0.03, 0.05, 0.1]},
+        "extratrees": {"trees": [1, 3, 5, 10, 30, 50], "tried": ["auto", *some]},
+        "pca": {"k": comps},
+        "rpca": {"k": comps, "power": [3, 4, 5], "whiten": [True, False]},
+        "lda": {"nComponents": comps},
+        "anova": {"selectionThreshold": comps},
+    }[name]
+    return [dict(zip(axes, values, strict=True)) for values in itertools.product(*axes.values())]
 
 
 def feature_selector(name: str, features: str = "features", out: str = "selected", k: int = 10, seed: int = 0):
-    """An unfitted selector stage, or for 'extratrees' and 'rfe' a callable(df) -> VectorSlicer, for 'lda' -> weights."""
+    """An unfitted selector stage, or for 'extratrees', 'rfe' and 'rfecv' a callable(df) -> VectorSlicer."""
     modes = {"univariate": ("percentile", 0.05), "fpr": ("fpr", 0.05), "fdr": ("fdr", 0.05), "anova": ("numTopFeatures", k)}
     if name in modes:
         mode, at = modes[name]
         return UnivariateFeatureSelector(featuresCol=features, outputCol=out, labelCol="y", selectionMode=mode).setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(at)
-    if name in ("pca", "rpca"):
+    if name == "pca":
         return PCA(k=k, inputCol=features, outputCol=out)
+    if name == "rpca":
+        return RandomizedPCA(k=k, featuresCol=features, outputCol=out, seed=seed)
     if name == "extratrees":
         return lambda df: _slicer(RandomForestClassifier(labelCol="y", featuresCol=features, seed=seed).fit(df).featureImportances.toArray(), k, features, out)
     if name == "rfe":
@@ -105,7 +90,7 @@ def feature_selector(name: str, features: str = "features", out: str = "selected
     if name == "rfecv":
         return lambda df: rfecv(df, features, out)
     if name == "lda":
-        return lambda df: fisher_lda(df, features)
+        return FisherLDA(featuresCol=features, outputCol=out)
     raise ValueError(f"no selector {name}")
 
 
@@ -141,26 +126,15 @@ def rfecv(df: DataFrame, features: str = "features", out: str = "selected", step
     df = df.persist()
     for own, rest in inner_folds(df, vector_to_array(features)):
         for keep, part, model in _eliminations(own, 1, features, step):
-            scores.setdefault(len(keep), []).append(_accuracy(model.transform(part.transform(rest))))
+            scores.setdefault(len(keep), []).append(accuracy(model.transform(part.transform(rest))))
     best = rfe(df, min(scores, key=lambda n: (-np.mean(scores[n]), n)), features, out, step)
     df.unpersist()
     return best
 
 
 def fisher_lda(df: DataFrame, features: str = "features") -> np.ndarray:
-    """Discriminant weights (d x classes - 1) from one pass of class moments."""
-    from cohortlake.operators.endmembers import moments
-
-    stats = []
-    for y in sorted(r["y"] for r in df.select("y").distinct().collect()):
-        stats.append(moments(df.filter(F.col("y") == y).select(vector_to_array(features).alias("x"))))
-    n = sum(s[0] for s in stats)
-    grand = sum(s[0] * s[1] for s in stats) / n
-    within = sum(s[0] * s[2] for s in stats) / n
-    between = sum(s[0] * np.outer(s[1] - grand, s[1] - grand) for s in stats) / n
-    val, vec = np.linalg.eig(np.linalg.pinv(within) @ between)
-    w = np.real(vec[:, np.argsort(-np.real(val))[: len(stats) - 1]])
-    return w * np.where(w[np.abs(w).argmax(0), np.arange(w.shape[1])] < 0, -1, 1)
+    """Discriminant weights (d x classes - 1) from the class moments."""
+    return FisherLDA(featuresCol=features).fit(df).axes
 
 
 def build_pipeline(selectors: list, estimator) -> Pipeline:
@@ -184,59 +158,3 @@ def to_vectors(features: DataFrame, labels: DataFrame) -> DataFrame:
     """(sample_id, y, features) of long integer features; every sample has every feature."""
     whole = features.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("feature_id", "value"))).alias("p"))
     return whole.join(labels, "sample_id").select("sample_id", F.col("y").cast("double").alias("y"), array_to_vector(F.transform("p", lambda p: p["value"].cast("double"))).alias("features"))
-
-
-def cross_validate(features: DataFrame, labels: DataFrame, name: str, presel=None, scale: bool = True, seed: int = 0) -> DataFrame:
-    """(fold, sample_id, y_true, y_pred): for each fold fit on the others, scaled and preselected there, predict it.
-
-    ``labels`` (sample_id, y, fold); ``presel(features, labels) -> (feature_id, measure)`` sees training rows alone.
-    The grid is searched by cross-validation over ``INNER_FOLDS`` folds of the training rows.
-    """
-    out = None
-    parts = max(1, int(labels.count() // 1000))  # solvers make many short passes: few rows do with few tasks
-    for fold in sorted(r["fold"] for r in labels.select("fold").distinct().collect()):
-        train = labels.filter(F.col("fold") != fold)
-        f = features
-        if scale:
-            f = standardize(f, f.join(train.select("sample_id"), "sample_id", "left_semi"))
-        if presel is not None:
-            chosen = presel(f.join(train.select("sample_id"), "sample_id", "left_semi"), train.select("sample_id", "y")).filter("measure > 0").select("feature_id")
-            f = f.join(chosen, "feature_id", "left_semi")
-        rows = to_vectors(f, labels).join(labels.select("sample_id", "fold"), "sample_id").withColumn("weight", F.lit(1.0)).coalesce(parts).persist()
-        own, test = rows.filter(F.col("fold") != fold), rows.filter(F.col("fold") == fold)
-        n = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
-        total = sum(n.values())
-        weight = F.lit(1.0)
-        for y, c in n.items():
-            weight = F.when(F.col("y") == y, total / (len(n) * c)).otherwise(weight)
-        own = own.withColumn("weight", weight)
-        dims = len(own.select("features").first()[0])
-        est, grid = classifier(name, dims, len(n), seed)
-        best = max(grid, key=lambda g: _inner_score(est, g, own)) if len(grid) > 1 else grid[0]
-        model = est.fit(own, best) if best else est.fit(own)
-        got = model.transform(test).select(F.lit(fold).cast("int").alias("fold"), "sample_id", F.col("y").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
-        out = got if out is None else out.union(got)
-    return out
-
-
-def _inner_score(est, params, rows: DataFrame) -> float:
-    """Mean accuracy over the inner folds."""
-    return float(np.mean([_accuracy(est.fit(own, params).transform(rest)) for own, rest in inner_folds(rows, "sample_id")]))
-
-
-def run_experiments(features: DataFrame, labels: DataFrame, configs: DataFrame, results: DataFrame | None = None) -> DataFrame:
-    """(config_id, fold, metrics): all configurations (config_id, cl, prefs, prefs_thr) without a result yet.
-
-    Forests go unscaled, all others scaled.
-    """
-    from cohortlake.operators.evaluation import fold_metrics
-    from cohortlake.operators.features import feature_selection
-    from cohortlake.operators.voxels import skip_done
-
-    todo, out = (skip_done(configs, results) if results is not None else configs), None
-    for c in todo.orderBy("config_id").collect():
-        presel = (lambda f, y, c=c: feature_selection(f, y, c["prefs"], "percentile", c["prefs_thr"])) if c["prefs"] else None
-        p = cross_validate(features, labels, c["cl"], presel, scale=c["cl"] != "rf").withColumn("config_id", F.lit(c["config_id"]))
-        m = fold_metrics(p)
-        out = m if out is None else out.unionByName(m)
-    return out

@@ -1,10 +1,13 @@
 """Queries of fold metrics, summaries, votes, learning and text formats."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from cohortlake.operators import crossval as C
 from cohortlake.operators import evaluation as E
 from cohortlake.operators import learning as L
 from cohortlake.plans import data as D
+from cohortlake.operators.tables import new_path
 from cohortlake.plans.base import query, table
 from cohortlake.sources.text import svmperf_line
 
@@ -95,17 +98,69 @@ def q_load(spark, sf):
     return L.load_matrix(s, v, D.mask(spark, sf))
 
 
-def _labelled(spark, sf, k=3):
+def _labelled(spark, sf):
     e = table(spark, sf, "embeddings")
-    return e.select(F.col("vec_id").alias("sample_id"), (F.col("label") % 2).alias("y"), (F.pmod(F.xxhash64("vec_id"), F.lit(k))).cast("int").alias("fold"))
+    return e.select(F.col("vec_id").alias("sample_id"), (F.col("label") % 2).alias("y"), (F.col("vec_id") % 3).cast("int").alias("fold"))
 
 
-@query("cross_validate")
+_CV = """fx AS (SELECT vec_id AS sample_id, label % 2 AS y, (vec_id % 3)::INT AS own, (generate_subscripts(embedding, 1) - 1)::INT AS feature_id, unnest(embedding)::DOUBLE AS x FROM embeddings),
+ st AS (SELECT f.fold::INT AS fold, feature_id, avg(x) AS mu, CASE WHEN var_pop(x) > 0 THEN sqrt(var_pop(x)) ELSE 1 END AS sd FROM fx, range(0, 3) f(fold) WHERE own <> f.fold GROUP BY 1, 2),
+ zx AS (SELECT fold, sample_id, y, own = fold AS is_test, feature_id, (x - mu) / sd AS z FROM fx JOIN st USING (feature_id)),
+ mo AS (SELECT fold, feature_id, y, count(*) AS n, avg(z) AS m, var_pop(z) AS v FROM zx WHERE NOT is_test GROUP BY ALL),
+ pr AS (SELECT a.fold, a.feature_id, a.n AS na, b.n AS nb, a.m AS ma, b.m AS mb, a.v AS va, b.v AS vb FROM mo a JOIN mo b ON a.fold = b.fold AND a.feature_id = b.feature_id AND a.y < b.y)"""
+_MEASURES = {
+    "pearson": "SELECT fold, feature_id, abs(corr(z, y)) AS r FROM zx WHERE NOT is_test GROUP BY ALL",
+    "bhattacharyya": "SELECT fold, feature_id, greatest(max(0.25 * pow(ma - mb, 2) / (va + vb) + 0.5 * ln((va + vb) / (2 * sqrt(va) * sqrt(vb)))), 0) AS r FROM pr GROUP BY ALL",
+    "welcht": "SELECT fold, feature_id, greatest(max((ma - mb) / sqrt(va * va / na + vb * vb / nb)), 0) AS r FROM pr GROUP BY ALL",
+}
+
+
+def _bayes(tag: str, method: str, thr: float) -> str:
+    """CTEs of one configuration with a Gaussian of diagonal covariance for each class: predictions in pd{tag}."""
+    return f"""ms{tag} AS ({_MEASURES[method]}), cu{tag} AS (SELECT fold, quantile_cont(r, {thr / 100}) AS cut FROM ms{tag} GROUP BY 1),
+ me{tag} AS (SELECT fold, feature_id, CASE WHEN r >= cut THEN r ELSE 0 END AS measure FROM ms{tag} JOIN cu{tag} USING (fold)),
+ nv{tag} AS (SELECT fold, feature_id, y, m, v + 1e-6 AS v FROM mo SEMI JOIN (SELECT * FROM me{tag} WHERE measure > 0) s USING (fold, feature_id)),
+ pi{tag} AS (SELECT fold, y, ln(any_value(n) / sum(any_value(n)) OVER (PARTITION BY fold)) AS prior FROM mo GROUP BY fold, y),
+ sc{tag} AS (SELECT z.fold, z.sample_id, z.y AS y_true, n.y AS c, any_value(prior) - 0.5 * sum(ln(v) + (z - m) * (z - m) / v) AS s FROM zx z JOIN nv{tag} n ON n.fold = z.fold AND n.feature_id = z.feature_id JOIN pi{tag} p ON p.fold = z.fold AND p.y = n.y WHERE z.is_test GROUP BY ALL),
+ pd{tag} AS (SELECT fold, sample_id, any_value(y_true)::INT AS y_true, arg_max(c, s)::INT AS y_pred, 1 / (1 + exp(least(max(s) FILTER (c = 0) - max(s) FILTER (c = 1), 700))) AS p1 FROM sc{tag} GROUP BY 1, 2)"""
+
+
+_DIAG = [{"nComponents": 1, "covarianceType": "diag"}]
+
+
+@query("cross_validate", f"WITH {_CV}, {_bayes('', 'pearson', 50)} SELECT fold, sample_id, y_true, y_pred, round(p1, 5) + 0.0 AS p1 FROM pd")
 def q_cv(spark, sf):
-    return E.fold_metrics(L.cross_validate(D.features(spark, sf), _labelled(spark, sf), "cart"), ("fold",))
+    """One Gaussian for each class, on the features that correlate with it in the other folds."""
+    cv = L.cross_validate(D.features(spark, sf), _labelled(spark, sf), "gmm", L.Preselection("pearson", "percentile", 50), grid=_DIAG)
+    return cv.predictions.select("fold", "sample_id", "y_true", "y_pred", (F.round(F.col("probabilities")[1], 5) + 0.0).alias("p1"))
+
+
+@query("cross_validate_measures", f"WITH {_CV}, {_bayes('', 'welcht', 60)} SELECT fold, feature_id, round(mu, 6) + 0.0 AS center, round(sd, 6) + 0.0 AS width, round(measure, 5) + 0.0 AS measure FROM me JOIN st USING (fold, feature_id)")
+def q_cv_measures(spark, sf):
+    """Scaling and preselection of all folds, from one scan."""
+    found = C.fold_measures(D.features(spark, sf), _labelled(spark, sf), L.Preselection("welcht", "percentile", 60))
+    return found.select("fold", "feature_id", *[(F.round(c, n) + 0.0).alias(c) for c, n in (("center", 6), ("width", 6), ("measure", 5))])
+
+
+@query("cross_validate_table", f"""WITH {_CV}, {_bayes('', 'bhattacharyya', 50)}, w AS (SELECT fold, y, sum(any_value(n)) OVER (PARTITION BY fold) / (2.0::DOUBLE * any_value(n)) AS w FROM mo GROUP BY fold, y)
+SELECT z.fold, sample_id, z.y, is_test, round(CASE WHEN is_test THEN 1 ELSE any_value(w) END, 6) + 0.0 AS weight, list(round(z, 5) + 0.0 ORDER BY feature_id) AS x FROM zx z JOIN w ON w.fold = z.fold AND w.y = z.y SEMI JOIN (SELECT * FROM me WHERE measure > 0) s ON s.fold = z.fold AND s.feature_id = z.feature_id GROUP BY z.fold, sample_id, z.y, is_test""")
+def q_cv_table(spark, sf):
+    """Each sample once for each fold, scaled, chosen and weighted by that fold's training rows."""
+    f, lab = D.features(spark, sf), _labelled(spark, sf)
+    rows = C.training_table(f, lab, C.fold_measures(f, lab, L.Preselection("bhattacharyya", "percentile", 50)))
+    x = F.transform(vector_to_array("features"), lambda v: F.round(v, 5) + 0.0)
+    return rows.select("fold", "sample_id", F.col("y").cast("int").alias("y"), "is_test", (F.round("weight", 6) + 0.0).alias("weight"), x.alias("x"))
+
+
+_CONFIGS = [("bhatt_50", "gmm", "bhattacharyya", 50.0), ("pearson_60", "gmm", "pearson", 60.0), ("welch_70", "gmm", "welcht", 70.0)]
+_PREDS = "pred AS (" + " UNION ALL ".join(f"SELECT '{c[0]}' AS config_id, * FROM pd_{i}" for i, c in enumerate(_CONFIGS)) + ")"
 
 
-@query("run_experiments")
+@query("run_experiments", f"WITH {_CV}, {', '.join(_bayes(f'_{i}', c[2], c[3]) for i, c in enumerate(_CONFIGS))}, {_PREDS}, {_CM}, {_FM} SELECT config_id, fold, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in _NAMES)} FROM fm")
 def q_run(spark, sf):
-    configs = spark.createDataFrame([("cart_p", "cart", "pearson", 50.0)], "config_id string, cl string, prefs string, prefs_thr double")
-    return L.run_experiments(D.features(spark, sf), _labelled(spark, sf, 2), configs)
+    """Three configurations; the results table has one of them already when all are asked for."""
+    results = L.ResultsTable(spark, new_path(spark, "experiments"))
+    configs = spark.createDataFrame(_CONFIGS, "config_id string, cl string, prefs string, prefs_thr double")
+    for part in (configs.filter("config_id = 'pearson_60'"), configs):
+        out = L.run_experiments(D.features(spark, sf), _labelled(spark, sf), part, results, grid=_DIAG)
+    return _round(out, _NAMES)

@@ -241,8 +241,8 @@ def _two_classes(spark, n=60):
 @pytest.mark.parametrize("name", ["cart", "gmm"])
 def test_classifiers_beat_chance(spark, name):
     feats, labels = _two_classes(spark)
-    presel = lambda f, y: features.feature_selection(f, y, "pearson", "percentile", 50)
-    p = learning.cross_validate(feats, labels, name, presel)
+    grid = {"cart": [{"maxDepth": 3}, {"maxDepth": 5}], "gmm": None}[name]
+    p = learning.cross_validate(feats, labels, name, learning.Preselection("pearson", "percentile", 50), grid=grid).predictions
     assert p.count() == 60 and p.select(F.avg((F.col("y_true") == F.col("y_pred")).cast("double"))).first()[0] > 0.85
 
 
@@ -253,7 +253,7 @@ def test_selectors(spark):
     assert learning.feature_selector("rfe", k=1)(rows).getIndices() == [2]
     assert 2 in learning.feature_selector("rfecv")(rows).getIndices()
     assert learning.feature_selector("extratrees", k=1)(rows).getIndices() == [2]
-    assert np.abs(learning.feature_selector("lda")(rows)[:, 0]).argmax() == 2
+    assert np.abs(learning.feature_selector("lda").fit(rows).axes[:, 0]).argmax() == 2
 
 
 def test_rank_and_percentile_agree_with_numpy(spark):
