@@ -69,7 +69,7 @@ def _cut(rows: DataFrame, half: int, top: int) -> tuple[DataFrame, DataFrame]:
     )
     heads = stored(heads, "heads")
     keys = ["lo", "r", "d1", "d2"]
-    names = heads.groupBy(*keys).agg(F.min("s").alias("name"), F.sum("w").alias("sum_w"))
+    names = sent(heads.groupBy(*keys).agg(F.min("s").alias("name"), F.sum("w").alias("sum_w")), "names", BROADCAST_ROWS)
     named = sent(heads.join(names, keys).select("lo", "s", "name", "sum_w", "end"), "named", BROADCAST_ROWS)
     ends = named.filter(F.col("end") == F.col("lo") + half).select("s", F.col("end").alias("depth"), "name")
     after = rows.join(named.drop("end"), ["lo", "s"], "left").filter("not upper or name is null or name = s")
