@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlake.operators.scans import induce  # noqa: F401
+
 
 def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(x, dtype=float) for x in column]) if len(column) else np.zeros((0, 0))
@@ -50,37 +52,17 @@ def wm_endmembers(samples: DataFrame) -> DataFrame:
 
 
 def moments(samples: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number, mean and covariance (population): d x d sums from each task about its own mean, merged on the driver's side
-    of an aggregate of d x d rows."""
-
-    def run(batches):
-        n, mean, m2 = 0, None, None
-        for batch in batches:
-            x = _rows(batch, "x")
-            if not len(x):
-                continue
-            k, mu = len(x), x.mean(0)
-            c = (x - mu).T @ (x - mu)
-            if mean is None:
-                n, mean, m2 = k, mu, c
-            else:
-                delta = mu - mean
-                m2 = m2 + c + np.outer(delta, delta) * n * k / (n + k)
-                mean, n = mean + delta * k / (n + k), n + k
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([mean.tolist()]), pa.array([m2.ravel().tolist()])], names=["n", "mean", "m2"])
-
-    n, mean, m2 = 0, None, None
-    for r in samples.select("x").mapInArrow(run, "n long, mean array<double>, m2 array<double>").toLocalIterator():
-        mu = np.array(r["mean"])
-        c = np.array(r["m2"]).reshape(len(mu), len(mu))
-        if mean is None:
-            n, mean, m2 = r["n"], mu, c
-        else:
-            delta, k = mu - mean, r["n"]
-            m2 = m2 + c + np.outer(delta, delta) * n * k / (n + k)
-            mean, n = mean + delta * k / (n + k), n + k
-    return n, mean, m2 / max(n, 1)
+    """Number, mean and covariance (population): two passes of ``products``, of which Spark adds the d x d sums of all tasks."""
+    whole = samples.select(F.lit(0).alias("all"), F.concat("x", F.array(F.lit(1.0))).alias("x"))
+    first = products(whole, ["all"]).first()
+    if first is None:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    n = first["n"]
+    last = np.array(first["m"]).reshape(round(len(first["m"]) ** 0.5), -1)[-1]
+    mean = last[:-1] / n
+    about = F.transform("x", lambda v, i: v - F.element_at(F.lit(mean.tolist()), i + 1))
+    m2 = np.array(products(samples.select(F.lit(0).alias("all"), about.alias("x")), ["all"]).first()["m"]).reshape(len(mean), -1)
+    return n, mean, m2 / n
 
 
 HELD_BYTES = 64 << 20  # of sums that a task of ``products`` holds before it hands them on
@@ -202,7 +184,7 @@ def nfindr(samples: DataFrame, p: int, seed: int = 0) -> list[int]:
     return ids
 
 
-# order-dependent inductions: parallel over groups, one group at a time in a task
+# order-dependent inductions of one matrix; `scans` has those of groups of any size
 
 
 def _lam(y: np.ndarray) -> np.ndarray:
@@ -218,14 +200,14 @@ def _dominant(v: np.ndarray, high: bool) -> bool:
     return True
 
 
-def ilsia(x: np.ndarray, alpha: float = 0.0, seed: int = 0) -> list[int]:
-    """Rows that are incremental strong lattice independent sources, in order of induction."""
+def ilsia(x: np.ndarray, alpha: float = 0.0, seed: int = 0, start: int | None = None) -> list[int]:
+    """Rows that are incremental strong lattice independent sources, in order of induction; ``start`` is the first."""
     std = x.std(0)
     z = (x - x.mean(0)) / np.where(std == 0, 1, std)
     some = np.flatnonzero(np.abs(z).sum(1) > 0)
     if not len(some):
         return []
-    own = [int(np.random.default_rng(seed).choice(some))]
+    own = [int(np.random.default_rng(seed).choice(some)) if start is None else start]
     w = _lam(z[own])
     for i in some:
         if i in own:
@@ -252,13 +234,13 @@ def ilsia(x: np.ndarray, alpha: float = 0.0, seed: int = 0) -> list[int]:
     return own
 
 
-def eiha(x: np.ndarray, alpha: float = 2.0, seed: int = 0) -> list[int]:
-    """Rows at the extremes: new quadrants whose perturbed signs are not below or above all others."""
+def eiha(x: np.ndarray, alpha: float = 2.0, seed: int = 0, start: int | None = None) -> list[int]:
+    """Rows at the extremes: new quadrants whose perturbed signs are not below or above all others; ``start`` is the first."""
     mean, std = x.mean(0), x.std(0)
     some = np.flatnonzero(np.abs(x).sum(1) > 0)
     if not len(some):
         return []
-    own = [int(np.random.default_rng(seed).choice(some))]
+    own = [int(np.random.default_rng(seed).choice(some)) if start is None else start]
     for i in some:
         d = x[i] - mean
         sign = np.sign(d)
@@ -296,19 +278,6 @@ def cca_endmembers(corr: np.ndarray, p: int, seed: int = 0, tol: float = 1e-6) -
     return np.array(out)
 
 
-def induce(samples: DataFrame, method: str, by: list[str], n_comps: int | None = None, seed: int = 0, **options) -> DataFrame:
-    """(*by, id, source): samples (*by, id, x) with a 0/1 flag of the rows that ILSIA or EIHA takes, in each group."""
-    f = {"ilsia": ilsia, "eiha": eiha}[method]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        own = f(_matrix(pdf["x"]), seed=seed, **options)[:n_comps]
-        return pdf[[*by, "id"]].assign(source=pdf.index.isin(own).astype("int32"))
-
-    kinds = ", ".join(f"{c} {samples.schema[c].dataType.simpleString()}" for c in [*by, "id"])
-    return samples.select(*by, "id", "x").groupBy(*by).applyInPandas(run, f"{kinds}, source int")
-
-
 def induce_cone(samples: DataFrame, by: list[str], p: int, seed: int = 0) -> DataFrame:
     """(*by, comp, x): CCA's vectors of each group, from its d x d correlation."""
 
