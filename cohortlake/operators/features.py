@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlake.operators.aggregates import Mergeable, aggregate, distance
+from cohortlake.operators.sizes import small
+from cohortlake.operators.tables import places, stored
 from cohortlake.operators.thresholds import apply_threshold
 
 
@@ -95,26 +98,37 @@ def measure_features(m: DataFrame, method: str, by: tuple[str, ...] = ("feature_
     return {"bhattacharyya": bhattacharyya_features, "welcht": welch_features}[method](m, by=by)
 
 
-def distance_features(features: DataFrame, labels: DataFrame, distance) -> DataFrame:
-    """(feature_id, measure) by the user's ``distance(values, y)``; its first element counts, NaN is 0."""
+def distance_features(features: DataFrame, labels: DataFrame, measure) -> DataFrame:
+    """(feature_id, measure): a distance between a feature's values and y; NaN is 0.
+
+    ``measure`` is the name of a distance of ``aggregates.distance``; or a ``Mergeable`` over rows (value, y), whose first
+    element counts: in both no task has a whole feature. Or any callable(values, y), values by sample_id: it gets one whole
+    feature at a time in a task, and again the first element counts.
+    """
+    rows = features.join(labels, "sample_id").select("feature_id", "sample_id", "value", F.col("y").cast("double").alias("y"))
+    clean = lambda c: F.when(c.isNull() | F.isnan(c), 0.0).otherwise(c).alias("measure")
+    if isinstance(measure, str):
+        return rows.groupBy("feature_id").agg(distance(measure, F.col("value"), F.col("y")).alias("m")).select("feature_id", clean(F.col("m")))
+    if isinstance(measure, Mergeable):
+        return aggregate(rows, ["feature_id"], ["value", "y"], measure).select("feature_id", clean(F.element_at("value", 1)))
     import numpy as np
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = float(np.ravel(distance(pdf["value"].to_numpy(), pdf["y"].to_numpy()))[0])
+        d = float(np.ravel(measure(pdf["value"].to_numpy(), pdf["y"].to_numpy()))[0])
         return pd.DataFrame({"feature_id": pdf["feature_id"].iloc[:1], "measure": [0.0 if np.isnan(d) else d]})
 
-    rows = features.join(labels, "sample_id").select("feature_id", "sample_id", "value", "y")
     return rows.groupBy("feature_id").applyInPandas(lambda p: run(p.sort_values("sample_id")), f"feature_id {features.schema['feature_id'].dataType.simpleString()}, measure double")
 
 
-def feature_selection(features: DataFrame, labels: DataFrame, method: str, thr_method: str = "", thr: float = 95.0, distance=None) -> DataFrame:
+def feature_selection(features: DataFrame, labels: DataFrame, method: str, thr_method: str = "", thr: float = 95.0, measure=None) -> DataFrame:
     """(feature_id, measure) after the threshold. A measure that is 0 everywhere stays as it is.
 
-    ``method``: pearson (absolute), bhattacharyya, welcht, '' (all features measure 1), or "distance".
+    ``method``: pearson (absolute), bhattacharyya, welcht, '' (all features measure 1), or "distance" (by ``measure``, see
+    ``distance_features``).
     """
     if method == "distance":
-        out = distance_features(features, labels, distance)
+        out = distance_features(features, labels, measure)
     elif method == "":
         out = features.select("feature_id").distinct().withColumn("measure", F.lit(1.0))
     else:
@@ -154,41 +168,80 @@ def minmax_scale(features: DataFrame, by: str = "feature_id") -> DataFrame:
 
 
 def encode_labels(samples: DataFrame, column: str = "score", into: str = "y") -> DataFrame:
-    """0 .. n-1 in sorted order of the distinct labels (few), joined back."""
-    codes = samples.select(column).distinct().withColumn(into, F.dense_rank().over(Window.orderBy(column)) - 1)
-    return samples.join(codes, column, "left")
+    """0 .. n-1 in sorted order of the distinct labels, joined back; null has no code."""
+    codes = places(samples.select(column).filter(F.col(column).isNotNull()).distinct(), None, [column], at=into).select(column, F.col(into).cast("int").alias(into))
+    return samples.join(small(codes), column, "left")
 
 
 def assign_folds(samples: DataFrame, k: int, kind: str = "stratified") -> DataFrame:
-    """``fold``: 'stratified' (rank inside the class, modulo k), 'plain' (k blocks by sample_id) or 'loo'."""
+    """``fold``: 'stratified' (place in the class, modulo k), 'plain' (k blocks by sample_id, the first ones larger by one
+    where they are not equal) or 'loo'. Classes and tables of any size: places come from ranges."""
+    ranked = places(samples, "y" if kind == "stratified" else None, ["sample_id"], "__at", "__n", "__g")
+    at, n = F.col("__at"), F.col("__n")
     if kind == "stratified":
-        return samples.withColumn("fold", (F.row_number().over(Window.partitionBy("y").orderBy("sample_id")) - 1) % k)
-    order = Window.orderBy("sample_id")
-    return samples.withColumn("fold", (F.ntile(k).over(order) - 1) if kind == "plain" else (F.row_number().over(order) - 1))
+        fold = at % k
+    elif kind == "loo":
+        fold = at
+    else:
+        size, larger = F.floor(n / k), n % k
+        wide = larger * (size + 1)
+        fold = F.when(at < wide, F.floor(at / (size + 1))).otherwise(larger + F.floor((at - wide) / F.greatest(size, F.lit(1))))
+    return ranked.withColumn("fold", fold.cast("int")).drop("__at", "__n", "__g")
 
 
 def spread(items: DataFrame, num: int, order: str) -> DataFrame:
     """``num`` equally spaced rows: those at ceil(i n / num)."""
-    n = items.count()
-    ranked = items.withColumn("pos", F.row_number().over(Window.orderBy(order)) - 1)
-    wanted = items.sparkSession.range(num).select(F.ceil(F.col("id") * n / F.lit(num)).cast("int").alias("pos"))
-    return ranked.join(F.broadcast(wanted), "pos", "left_semi")
+    ranked = places(items, None, [order], "pos", "__n", "__g")
+    # the i of which a place is ceil(i n / num) is the last at or before pos num / n
+    i = F.floor(F.col("pos") * num / F.col("__n"))
+    return ranked.filter(F.ceil(i * F.col("__n") / F.lit(num)) == F.col("pos")).drop("__n", "__g").withColumn("pos", F.col("pos").cast("int"))
+
+
+def takespread(items: DataFrame, num: int, order: str) -> list:
+    """The values of ``order`` of ``num`` equally spaced rows, in order: ``num`` of them come to the driver."""
+    return [r[0] for r in spread(items, num, order).orderBy("pos").select(order).collect()]
+
+
+def makespread(items: DataFrame, num: int, order: str) -> DataFrame:
+    """``items`` with ``chosen``: whether a row is one of ``num`` equally spaced ones."""
+    picked = spread(items, num, order).select(F.col(order).alias("__o"), F.lit(True).alias("__c"))
+    return items.join(small(picked), F.col(order) == F.col("__o"), "left").withColumn("chosen", F.coalesce("__c", F.lit(False))).drop("__o", "__c")
 
 
 def fill_grid(table: DataFrame, index: list[str], value: str, fill: float | None = 0.0, how: str = "constant") -> DataFrame:
-    """All combinations of each index's range (integers) or values, with ``fill``, or forward/backward filled."""
+    """All combinations of each index's range (integers) or values, with ``fill``, or filled forward ('ffill') or backward
+    ('bfill') along the last index."""
     grid = None
     for c in index:
         kind = table.schema[c].dataType.simpleString()
         axis = table.agg(F.min(c).alias("a"), F.max(c).alias("b")).select(F.explode(F.sequence("a", "b")).alias(c)) if kind in ("int", "bigint", "date") else table.select(c).distinct()
-        grid = axis if grid is None else grid.crossJoin(F.broadcast(axis) if axis.limit(1_000_001).count() <= 1_000_000 else axis)
+        grid = axis if grid is None else grid.crossJoin(small(axis, 1_000_000))
     out = grid.join(table.select(*index, value), index, "left")
     if how == "constant":
         return out.withColumn(value, F.coalesce(F.col(value), F.lit(fill)))
-    w = Window.partitionBy(*index[:-1]).orderBy(index[-1])
-    if how == "ffill":
-        return out.withColumn(value, F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.withColumn(value, F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    return _carried(out, index, value, how == "ffill")
+
+
+def _carried(rows: DataFrame, index: list[str], value: str, forward: bool) -> DataFrame:
+    """Nulls become the nearest value before (or behind) along the last index, among rows of equal other indexes.
+
+    Rows are dealt by ranges of the whole index and filled within their range; what reaches over from other ranges is one
+    value for each of them, so a line of any length is no single task.
+    """
+    own, last = index[:-1], F.col(index[-1])
+    rows = stored(rows.repartitionByRange(*index).withColumn("__r", F.spark_partition_id()), "grid")
+    line = last.asc() if forward else last.desc()
+    inside = Window.partitionBy(*own, "__r").orderBy(line).rowsBetween(Window.unboundedPreceding, 0)
+    has = F.col(value).isNotNull()
+    ends = rows.groupBy(*own, "__r").agg((F.max_by if forward else F.min_by)(F.when(has, F.col(value)), F.when(has, last)).alias("__end"))
+    order = F.col("__r").asc() if forward else F.col("__r").desc()
+    before = Window.partitionBy(*own).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(own)], F.col("__r").alias("__rr"), F.last("__end", ignorenulls=True).over(before).alias("__carry"))
+    same = F.col("__r") == F.col("__rr")
+    for i, c in enumerate(own):
+        same &= F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    filled = rows.withColumn("__in", F.last(value, ignorenulls=True).over(inside)).join(ends, same)
+    return filled.withColumn(value, F.coalesce("__in", "__carry")).drop("__r", "__rr", "__in", "__carry", *[f"__k{i}" for i in range(len(own))])
 
 
 def dense_blocks(filled: DataFrame, first: str, rest: list[str], value: str) -> DataFrame:

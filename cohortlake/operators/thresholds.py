@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlake.operators.sizes import small
+from cohortlake.operators.tables import stored
+
 BINS, PASSES = 1000, 10
 
 
@@ -40,7 +43,7 @@ def robust_limits(values: DataFrame, mask: Column | None = None) -> DataFrame:
             state = state.withColumn("lo", F.when(reset, F.col("all_lo")).otherwise(F.col("new_lo"))).withColumn("hi", F.when(reset, F.col("all_hi")).otherwise(F.col("new_hi"))).drop("new_lo", "new_hi")
         flat = state.filter("lo = hi").select("grp", F.col("all_lo").alias("t2"), F.col("all_hi").alias("t98"))
         state = state.filter("lo <> hi").select("grp", "all_lo", "all_hi", "n", "lo", "hi")
-        hist = values.join(state, "grp").withColumn("bin", _bin(F.col("value"), F.col("lo"), F.col("hi"), BINS)).groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("all_lo", "all_hi", "n", "lo", "hi")])
+        hist = values.join(small(state), "grp").withColumn("bin", _bin(F.col("value"), F.col("lo"), F.col("hi"), BINS)).groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("all_lo", "all_hi", "n", "lo", "hi")])
         ends = F.lit(0)
         if jump == PASSES:
             both = Window.partitionBy("grp")
@@ -57,7 +60,8 @@ def robust_limits(values: DataFrame, mask: Column | None = None) -> DataFrame:
             *[F.first(x).alias(x) for x in ("all_lo", "all_hi", "n", "lo", "hi")],
         )
         step = (F.col("hi") - F.col("lo")) / F.lit(float(BINS))
-        found = found.withColumn("t2", F.col("lo") + F.col("bottom") * step).withColumn("t98", F.col("lo") + (F.col("top") + 1) * step).cache()
+        found = found.withColumn("t2", F.col("lo") + F.col("bottom") * step).withColumn("t98", F.col("lo") + (F.col("top") + 1) * step)
+        found = stored(found, "limits")  # one row for each group
         more = (F.col("t98") - F.col("t2")) < (F.col("hi") - F.col("lo")) / 10.0
         stop = found.filter(~more) if jump < PASSES else found
         done = flat.union(stop.select("grp", "t2", "t98")) if done is None else done.union(flat).union(stop.select("grp", "t2", "t98"))
@@ -97,7 +101,7 @@ def _group_ranks(values: DataFrame, ranges: int = 64) -> DataFrame:
     """``rank`` 1, 2, ... within grp by (value, feature_id): ranked within ranges of the value, whose ends are the
     group's approximate quantiles, after the counts of the ranges before. Equal values share a range."""
     ends = values.groupBy("grp").agg(F.percentile_approx("value", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10_000).alias("__ends"))
-    parts = values.join(ends, "grp").withColumn("__p", F.size(F.filter("__ends", lambda e: e < F.col("value")))).drop("__ends")
+    parts = values.join(small(ends, 100_000), "grp").withColumn("__p", F.size(F.filter("__ends", lambda e: e < F.col("value")))).drop("__ends")
     inside = F.row_number().over(Window.partitionBy("grp", "__p").orderBy("value", "feature_id"))
     counts = parts.groupBy("grp", "__p").agg(F.count(F.lit(1)).alias("__c"))
     before = F.sum("__c").over(Window.partitionBy("grp").orderBy("__p")) - F.col("__c")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from cohortlake.operators.aggregates import Mergeable, aggregate
 from cohortlake.operators.endmembers import products
 from cohortlake.operators.sizes import small
 
@@ -18,7 +19,8 @@ MEASURES: dict[str, Callable] = {}
 
 
 def register_selector(name: str, f: Callable) -> None:
-    """``f(matrix: series x time) -> components x time``."""
+    """``f(matrix: series x time) -> components x time``; or a ``Mergeable`` over series, which ends with the components' values
+    end to end: it never gets a whole region."""
     SELECTORS[name] = f
 
 
@@ -112,12 +114,18 @@ def eigen(gram: np.ndarray, n_comps: int) -> np.ndarray:
 
 
 def select_timeseries(series: DataFrame, selector: str, n_comps: int = 1) -> DataFrame:
-    """(volume_id, roi, comp, ts) by 'mean', 'eigen' or a registered selector; those get one whole region at a time in a task."""
+    """(volume_id, roi, comp, ts) by 'mean', 'eigen' or a registered selector. Of those a ``Mergeable`` is merged from tasks; another
+    callable gets one whole region at a time in a task."""
     if selector == "mean":
         return as_arrays(mean_timeseries(series)).select("volume_id", "roi", F.lit(0).alias("comp"), "ts")
     if selector == "eigen":
         return eigen_timeseries(series, n_comps)
     f = SELECTORS[selector]
+    if isinstance(f, Mergeable):
+        keys = ["volume_id", "roi"]
+        whole = aggregate(series, keys, ["ts"], f, "flat").join(series.groupBy(*keys).agg(F.max(F.size("ts")).alias("n")), keys)
+        parts = F.transform(F.sequence(F.lit(0), F.floor(F.size("flat") / F.col("n")).cast("int") - 1), lambda i: F.slice("flat", i * F.col("n") + 1, F.col("n")))
+        return whole.select(*keys, F.posexplode(parts).alias("comp", "ts"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("voxel_id")

@@ -1,15 +1,34 @@
 """Queries of statistics, thresholds, selection, scaling, grids and information."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cohortlake.functions.columns import component_count, sampling_interval
 from cohortlake.operators import features as X
 from cohortlake.operators import information as I
 from cohortlake.operators import thresholds as T
+from cohortlake.operators.aggregates import Mergeable
 from cohortlake.plans import data as D
 from cohortlake.plans.base import query, table
 
 
+class ClassGap(Mergeable):
+    """Mean of the values of class 1 less that of class 0."""
+
+    def zero(self):
+        return np.zeros(4)
+
+    def update(self, state, values):
+        x, y = values.T
+        return state + [(y == 0).sum(), x[y == 0].sum(), (y == 1).sum(), x[y == 1].sum()]
+
+    def merge(self, a, b):
+        return a + b
+
+    def finish(self, state):
+        return state[3] / state[2] - state[1] / state[0]
+
+
 def _round(df, *cols, n=6):
     return df.withColumns({c: F.round(c, n) + 0.0 for c in cols})
 
@@ -75,6 +94,16 @@ def q_distance(spark, sf):
     return _round(X.distance_features(D.features(spark, sf), D.labels(spark, sf), lambda x, y: x[y == 1].mean() - x[y == 0].mean()), "measure")
 
 
+@query("distance_features_merged", f"WITH {D.FEAT}, c AS (SELECT feature_id, 1 - corr(value, y) AS r FROM feat JOIN lab USING (sample_id) GROUP BY 1), e AS (SELECT feature_id, sqrt(sum((value - y) * (value - y))) AS e FROM feat JOIN lab USING (sample_id) GROUP BY 1), g AS (SELECT feature_id, avg(value) FILTER (y = 1) - avg(value) FILTER (y = 0) AS g FROM feat JOIN lab USING (sample_id) GROUP BY 1) SELECT feature_id, round(r, 6) + 0.0 AS correlation, round(e, 6) + 0.0 AS euclidean, round(g, 6) + 0.0 AS gap FROM c JOIN e USING (feature_id) JOIN g USING (feature_id)")
+def q_distance_merged(spark, sf):
+    """Two named distances, and a user's aggregate that is merged from tasks."""
+    f, y = D.features(spark, sf), D.labels(spark, sf)
+    out = X.distance_features(f, y, "correlation").withColumnRenamed("measure", "correlation")
+    for name, measure in (("euclidean", "euclidean"), ("gap", ClassGap())):
+        out = out.join(X.distance_features(f, y, measure).withColumnRenamed("measure", name), "feature_id")
+    return _round(out, "correlation", "euclidean", "gap")
+
+
 @query("create_feature_sets", f"WITH {D.FEAT} SELECT sample_id, round(max(value), 6) + 0.0 AS max, round(min(value), 6) + 0.0 AS min FROM feat GROUP BY 1")
 def q_sets(spark, sf):
     return _round(X.create_feature_sets(D.features(spark, sf), "stats").select("sample_id", "max", "min"), "max", "min")
@@ -161,6 +190,17 @@ def q_folds3(spark, sf):
     return X.assign_folds(_samples(spark, sf), 0, "loo")
 
 
+@query("makespread", "WITH n AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_partkey FROM part) SELECT p_partkey, pos IN (SELECT ceil(i * (SELECT count(*) FROM part) / 5.0) FROM range(0, 5) r(i)) AS chosen FROM n")
+def q_makespread(spark, sf):
+    return X.makespread(table(spark, sf, "part").select("p_partkey"), 5, "p_partkey")
+
+
+@query("takespread", "WITH n AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS pos, s_suppkey FROM supplier), c AS (SELECT s_suppkey, row_number() OVER (ORDER BY pos) - 1 AS place FROM n WHERE pos IN (SELECT ceil(i * (SELECT count(*) FROM supplier) / 4.0) FROM range(0, 4) r(i))) SELECT place, s_suppkey FROM c")
+def q_takespread(spark, sf):
+    got = X.takespread(table(spark, sf, "supplier").select("s_suppkey"), 4, "s_suppkey")
+    return spark.createDataFrame(list(enumerate(got)), "place long, s_suppkey long")
+
+
 @query("spread", "WITH n AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_partkey FROM part) SELECT p_partkey FROM n WHERE pos IN (SELECT ceil(i * (SELECT count(*) FROM part) / 7.0) FROM range(0, 7) r(i))")
 def q_spread(spark, sf):
     return X.spread(table(spark, sf, "part").select("p_partkey"), 7, "p_partkey").select("p_partkey")

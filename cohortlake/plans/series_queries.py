@@ -131,6 +131,15 @@ def q_granger(spark, sf):
     return _round(T.functional_connectivity(D.series(spark, sf), measure="granger"), "value")
 
 
+@query("eigen_timeseries_energy", f"""WITH {D.SERIES}, mv AS (SELECT volume_id, voxel_id, avg(x) AS mu FROM long WHERE roi <> 0 GROUP BY 1, 2)
+SELECT volume_id, roi, t::INT AS t, round(sum((x - mu) * (x - mu)), 5) + 0.0 AS energy FROM long JOIN mv USING (volume_id, voxel_id) GROUP BY 1, 2, 3""")
+def q_eigen_energy(spark, sf):
+    """All components of a region together hold the energy of its centred series, at each time."""
+    e = T.eigen_timeseries(_some(spark, sf), 64)
+    flat = e.select("volume_id", "roi", F.posexplode("ts").alias("t", "v")).groupBy("volume_id", "roi", "t").agg(F.sum(F.col("v") * F.col("v")).alias("energy"))
+    return flat.withColumn("energy", F.round("energy", 5) + 0.0)
+
+
 @query("eigen_timeseries")
 def q_eigen(spark, sf):
     return T.eigen_timeseries(_some(spark, sf), 2)
@@ -178,7 +187,18 @@ def _ids(spark, found):
     return spark.createDataFrame(list(enumerate(found)), "place int, id long")
 
 
-@query("atgp")
+def _steps(n: int) -> str:
+    """CTEs of ``n`` targets: each the sample of most energy outside the span of those before, by inner products."""
+    out = ["s0 AS (SELECT vec_id, embedding::DOUBLE[] AS x, list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS r FROM embeddings)", "t0 AS (SELECT * FROM s0 ORDER BY round(r, 12) DESC, vec_id LIMIT 1)"]
+    for k in range(1, n):
+        d = f"list_inner_product(s.x, t.x)" + "".join(f" - s.d{j} * t.d{j} / t.e{j}" for j in range(1, k))
+        kept = "".join(f", s.d{j}, t.e{j}" for j in range(1, k))
+        out.append(f"s{k} AS (SELECT s.vec_id, s.x{kept}, {d} AS d{k}, t.r AS e{k}, s.r - ({d}) * ({d}) / t.r AS r FROM s{k - 1} s, t{k - 1} t)")
+        out.append(f"t{k} AS (SELECT * FROM s{k} ORDER BY round(r, 12) DESC, vec_id LIMIT 1)")
+    return ", ".join(out)
+
+
+@query("atgp", f"WITH {_steps(4)} " + " UNION ALL ".join(f"SELECT {k}::INT AS place, vec_id AS id FROM t{k}" for k in range(4)))
 def q_atgp(spark, sf):
     return _ids(spark, N.atgp(_samples(spark, sf), 4))
 

@@ -181,6 +181,21 @@ def q_feature_selector(spark, sf):
     return spark.createDataFrame([(int(i),) for i in model.selectedFeatures], "feature_id int")
 
 
+@query("build_pipeline_bayes", """WITH f AS (SELECT vec_id, label % 2 AS y, generate_subscripts(embedding, 1) - 1 AS p, unnest(embedding)::DOUBLE AS x FROM embeddings),
+ g AS (SELECT p, avg(x) AS m, count(*) AS n FROM f GROUP BY p), c AS (SELECT p, y, avg(x) AS mc, count(*) AS nc, var_pop(x) AS v FROM f GROUP BY p, y),
+ s AS (SELECT p, (sum(nc * (mc - m) * (mc - m)) / (count(*) - 1)) / (sum(nc * v) / (any_value(n) - count(*))) AS score FROM c JOIN g USING (p) GROUP BY p),
+ u AS ((SELECT p FROM s ORDER BY score DESC LIMIT 5) UNION ALL (SELECT p FROM s ORDER BY score DESC LIMIT 3)),
+ pr AS (SELECT y, ln(count(*) / (SELECT count(*) FROM embeddings)) AS prior FROM (SELECT label % 2 AS y FROM embeddings) GROUP BY y),
+ l AS (SELECT vec_id, c.y, any_value(prior) - 0.5 * sum(ln(v + 1e-6) + (x - mc) * (x - mc) / (v + 1e-6)) AS l FROM f JOIN u USING (p) JOIN c ON c.p = f.p JOIN pr ON pr.y = c.y GROUP BY vec_id, c.y)
+SELECT vec_id AS sample_id, arg_max(y, l)::DOUBLE AS prediction FROM l GROUP BY vec_id""")
+def q_build_pipeline_bayes(spark, sf):
+    """Two selectors side by side, then one diagonal Gaussian for each class."""
+    rows = _matrix(spark, sf)
+    parts = [L.feature_selector("anova", out="sel0", k=5), L.feature_selector("anova", out="sel1", k=3)]
+    bayes, maps = L.classifier("gmm", grid=[{"nComponents": 1, "covarianceType": "diag"}])
+    return L.build_pipeline(parts, bayes).fit(rows, maps[0]).transform(rows).select("sample_id", "prediction")
+
+
 @query("build_pipeline")
 def q_build_pipeline(spark, sf):
     """Two selectors side by side, then a tree: the class of each sample."""
