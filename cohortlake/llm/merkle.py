@@ -1,7 +1,7 @@
 """Merkle manifest of a dataset by cogrouped subtree exchange.
 
 Leaves of a source stand in the order of their key; every three nodes in a row have one parent. A superblock is the
-subtree over ``BLOCK`` = 3^6 leaves in a row. Upwards, each superblock is reduced to its top node, and the top nodes are
+subtree over 3^6 = 729 leaves in a row. Upwards, each superblock is reduced to its top node, and the top nodes are
 the leaves of the next round, so a source of any size is never in one task; the sources' own roots are the leaves of one
 more tree. Downwards, the nodes of each superblock and what its top node needs from outside (the siblings on the way to
 the root) are cogrouped: one function finishes the local reduction, joins local and outer siblings to each node's proof,
@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from cohortlake.llm.common import places, stored
 
 ARITY = 3
+#: Levels of a superblock, of 729 leaves; its task holds them and their proofs (some 2 KB each) at a time.
 LEVELS = 6
-#: Leaves of a superblock; its task holds them and their proofs (some 2 KB each) at a time.
-BLOCK = ARITY**LEVELS
 HEX = 64  # characters of a digest
 
 _NODES = "g long, n long, at long, hash string"
@@ -41,11 +40,11 @@ def leaf_of(fields: list[Column]) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-def reduce_levels(hashes: list[str], n: int) -> list[list[str]]:
+def reduce_levels(hashes: list[str], n: int, depth: int = LEVELS) -> list[list[str]]:
     """The levels of a superblock from its leaves to its top. In a tree of ``n`` nodes that fills several superblocks all
-    of them have LEVELS steps, however few nodes the last one has; else the steps end at one node."""
+    of them have ``depth`` steps, however few nodes the last one has; else the steps end at one node."""
     levels = [hashes]
-    while len(levels) <= LEVELS if n > BLOCK else len(levels[-1]) > 1:
+    while len(levels) <= depth if n > ARITY**depth else len(levels[-1]) > 1:
         below = levels[-1]
         levels.append([digest("".join(below[i : i + ARITY])) for i in range(0, len(below), ARITY)])
     return levels
@@ -69,37 +68,38 @@ def fold(leaf: str, pos, sibs) -> str:
     return leaf
 
 
-def _up(nodes: DataFrame) -> DataFrame:
+def _up(nodes: DataFrame, depth: int) -> DataFrame:
     """Nodes of superblocks to their top nodes."""
+    block = ARITY**depth
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")
         g, n, at = (int(pdf[c].iloc[0]) for c in ("g", "n", "at"))
-        return pd.DataFrame({"g": [g], "n": [-(-n // BLOCK)], "at": [at // BLOCK], "hash": [reduce_levels(pdf["hash"].tolist(), n)[-1][0]]})
+        return pd.DataFrame({"g": [g], "n": [-(-n // block)], "at": [at // block], "hash": [reduce_levels(pdf["hash"].tolist(), n, depth)[-1][0]]})
 
-    nodes = nodes.select("g", "n", "at", "hash", F.floor(F.col("at") / BLOCK).alias("block"))
+    nodes = nodes.select("g", "n", "at", "hash", F.floor(F.col("at") / block).alias("block"))
     return stored(nodes.groupBy("g", "block").applyInPandas(run, _NODES), "nodes")
 
 
-def _tops(nodes: DataFrame) -> list[DataFrame]:
+def _tops(nodes: DataFrame, depth: int) -> list[DataFrame]:
     """``nodes`` and the top nodes of each round, until every tree has one."""
     out = [nodes]
     while (out[-1].agg(F.max("n")).first()[0] or 0) > 1:
-        out.append(_up(out[-1]))
+        out.append(_up(out[-1], depth))
     return out
 
 
-def _exchange(nodes: DataFrame, outer: DataFrame, finish, schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
+def _exchange(nodes: DataFrame, outer: DataFrame, depth: int, finish, schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Cogroups the superblocks of ``nodes`` with the outer proofs of their top nodes."""
 
     def run(own: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         own, top = own.sort_values("at"), above.iloc[0]
-        levels = reduce_levels(own["hash"].tolist(), int(own["n"].iloc[0]))
+        levels = reduce_levels(own["hash"].tolist(), int(own["n"].iloc[0]), depth)
         outside = list(top["pos"]), list(top["sibs"])
         paths = [tuple(a + b for a, b in zip(siblings(levels, i), outside, strict=True)) for i in range(len(own))]
         return finish(own, paths, top)
 
-    own = nodes.select("g", "n", "at", "hash", *extra, F.floor(F.col("at") / BLOCK).alias("block"))
+    own = nodes.select("g", "n", "at", "hash", *extra, F.floor(F.col("at") / ARITY**depth).alias("block"))
     return own.groupBy("g", "block").cogroup(outer.withColumnRenamed("at", "block").groupBy("g", "block")).applyInPandas(run, schema)
 
 
@@ -114,7 +114,7 @@ def _leaves(own: pd.DataFrame, paths: list, top: pd.Series) -> pd.DataFrame:
     return out.assign(pos=[p for p, _ in paths], sibs=[s for _, s in paths], folded_root=[fold(x, *path) for x, path in zip(own["shown"], paths, strict=True)])
 
 
-def manifest(df: DataFrame, fields: dict[str, Column], shown: dict[str, Column] | None = None, key: str = "doc_id", by: str = "source") -> DataFrame:
+def manifest(df: DataFrame, fields: dict[str, Column], shown: dict[str, Column] | None = None, key: str = "doc_id", by: str = "source", depth: int = LEVELS) -> DataFrame:
     """Per row: ``key``, its place ``at`` among the leaves of its ``by``, ``leaf``, ``shown`` (the leaf to be proved),
     ``subroot``, ``root``, the proof (``pos``: place in the run, ``sibs``: the run's others end to end, level by level),
     and ``folded_root``, what the proof gives from ``shown``.
@@ -123,23 +123,23 @@ def manifest(df: DataFrame, fields: dict[str, Column], shown: dict[str, Column]
     field may be null. A null ``by`` is a source like others, before them; a null key comes before others, rows of equal
     keys stand by their leaves, and equal rows are a leaf each. Texts may be empty or of any length: they are hashed
     where they are read, and only digests are shuffled. Other columns are ignored, whatever their names; an empty table
-    gives an empty result.
+    gives an empty result. ``depth``: levels of a superblock, of 3^depth leaves; the result is the same.
     """
     rows = df.select(F.col(by).alias("by"), F.col(key).alias("key"), leaf_of(list(fields.values())).alias("hash"), leaf_of(list((fields | (shown or {})).values())).alias("shown"))
     leaves = stored(places(rows, "by", ["key", "hash"]).drop("by"), "leaves")
-    inside = _tops(leaves)
+    inside = _tops(leaves, depth)
     tops = inside[-1].select(F.col("g").alias("source"), "hash", F.lit(0).alias("all"))
     sources = stored(places(tops, "all", ["source"]).drop("all"), "sources")
-    above = _tops(sources)
+    above = _tops(sources, depth)
     outer = above[-1].filter("n = 1").select(F.lit(0).cast("long").alias("g"), "at", F.array().cast("array<int>").alias("pos"), F.array().cast("array<string>").alias("sibs"), F.lit(None).cast("string").alias("subroot"), F.col("hash").alias("root"))
     if len(above) > 1:
         for nodes in reversed(above[1:-1]):
-            outer = _exchange(nodes, outer, _inner, _OUTER)
-        outer = stored(_exchange(sources, outer, _inner, _OUTER), "outer")
+            outer = _exchange(nodes, outer, depth, _inner, _OUTER)
+        outer = stored(_exchange(sources, outer, depth, _inner, _OUTER), "outer")
     outer = sources.select("source", "at", "hash").join(outer.select("at", "pos", "sibs", "root"), "at")
     outer = outer.select(F.col("source").alias("g"), F.lit(0).cast("long").alias("at"), "pos", "sibs", F.col("hash").alias("subroot"), "root")
     for nodes in reversed(inside[1:-1]):
-        outer = stored(_exchange(nodes, outer, _inner, _OUTER), "outer")
+        outer = stored(_exchange(nodes, outer, depth, _inner, _OUTER), "outer")
     kind = df.schema[key].dataType.simpleString()
-    out = _exchange(leaves, outer, _leaves, f"key {kind}, at long, leaf string, shown string, subroot string, root string, pos array<int>, sibs array<string>, folded_root string", ("key", "shown"))
+    out = _exchange(leaves, outer, depth, _leaves, f"key {kind}, at long, leaf string, shown string, subroot string, root string, pos array<int>, sibs array<string>, folded_root string", ("key", "shown"))
     return out.withColumnRenamed("key", key)
