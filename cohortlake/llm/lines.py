@@ -1,9 +1,10 @@
 """Line dedup by pairwise alignment.
 
 Documents are linked through the lines that few of them hold (rare ones, by their hash): each holder to every earlier
-one. Lines of many documents say little about an overlap, so they link only where they are long, or as parts of a run
-of lines that is long; then each holder is linked to the first one, so that a line or passage in any number of documents
-makes one link for each and never all pairs. The lines of each linked pair are aligned as patience diff does: equal
+one. A line of many documents says little about an overlap, so it links only where it is long or beside another line that
+is shared with it: each run of two lines links its holders too, whatever its length and however many they are. Lines and
+runs of many holders link each holder to the first one and to the one before it, so that a passage in any number of
+documents makes two links for each and never all pairs. The lines of each linked pair are aligned as patience diff does: equal
 lines at either end are taken, lines that are single on both sides are the anchors, their longest run in rising order
 on both sides is kept, and what lies between two anchors is aligned in the same way. The aligned blocks are deleted from
 the later document.
@@ -17,6 +18,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlake.llm.common import sent, stored, tidy
@@ -24,7 +26,7 @@ from cohortlake.llm.words import NON_SPACE, chunks, find_words, mix, span_hash
 
 #: Documents that hold a rare line at most.
 RARE = 8
-#: Words from which on a line, or a run of lines, links its holders to the first one however many they are.
+#: Words from which on a single line links its holders however many they are.
 LONG = 25
 #: Words that an aligned block holds at least to be deleted: any line with a word.
 MIN_WORDS = 1
@@ -33,26 +35,13 @@ BROADCAST_ROWS, BROADCAST_ITEMS = 500_000, 2_000_000
 #: Pairs of equal lines without an anchor that are searched for the longest common run; beyond that the lines that are
 #: equal are paired by occurrence first.
 MAX_MATCHES = 1_000_000
-
-
-def windows(words: np.ndarray, row: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First line and end of the shortest runs of two and more lines of one text with ``min_words`` words, from each
-    line on and up to each line: together they cover every line of every longer run."""
-    total, n = np.concatenate([[0], np.cumsum(words)]), len(words)
-    first, end = np.searchsorted(row, row), np.searchsorted(row, row, "right")
-    at = np.arange(n)
-    to = np.searchsorted(total, total[:-1] + min_words)
-    since = np.searchsorted(total, total[1:] - min_words, "right") - 1
-    on, up = to <= end, since >= first
-    pair = np.unique(np.concatenate([at[on] * (n + 1) + to[on], since[up] * (n + 1) + at[up] + 1]))
-    a, b = pair // (n + 1), pair % (n + 1)
-    return a[b - a > 1], b[b - a > 1]
+_TWO = np.uint64(0xD1342543DE82EF95)  # of a run's first line
 
 
 def line_table(docs: DataFrame, key: str, text: str, long: int) -> DataFrame:
     """A row per document (k, t) with a word: ``lines`` (a hash of each line with a word), their ``words`` and line
-    ``numbers``, and the distinct ``keys`` that may link it: its lines' other hashes and those of ``windows``, each with
-    whether it is long (``heavy``)."""
+    ``numbers``, and the distinct ``keys`` that may link it: other hashes of its lines and of its runs of two lines, each with whether it
+    links any number of holders (``heavy``)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -74,10 +63,9 @@ def line_table(docs: DataFrame, key: str, text: str, long: int) -> DataFrame:
                 left, right = words.start[first], words.end[last - 1]  # white space at either end does not count
                 n = last - first
                 link, line = span_hash(data, left, right), span_hash(data ^ np.uint8(0xA5), left, right)
-                x, y = windows(n, row, long)
-                total = np.concatenate([[0], np.cumsum(n)])
-                of, key_ = np.concatenate([row, row[x]]), np.concatenate([link, mix(span_hash(link, x, y) + (y - x).astype(np.uint64))])
-                heavy = np.concatenate([n, total[y] - total[x]]) >= long
+                x = np.flatnonzero(row[1:] == row[:-1])
+                of, key_ = np.concatenate([row, row[x]]), np.concatenate([link, mix(link[x] * _TWO + link[x + 1])])
+                heavy = np.concatenate([n >= long, np.ones(len(x), bool)])
                 order = np.lexsort((key_, of))
                 of, key_, heavy = of[order], key_[order], heavy[order]
                 fresh = np.concatenate([[True], (of[1:] != of[:-1]) | (key_[1:] != key_[:-1])])
@@ -188,13 +176,28 @@ def _who(k: str, t: str) -> Column:
     return F.struct(F.col(k).isNull().alias("late"), F.col(k).alias("k"), F.col(t).alias("t"))
 
 
+def _chained(shared: DataFrame) -> DataFrame:
+    """(a, b): each holder ``who`` of a key, with the key's ``first`` holder and with the one before it.
+
+    Holders are sorted by ranges of (key, who); only one holder of each range reaches over to the next, so a key of any
+    number of holders is no single task.
+    """
+    rows = stored(shared.repartitionByRange("key", "who").withColumn("range", F.spark_partition_id()), "holders")
+    earlier = W.partitionBy("key").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ends = rows.groupBy("key", "range").agg(F.max("who").alias("last")).select("key", "range", F.max("last").over(earlier).alias("carried"))
+    inside = F.lag("who").over(W.partitionBy("key", "range").orderBy("who"))
+    both = rows.withColumn("inside", inside).join(ends, ["key", "range"])
+    near = both.select(F.col("who").alias("a"), F.coalesce("inside", "carried").alias("b")).filter("b is not null")
+    return near.union(rows.select(F.col("who").alias("a"), F.col("first").alias("b")))
+
+
 def links(table: DataFrame, rare: int) -> DataFrame:
     """Distinct pairs of documents to align: (k, t) the later one, (ok, ot) the earlier one; by key, null last, then text."""
     keys = table.select("k", "t", F.explode(F.arrays_zip("keys", "heavy")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.heavy").alias("heavy"), _who("k", "t").alias("who"))
     found = keys.groupBy("key").agg(F.min("who").alias("first"), F.count(F.lit(1)).alias("n"), F.max("heavy").alias("heavy"))
     found = found.filter((F.col("n") > 1) & ((F.col("n") <= rare) | F.col("heavy"))).select("key", "first", (F.col("n") <= rare).alias("few"))
     shared = stored(keys.select("key", "who").join(sent(found, "keys", BROADCAST_ROWS), "key"), "shared")
-    many = shared.filter(~F.col("few")).select(F.col("who").alias("a"), F.col("first").alias("b"))
+    many = _chained(shared.filter(~F.col("few")).select("key", "who", "first"))
     holders = shared.filter("few").groupBy("key").agg(F.array_sort(F.collect_set("who")).alias("w"))  # `rare` of them at most
     each = F.flatten(F.transform("w", lambda x, i: F.transform(F.slice("w", F.lit(1), i), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     few = holders.select(F.explode(each).alias("x")).select("x.a", "x.b")
@@ -244,8 +247,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     """``docs`` with the lines cut from ``text`` that align with an earlier document, and the struct ``into``: ``deleted``,
     ``owners``.
 
-    Two documents are aligned if they share a line that ``rare`` rows hold at most; a line of ``long`` words or a run of
-    lines of as many words also links each of its holders to the first, however many there are. Of an aligned pair the
+    Two documents are aligned if they share a line that ``rare`` rows hold at most. A line of ``long`` words, or any two
+    lines in a row, link each holder to the first and to the one before, however many there are. Of an aligned pair the
     later one loses the aligned blocks of ``min_words`` words, and the aligned lines that adjoin them. A text that is
     repeated whole becomes empty. Null and empty texts stay as they are; lines without a word are never deleted and do
     not part a block. Rows with equal key and text are one document, so all of them are treated alike (each counts as a

@@ -666,24 +666,19 @@ def test_three_documents(spark):
 
 
 def brute_dedup(texts, rare, long, min_words):
-    """Every linked pair, one by one: texts as lists of lines, all with words; by key."""
+    """All pairs of documents that share a rare line, a long one or two lines in a row, one by one: texts as lists of lines,
+    all with words; by key."""
     hold, heavy = collections.defaultdict(set), set()
     n = lambda x: len(x.split())
     for i, t in texts.items():
         for x in range(len(t)):
-            for y in range(x + 1, len(t) + 1):
-                w = [n(v) for v in t[x:y]]
-                # a line, or a run that is long and would not be without its first or last line
-                if y - x == 1 or sum(w) >= long and (sum(w[1:]) < long or sum(w[:-1]) < long):
-                    hold[tuple(t[x:y])].add(i)
-                    if sum(w) >= long:
-                        heavy.add(tuple(t[x:y]))
-    pairs = set()
-    for k, ids in hold.items():
-        if len(ids) <= rare:
-            pairs |= {(a, b) for a in ids for b in ids if b < a}
-        elif k in heavy:
-            pairs |= {(a, min(ids)) for a in ids if a != min(ids)}
+            hold[t[x],].add(i)
+            if n(t[x]) >= long:
+                heavy.add((t[x],))
+            if x + 1 < len(t):
+                hold[t[x], t[x + 1]].add(i)
+                heavy.add((t[x], t[x + 1]))
+    pairs = {(a, b) for k, ids in hold.items() if len(ids) <= rare or k in heavy for a in ids for b in ids if b < a}
     out = {}
     for i, t in texts.items():
         own = []
@@ -711,6 +706,24 @@ def test_line_dedup_by_brute_force(spark, monkeypatch, rows, min_words, rare):
     assert out == brute_dedup(texts, rare, lines.LONG, min_words)
 
 
+@pytest.mark.parametrize("holders", [2, 5, 9, 30])
+def test_blocks_of_any_number_of_holders(spark, holders):
+    """What is cut does not depend on how many documents hold it: long lines in another order in the first document, short
+    blocks, and blocks that overlap in each other document."""
+    rng = random.Random(17)
+    long_, short, chain = [prose(rng, 30, 10**6) for _ in range(6)], [prose(rng, 6, 10**6) for _ in range(3)], [prose(rng, 5, 10**6) for _ in range(holders + 4)]
+    texts = {0: long_[::-1]}
+    for i in range(1, holders + 1):
+        texts[i] = [prose(rng, 9, 10**6), *long_, prose(rng, 9, 10**6)]
+        texts[100 + i] = [prose(rng, 9, 10**6), *short, prose(rng, 9, 10**6)]
+        texts[200 + i] = [prose(rng, 9, 10**6), *chain[i : i + 3]]
+    df = docs(spark, [(i, "\n".join(t)) for i, t in texts.items()])
+    out = {r["doc_id"]: r["text"].split("\n") if r["text"] else [] for r in lines.dedup_lines(df).collect()}
+    assert out == brute_dedup(texts, lines.RARE, lines.LONG, 1)
+    for i in range(2, holders + 1):
+        assert len(out[i]) == 2 and len(out[100 + i]) == 2 and len(out[200 + i]) <= 2
+
+
 # quality
 
 
