@@ -105,26 +105,30 @@ def _b32(data: bytes) -> bytes:
 
 
 def _record(data: bytes, at: int):
-    """The record at ``at``: (headers, block, end), or a reason (str) why there is none."""
+    """The record at ``at``: (headers, block, end), or a reason (str) why there is none.
+
+    Headers are read line by line and end at the first bad one, at the latest at the next version line; a block is only
+    touched if what follows it is right. So a place that fails costs no more than the bytes up to the next one.
+    """
     if not (m := _VERSION.match(data, at)):
         return "no version line"
-    if (stop := data.find(b"\r\n\r\n", m.end())) < 0:
-        return "headers without an end"
-    headers = {}
-    for line in data[m.end() : stop].split(b"\r\n"):
+    headers, stop = {}, m.end()
+    while (next_ := data.find(b"\r\n", stop)) != stop or not headers:
+        line = data[stop:next_] if next_ >= 0 else b""
         name, colon, value = line.partition(b":")
         if not colon:
-            return "a header line without a colon"
+            return "headers without an end" if next_ < 0 else "a header line without a colon"
+        stop = next_ + 2
         if (name := name.strip().lower()) in (b"warc-type", b"warc-record-id", b"content-length") and name in headers:
             return "a header is given twice"
         headers[name] = value.strip()
     if not headers.get(b"content-length", b"").isdigit() or b"warc-type" not in headers or b"warc-record-id" not in headers:
         return "a mandatory header is missing"
-    begin = stop + 4
+    begin = stop + 2
     end = begin + int(headers[b"content-length"])
-    block = data[begin:end]
     if data[end : end + 4] != b"\r\n\r\n":
         return "the block does not end at its length"
+    block = data[begin:end]
     if (digest := headers.get(b"warc-block-digest", b"")).startswith(b"sha1:") and digest[5:].upper() != _b32(block):
         return "the block's digest differs"
     return headers, block, end + 4
@@ -160,6 +164,7 @@ def salvage(data: bytes):
     from there on.
     """
     at, n, bad, why = 0, len(data), None, ""
+    plain = zipped = -1  # the next places of either kind, sought again only once they are passed
     while at < n:
         found = []
         if data.startswith(_GZIP, at):
@@ -184,9 +189,13 @@ def salvage(data: bytes):
                 continue
         if bad is None:
             bad, why = at, reason
-        plain = _VERSION.search(data, at + 1)
-        zipped = data.find(_GZIP, at + 1)
-        at = min([x for x in (plain.start() if plain else -1, zipped) if x >= 0], default=n)
+        if plain <= at:
+            found = _VERSION.search(data, at + 1)
+            plain = found.start() if found else n
+        if zipped <= at:
+            zipped = data.find(_GZIP, at + 1)
+            zipped = n if zipped < 0 else zipped
+        at = min(plain, zipped)
     if bad is not None:
         yield "gap", bad, n - bad, why, None
 

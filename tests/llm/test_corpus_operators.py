@@ -724,6 +724,24 @@ def test_blocks_of_any_number_of_holders(spark, holders):
         assert len(out[i]) == 2 and len(out[100 + i]) == 2 and len(out[200 + i]) <= 2
 
 
+# salvage of much damage
+
+
+def test_salvage_takes_time_in_proportion():
+    """Archives of broken records only: five times the records take no more than some ten times as long."""
+    import time
+
+    took = []
+    for n in (6_000, 30_000):
+        broken = b"".join(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:%d>\r\nContent-Length: 90\r\n\r\ncut" % i for i in range(n))
+        for data in (broken, broken.replace(b"\r\n\r\n", b"\r\n"), broken.replace(b"Length: 90", b"Length: 9")):
+            began = time.process_time()
+            got = list(warc.salvage(data))
+            took.append(time.process_time() - began)
+            assert [(g[0], g[1], g[2]) for g in got] == [("gap", 0, len(data))]
+    assert all(late < 12 * early + 0.5 for early, late in zip(took[:3], took[3:], strict=True)), took
+
+
 # quality
 
 
