@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.operators.crossval import CrossValidation, Preselection, accuracy, cross_validate, inner_folds  # noqa: F401
 from cohortlake.operators.estimators import FisherLDA, GaussianClasses, MixedPerceptron, RandomizedPCA, SGDClassifier
+from cohortlake.operators.extratrees import ExtraTreesSelector
 from cohortlake.operators.experiments import ResultsTable, run_experiments  # noqa: F401
 
 
@@ -64,7 +65,7 @@ def selector_grid(name: str, dims: int) -> list[dict]:
         "univariate": {"selectionThreshold": [0.01, 0.03, 0.05, 0.1]},
         "fpr": {"selectionThreshold": [0.01, 0.03, 0.05, 0.1]},
         "fdr": {"selectionThreshold": [0.01, 0.03, 0.05, 0.1]},
-        "extratrees": {"trees": [1, 3, 5, 10, 30, 50], "tried": ["auto", *some]},
+        "extratrees": {"trees": [1, 3, 5, 10, 30, 50], "tried": ["auto", *map(str, some)]},
         "pca": {"k": comps},
         "rpca": {"k": comps, "power": [3, 4, 5], "whiten": [True, False]},
         "lda": {"nComponents": comps},
@@ -74,7 +75,7 @@ def selector_grid(name: str, dims: int) -> list[dict]:
 
 
 def feature_selector(name: str, features: str = "features", out: str = "selected", k: int = 10, seed: int = 0):
-    """An unfitted selector stage, or for 'extratrees', 'rfe' and 'rfecv' a callable(df) -> VectorSlicer."""
+    """An unfitted selector stage, or for 'rfe' and 'rfecv' a callable(df) -> VectorSlicer."""
     modes = {"univariate": ("percentile", 0.05), "fpr": ("fpr", 0.05), "fdr": ("fdr", 0.05), "anova": ("numTopFeatures", k)}
     if name in modes:
         mode, at = modes[name]
@@ -84,7 +85,7 @@ def feature_selector(name: str, features: str = "features", out: str = "selected
     if name == "rpca":
         return RandomizedPCA(k=k, featuresCol=features, outputCol=out, seed=seed)
     if name == "extratrees":
-        return lambda df: _slicer(RandomForestClassifier(labelCol="y", featuresCol=features, seed=seed).fit(df).featureImportances.toArray(), k, features, out)
+        return ExtraTreesSelector(k=k, featuresCol=features, outputCol=out, seed=seed)
     if name == "rfe":
         return lambda df: rfe(df, k, features, out)
     if name == "rfecv":
@@ -94,10 +95,6 @@ def feature_selector(name: str, features: str = "features", out: str = "selected
     raise ValueError(f"no selector {name}")
 
 
-def _slicer(score: np.ndarray, k: int, features: str, out: str) -> VectorSlicer:
-    return VectorSlicer(inputCol=features, outputCol=out, indices=sorted(np.argsort(-score, kind="stable")[:k].tolist()))
-
-
 def _eliminations(df: DataFrame, least: int, features: str, step: float):
     """Sets of features from all down to ``least``, each with the SVM fit on it: a share ``step`` of all, those of least
     squared weight, goes each time."""

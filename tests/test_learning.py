@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from cohortlake.operators import crossval, estimators, experiments, features, learning
+from cohortlake.operators import crossval, estimators, experiments, extratrees, features, learning
 
 
 def blobs(seed=7, n=90, d=5, classes=2, gap=3.0):
@@ -316,3 +316,51 @@ def test_measures_by_fold_equal_those_of_each_fold(spark):
             own = labels.filter(F.col("fold") != k).select("sample_id", "y")
             alone = features.measure_features(features.moments(feats, own), method).collect()
             assert all(np.isclose(both[k, r["feature_id"]], r["measure"]) for r in alone)
+
+
+# extremely randomised trees
+
+
+def plain_extra_trees(x, y, trees, tried, depth, seed):
+    """One tree and node at a time."""
+    total = np.zeros((trees, x.shape[1]))
+    measure = lambda own: 1 - sum(((y[own] == c).mean()) ** 2 for c in np.unique(y))
+    for t in range(trees):
+        todo = [(1, np.arange(len(x)), 0)]
+        while todo:
+            node, own, level = todo.pop()
+            if level == depth or len(np.unique(y[own])) < 2:
+                continue
+            feats, share = extratrees.draws(seed, t, node, x.shape[1], tried)
+            best = None
+            for f, u in zip(feats, share, strict=True):
+                v = x[own, f]
+                if v.min() < v.max():
+                    left = v <= v.min() + u * (v.max() - v.min())
+                    gain = measure(own) - (left.sum() * measure(own[left]) + (~left).sum() * measure(own[~left])) / len(own)
+                    if best is None or round(gain, 12) > round(best[0], 12):
+                        best = gain, f, left
+            if best:
+                total[t, best[1]] += len(own) / len(x) * best[0]
+                todo += [(2 * node, own[best[2]], level + 1), (2 * node + 1, own[~best[2]], level + 1)]
+    return (total / total.sum(1, keepdims=True)).mean(0)
+
+
+@pytest.mark.parametrize("classes,tried", [(2, 2), (3, 5)])
+def test_extra_trees_equal_one_node_at_a_time(spark, classes, tried):
+    x, y = blobs(n=90, classes=classes, gap=1.5)
+    x[:, 2] = 1
+    model = extratrees.ExtraTreesSelector(k=2, trees=7, tried=str(tried), maxDepth=5, seed=3).fit(frame(spark, x, y))
+    want = plain_extra_trees(x, y, 7, tried, 5, 3)
+    assert np.allclose(model.featureImportances, want) and model.indices == sorted(np.argsort(-want, kind="stable")[:2].tolist())
+    assert extratrees.ExtraTreesSelector(trees=3).fit(frame(spark, x, np.zeros(90))).indices == [0, 1, 2, 3, 4]  # one class: all measure 0
+
+
+def test_extra_trees_stage_is_saved_and_loaded(spark, tmp_path):
+    x, y = blobs()
+    df = frame(spark, x, y)
+    stage = learning.feature_selector("extratrees", k=2)
+    model = Pipeline(stages=[stage.copy({stage.trees: 5})]).fit(df)
+    model.write().overwrite().save(str(tmp_path / "m"))
+    rows = lambda m: sorted((r["sample_id"], tuple(r["selected"].toArray())) for r in m.transform(df).collect())
+    assert rows(PipelineModel.load(str(tmp_path / "m"))) == rows(model) and len(rows(model)[0][1]) == 2

@@ -252,7 +252,7 @@ def test_selectors(spark):
     assert learning.feature_selector("anova", k=1).fit(rows).selectedFeatures == [2]
     assert learning.feature_selector("rfe", k=1)(rows).getIndices() == [2]
     assert 2 in learning.feature_selector("rfecv")(rows).getIndices()
-    assert learning.feature_selector("extratrees", k=1)(rows).getIndices() == [2]
+    assert learning.feature_selector("extratrees", k=1).fit(rows).indices == [2]
     assert np.abs(learning.feature_selector("lda").fit(rows).axes[:, 0]).argmax() == 2
 
 
