@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 import gzip
+import json
+import math
+import re
 import struct
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Fixed values of the format: data type codes.
 TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
 
 
+VOXELS = "volume_id string, i int, j int, k int, t int, value double"
+#: Voxels that a task holds at a time.
+BATCH_VOXELS = 100_000
+
+
 def header(data: bytes) -> dict:
     """shape, dtype, zooms, slope, inter, offset and affine (12 values) of a volume's 348-byte header."""
     end = "<" if struct.unpack_from("<i", data, 0)[0] == 348 else ">"
@@ -49,22 +60,101 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInArrow(run, "volume_id string, shape array<int>, zooms array<double>, affine array<double>")
 
 
-def read_volumes(spark: SparkSession, path: str, zeros: bool = False) -> DataFrame:
-    """(volume_id, i, j, k, t, value) of all files; zero voxels are left out unless ``zeros``. One file at a time in a task."""
+def _voxels(name: str, x: np.ndarray, first: int, shape: list[int], zeros: bool):
+    """Batches of the voxels that lie end to end in ``x``, of which the first is number ``first`` of the volume."""
+    for s in range(0, len(x), BATCH_VOXELS):
+        v = x[s : s + BATCH_VOXELS].astype(float)
+        at = np.arange(len(v)) if zeros else np.flatnonzero(v)
+        if len(at):
+            places = np.unravel_index(first + s + at, shape, order="F")
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), *[pa.array(c.astype("int32")) for c in places], pa.array(v[at])], names=["volume_id", "i", "j", "k", "t", "value"])
+
+
+def _four(shape: list[int]) -> list[int]:
+    return [*shape, *[1] * (4 - len(shape))]
+
+
+@dataclass
+class VoxelRange(InputPartition):
+    """``n`` voxels of a file, from number ``first`` on."""
+
+    path: str
+    shape: list[int]
+    dtype: str
+    offset: int
+    scale: tuple[float, float]
+    first: int
+    n: int
+
+
+def _open(path: str):
+    fs, at = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path)) if ":/" in path else (pafs.LocalFileSystem(), path)
+    return fs.open_input_file(at)
+
+
+class _RangeReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.paths, self.zeros, self.range_bytes = json.loads(options["paths"]), options["zeros"] == "true", int(options["rangeBytes"])
+
+    def partitions(self) -> list[VoxelRange]:
+        out = []
+        for path in self.paths:
+            with _open(path) as f:
+                h = header(f.read(348))
+                size = f.size()
+            n, step = math.prod(h["shape"]), max(1, self.range_bytes // np.dtype(h["dtype"]).itemsize)
+            if size < h["offset"] + n * np.dtype(h["dtype"]).itemsize:
+                raise ValueError(f"{path} ends before its last voxel")
+            out += [VoxelRange(path, _four(h["shape"]), h["dtype"], h["offset"], (h["slope"], h["inter"]), at, min(step, n - at)) for at in range(0, n, step)]
+        return out
+
+    def read(self, partition: VoxelRange):
+        p, size = partition, np.dtype(partition.dtype).itemsize
+        with _open(p.path) as f:
+            for at in range(p.first, p.first + p.n, BATCH_VOXELS):
+                n = min(BATCH_VOXELS, p.first + p.n - at)
+                f.seek(p.offset + at * size)
+                x = np.frombuffer(f.read(n * size), p.dtype, n)
+                x = x * p.scale[0] + p.scale[1] if p.scale != (1.0, 0.0) else x
+                yield from _voxels(p.path, x, at, p.shape, self.zeros)
+
+
+class VolumeRanges(DataSource):
+    """Uncompressed volumes by ranges of bytes: a file of any size is as many tasks as it has ranges, each of which holds one
+    batch of voxels. Options: paths (JSON), zeros, rangeBytes. Files are opened by pyarrow's file systems."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "cohortlake_volume_ranges"
+
+    def schema(self) -> str:
+        return VOXELS
+
+    def reader(self, schema) -> DataSourceReader:
+        return _RangeReader(self.options)
+
+
+def read_volumes(spark: SparkSession, path: str, zeros: bool = False, range_bytes: int = 128 << 20) -> DataFrame:
+    """(volume_id, i, j, k, t, value) of all files; zero voxels are left out unless ``zeros``.
+
+    Uncompressed files of more than ``range_bytes`` are read by ranges of so many bytes, each in a task of its own. Others,
+    and compressed ones, which cannot be split, are read one file at a time in a task, by Spark's binary reader.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    large = [r["path"] for r in files.filter((F.col("length") > range_bytes) & ~F.col("path").endswith(".gz")).select("path").collect()]  # names alone
 
     def run(batches):
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                _, x = array(content.as_py())
-                x = x.reshape([*x.shape, *[1] * (4 - x.ndim)])
-                for t in range(x.shape[3]):
-                    v = x[..., t].astype(float)
-                    at = np.argwhere(np.ones_like(v, bool) if zeros else v != 0)
-                    for s in range(0, len(at), 100_000):
-                        p = at[s : s + 100_000]
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(p), pa.string()), *[pa.array(p[:, c].astype("int32")) for c in range(3)], pa.array(np.full(len(p), t, "int32")), pa.array(v[tuple(p.T)])], names=["volume_id", "i", "j", "k", "t", "value"])
-
-    return _files(spark, path).mapInArrow(run, "volume_id string, i int, j int, k int, t int, value double")
+                h, x = array(content.as_py())
+                yield from _voxels(name, x.ravel(order="F"), 0, _four(h["shape"]), zeros)
+
+    out = files.filter((F.col("length") <= range_bytes) | F.col("path").endswith(".gz")).select("path", "content").mapInArrow(run, VOXELS)
+    if not large:
+        return out
+    spark.dataSource.register(VolumeRanges)
+    ranges = spark.read.format(VolumeRanges.name()).options(paths=json.dumps(large), zeros=str(zeros).lower(), rangeBytes=str(range_bytes)).load()
+    return out.union(ranges)
 
 
 def save_volume_table(voxels: DataFrame, headers: DataFrame, path: str) -> None:
