@@ -2,42 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.operators import learning as L
 from cohortlake.operators import timeseries as T
+from cohortlake.operators.tables import new_path
 from cohortlake.plans import data as D
 from cohortlake.plans.base import query, table
 from cohortlake.sources import text as S
 from cohortlake.sources import volumes as V
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a local one is made on one machine alone."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="cohortlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _customers(spark, sf) -> DataFrame:
     return table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("line"), F.col("c_name").alias("path"), F.col("c_mktsegment").alias("label"), "c_nationkey", "c_acctbal")
 
 
 def _logs(spark, sf) -> str:
     """A text file for each nation, its customers as lines of a learning log, in order."""
-    path = scratch(spark, "logs")
+    path = new_path(spark, "logs")
     c = _customers(spark, sf).select(F.col("c_nationkey").alias("nation"), "line", F.explode(F.array(F.concat(F.lit("start "), "label"), F.concat(F.lit("Accuracy: "), F.col("c_acctbal").cast("string")), F.concat(F.lit("F1: "), F.col("line").cast("string")))).alias("value"))
     c.repartition("nation").sortWithinPartitions("nation", "line", "value").select("nation", "value").write.partitionBy("nation").text(path)
     return path
@@ -49,21 +36,21 @@ def _nation(column: str):
 
 @query("write_lines", "SELECT c_name AS value FROM customer")
 def q_write_lines(spark, sf):
-    path = scratch(spark, "lines")
+    path = new_path(spark, "lines")
     S.write_lines(_customers(spark, sf), "path", path, ["line"])
     return spark.read.text(path)
 
 
 @query("write_subjects", "SELECT c_name || ':' || c_mktsegment AS value FROM customer")
 def q_write_subjects(spark, sf):
-    path = scratch(spark, "subjects")
+    path = new_path(spark, "subjects")
     S.write_subjects(_customers(spark, sf), path)
     return spark.read.text(path)
 
 
 @query("read_subjects", "SELECT '/data/' || c_name AS path, c_mktsegment AS label FROM customer")
 def q_read_subjects(spark, sf):
-    path = scratch(spark, "subjects")
+    path = new_path(spark, "subjects")
     S.write_subjects(_customers(spark, sf), path)
     return S.read_subjects(spark, path, "/data/").select("path", "label")
 
@@ -97,7 +84,7 @@ def q_volumes(spark, sf):
         x[pdf["i"], pdf["j"], pdf["k"]] = pdf["value"]
         return pd.DataFrame({"volume_id": pdf["volume_id"].iloc[:1], "value": [V.encode(x)]})
 
-    path = scratch(spark, "volumes")
+    path = new_path(spark, "volumes")
     files = D.vox(spark, sf).select("volume_id", "i", "j", F.col("k").cast("int").alias("k"), F.col("value").cast("double").alias("value")).groupBy("volume_id").applyInPandas(run, "volume_id string, value binary")
     files.select("volume_id", F.col("value").cast("string").alias("value")).write.partitionBy("volume_id").text(path)
     return V.read_volumes(spark, path).withColumn("volume_id", F.regexp_extract("volume_id", "volume_id=([^/]+)", 1))
@@ -105,7 +92,7 @@ def q_volumes(spark, sf):
 
 @query("save_volume_table", f"WITH {D.VOX}, h AS (SELECT volume_id, 32 AS nx FROM vox GROUP BY 1) SELECT volume_id, i::INT AS i, j::INT AS j, k::INT AS k, value::DOUBLE AS value, nx FROM vox JOIN h USING (volume_id)")
 def q_save(spark, sf):
-    path = scratch(spark, "table")
+    path = new_path(spark, "table")
     vox = D.vox(spark, sf).select("volume_id", "i", "j", F.col("k").cast("int").alias("k"), F.col("value").cast("double").alias("value"))
     V.save_volume_table(vox, vox.select("volume_id").distinct().withColumn("nx", F.lit(32)), path)
     return spark.read.parquet(f"{path}/voxels").join(spark.read.parquet(f"{path}/headers"), "volume_id").select("volume_id", "i", "j", "k", "value", "nx")
@@ -114,7 +101,7 @@ def q_save(spark, sf):
 @query("read_atlas_labels", "SELECT left(p_brand, 7) AS atlas, p_partkey::INT AS idx, trim(p_name) AS name, p_size::INT AS x, (p_partkey % 7)::INT AS y, (p_partkey % 11)::INT AS z, 1 AS v FROM part")
 def q_atlas_labels(spark, sf):
     """An atlas for each manufacturer: its parts are the labels."""
-    path = scratch(spark, "atlas")
+    path = new_path(spark, "atlas")
     part = table(spark, sf, "part").select(F.substring("p_brand", 1, 7).alias("maker"), F.col("p_partkey").cast("string").alias("p"), F.expr("replace(replace(p_name, '&', '&amp;'), '<', '&lt;')").alias("n"), F.col("p_size").cast("string").alias("s"), (F.col("p_partkey") % 7).cast("string").alias("y"), (F.col("p_partkey") % 11).cast("string").alias("z"))
     label = F.concat(F.lit('<label index="'), "p", F.lit('" x="'), "s", F.lit('" y="'), "y", F.lit('" z="'), "z", F.lit('" v="1">'), "n", F.lit("</label>"))
     for r in part.select("maker").distinct().orderBy("maker").collect():  # manufacturers, a handful
@@ -125,7 +112,7 @@ def q_atlas_labels(spark, sf):
 
 @query("convert_table", "SELECT c_custkey::BIGINT AS c_custkey, c_name, c_mktsegment FROM customer")
 def q_convert(spark, sf):
-    a, b = scratch(spark, "csv"), scratch(spark, "converted")
+    a, b = new_path(spark, "csv"), new_path(spark, "converted")
     table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment").write.option("header", "true").csv(a)
     S.convert_table(spark, a, b, "csv", "json")
     return spark.read.schema("c_custkey long, c_name string, c_mktsegment string").json(b)
@@ -133,7 +120,7 @@ def q_convert(spark, sf):
 
 @query("export_variables", "SELECT 'part' AS name, p_partkey::BIGINT AS key FROM part UNION ALL SELECT 'orders', o_orderkey::BIGINT FROM orders")
 def q_export(spark, sf):
-    path = scratch(spark, "variables")
+    path = new_path(spark, "variables")
     tables = {"part": table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("key")), "orders": table(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("key"))}
     S.export_variables(tables, path, "parquet")
     return spark.read.parquet(f"{path}/part").select(F.lit("part").alias("name"), "key").union(spark.read.parquet(f"{path}/orders").select(F.lit("orders").alias("name"), "key"))
@@ -181,6 +168,63 @@ def q_feature_selector(spark, sf):
     return spark.createDataFrame([(int(i),) for i in model.selectedFeatures], "feature_id int")
 
 
+_STEP = """f AS (SELECT vec_id, CASE WHEN label % 2 = 1 THEN 1.0::DOUBLE ELSE -1 END AS t, generate_subscripts(embedding, 1) AS p, unnest(embedding)::DOUBLE AS x FROM embeddings),
+ w AS (SELECT p, 0.5 * avg(t * x) / (1 + 0.5 * 0.01) AS w FROM f GROUP BY p), b AS (SELECT 0.5 * avg(t) AS b FROM f WHERE p = 1)"""
+
+
+@query("classifier_sgd", f"WITH {_STEP} SELECT vec_id AS sample_id, CASE WHEN sum(x * w) + any_value(b) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction FROM f JOIN w USING (p) CROSS JOIN b GROUP BY vec_id")
+def q_classifier_sgd(spark, sf):
+    """The first step of all rows from no weights, with the hinge's slope."""
+    e, maps = L.classifier("sgd", grid=[{"loss": "hinge", "penalty": "l2", "alpha": 0.01, "epochs": 1, "batches": 1}])
+    rows = _matrix(spark, sf).withColumn("weight", F.lit(1.0))
+    return e.copy(maps[0]).fit(rows).transform(rows).select("sample_id", "prediction")
+
+
+@query("classifier_percep")
+def q_classifier_percep(spark, sf):
+    """Perceptrons mixed over eight shards, each candidate's weights in the same passes."""
+    e, maps = L.classifier("percep", grid=[{"penalty": "none", "epochs": 5}, {"penalty": "l2", "alpha": 0.001, "epochs": 5}])
+    rows = _matrix(spark, sf).withColumn("weight", F.lit(1.0))
+    out = None
+    for i, model in e.fitMultiple(rows, maps):
+        got = model.transform(rows).select(F.lit(i).alias("candidate"), "sample_id", "prediction")
+        out = got if out is None else out.union(got)
+    return out
+
+
+@query("classifier_mixture")
+def q_classifier_mixture(spark, sf):
+    """Two tied Gaussians for each class."""
+    e, maps = L.classifier("gmm", grid=[{"nComponents": 2, "covarianceType": "tied"}])
+    rows = _matrix(spark, sf)
+    return e.fit(rows, maps[0]).transform(rows).select("sample_id", "prediction")
+
+
+@query("feature_selector_rpca", "WITH f AS (SELECT vec_id, generate_subscripts(embedding, 1) AS p, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT p, avg(x) AS mu FROM f GROUP BY p) SELECT vec_id AS sample_id, round(sum((x - mu) * (x - mu)), 5) + 0.0 AS energy FROM f JOIN m USING (p) GROUP BY 1")
+def q_selector_rpca(spark, sf):
+    """All randomised components of a sample together hold its distance to the mean."""
+    rows = _matrix(spark, sf)
+    out = L.feature_selector("rpca", k=64).fit(rows).transform(rows)
+    energy = F.aggregate(vector_to_array("selected"), F.lit(0.0), lambda a, v: a + v * v)
+    return out.select("sample_id", (F.round(energy, 5) + 0.0).alias("energy"))
+
+
+@query("feature_selector_lda")
+def q_selector_lda(spark, sf):
+    """Each sample along the direction that parts the two classes best."""
+    rows = _matrix(spark, sf)
+    out = L.feature_selector("lda").fit(rows).transform(rows)
+    return out.select("sample_id", F.round(vector_to_array("selected")[0], 6).alias("score"))
+
+
+@query("feature_selector_extratrees")
+def q_selector_extratrees(spark, sf):
+    """Importance of each feature in ten extremely randomised trees."""
+    stage = L.feature_selector("extratrees")
+    score = stage.copy({stage.trees: 10}).fit(_matrix(spark, sf)).featureImportances
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(score)], "feature_id int, importance double")
+
+
 @query("build_pipeline_bayes", """WITH f AS (SELECT vec_id, label % 2 AS y, generate_subscripts(embedding, 1) - 1 AS p, unnest(embedding)::DOUBLE AS x FROM embeddings),
  g AS (SELECT p, avg(x) AS m, count(*) AS n FROM f GROUP BY p), c AS (SELECT p, y, avg(x) AS mc, count(*) AS nc, var_pop(x) AS v FROM f GROUP BY p, y),
  s AS (SELECT p, (sum(nc * (mc - m) * (mc - m)) / (count(*) - 1)) / (sum(nc * v) / (any_value(n) - count(*))) AS score FROM c JOIN g USING (p) GROUP BY p),
