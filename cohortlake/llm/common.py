@@ -5,12 +5,11 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlake.operators.tables import new_path, places, shared_dir  # noqa: F401
 
 #: Bytes of an Arrow batch between Spark and Python, where the session names none: Spark's own 64 MB are held several
 #: times over by each task, in the executor and in its worker.
@@ -23,25 +22,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none and runs on one machine (tests) a local one is made and set; on a cluster that
-    is an error, since executors would not see each other's files.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="cohortlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
@@ -164,26 +144,3 @@ def add_struct(df: DataFrame, measure, columns: list[str], schema: str, into: st
             yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*names, into])
 
     return df.mapInArrow(tidy(run), out)
-
-
-def places(df: DataFrame, group: str, order: list[str], at: str = "at", size: str = "n", first: str = "g") -> DataFrame:
-    """``df`` with the place ``at`` (0, 1, ...) of each row among those of an equal ``group`` (null is a group), by ``order``;
-    ``size``, the group's rows; and ``first``, a number of the group that grows with ``group`` (null first).
-
-    A group may hold any share of all rows: rows are sorted by ranges, and what joins them is one count for each group of
-    a range. Rows that are equal in all of ``order`` are told apart by where they were read.
-    """
-    from pyspark.sql import Window as W
-
-    keys = [group, *order, "__tie"]
-    spread = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    # the upper bits number the range, the lower ones the row within it
-    rows = stored(spread.drop("__tie").withColumn("__row", F.monotonically_increasing_id()), "places").withColumn("__range", F.shiftright("__row", 33))
-    counts = rows.groupBy(group, "__range").agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__first"))
-    own = W.partitionBy(group)
-    counts = counts.select(
-        F.col(group).alias("__group"), F.col("__range").alias("__r"), (F.sum("__n").over(own.orderBy("__range")) - F.col("__n") - F.col("__first")).alias("__shift"),
-        F.sum("__n").over(own).alias(size), F.min("__first").over(own).alias(first),
-    )
-    out = rows.join(counts, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__range") == F.col("__r")))
-    return out.withColumn(at, F.col("__row") + F.col("__shift")).drop("__group", "__r", "__range", "__row", "__shift")
