@@ -2,8 +2,8 @@
 
 A token is a whole lower-cased word, hashed to one of ``BUCKETS``; in scripts without spaces each character is a word,
 and its token is a gram of it and the next ones. Its score is the log-odds of turning up in a toxic against a clean
-training text, under a Dirichlet prior that follows the token's overall share, less two standard errors and a margin
-(an odds ratio of e is not yet toxic, however sure it is); all other tokens score below 0. In a text all maximal scoring
+training text, under a Dirichlet prior that follows the token's overall share, less its standard error and a margin
+(an odds ratio of e^1.5 is not yet toxic, however sure it is); all other tokens score below 0. In a text all maximal scoring
 segments are found in linear time (after Ruzzo and Tompa).
 
 Scores of segments follow an extreme-value law in clean texts: of n words, a clean text is expected to hold
@@ -30,9 +30,11 @@ from cohortlake.llm.words import LETTERS, LOWER, chunks, find_words, split_unspa
 BUCKETS = 1 << 18
 #: Labelled rows that a fit uses: up to here all, beyond it an even sample by the hash of the key.
 MAX_LABELLED = 200_000
-PRIOR, ERRORS, MARGIN, DRIFT = 20.0, 2.0, 1.0, 0.4
+#: These and the ends below have the least log-loss of 108 settings over four inner folds of sf0.1's rows whose crc32 of
+#: doc_id has a remainder by 5 that is not 0 (0.081, against 0.090 of the setting before); no other row had a part in it.
+PRIOR, ERRORS, MARGIN, DRIFT = 20.0, 1.0, 1.5, 0.8
 #: Evidence beyond these ends says no more.
-CLIP = (-10.0, 15.0)
+CLIP = (-10.0, 40.0)
 
 
 def tokens(column: pa.Array):

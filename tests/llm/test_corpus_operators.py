@@ -450,7 +450,8 @@ def test_rate_weighs_tokens_by_occurrence(spark):
 
 @pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.1"), reason="needs the larger tables")
 def test_toxicity_held_out_accuracy(spark):
-    """Area under the curve on held-out rows, for each language with ten or more toxic ones."""
+    """Area under the curve on held-out rows, for each language with ten or more toxic ones. The bound was 0.95 while these
+    rows had a part in the choice of constants; since they have none it is 0.93, as the review asks."""
     root = "/root/testdata/sf0.1"
     scored = registry.queries()["op6_toxicity"](spark, root).filter("held_out").join(spark.read.parquet(f"{root}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "lang"), "doc_id")
     by = collections.defaultdict(list)
@@ -461,7 +462,7 @@ def test_toxicity_held_out_accuracy(spark):
         bad, good = ([s for s, y in rows if y == k] for k in (1, 0))
         if len(bad) >= 10:
             seen += 1
-            assert sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / len(bad) / len(good) >= 0.95
+            assert sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / len(bad) / len(good) >= 0.93
     assert seen >= 3
 
 
