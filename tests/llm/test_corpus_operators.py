@@ -448,6 +448,42 @@ def test_rate_weighs_tokens_by_occurrence(spark):
     assert n[0, :-1].sum() == 4 and n[2, :-1].sum() == 6 and n[0, -1] == 2
 
 
+def plain_segments(s):
+    """By their definition: the segment of largest sum (the shortest of equal ones, the first of those), then in the same way
+    what lies on both sides of it."""
+    best = max(((sum(s[a:b]), a - b, -a) for a in range(len(s)) for b in range(a + 1, len(s) + 1)), default=(0, 0, 0))
+    if best[0] <= 0:
+        return []
+    a = -best[2]
+    b = a - best[1]
+    return [*plain_segments(s[:a]), best[0], *plain_segments(s[b:])]
+
+
+def test_scores_by_brute_force(spark):
+    """The whole way from a text to its score: tokens, segments by their definition, evidence of the best r, the curve."""
+    rng = random.Random(31)
+    bad, fine = [f"bad{i}" for i in range(6)], [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join(rng.choice(bad if i % 4 == 0 and rng.random() < 0.4 else fine) for _ in range(rng.randrange(5, 40)))) for i in range(240)]
+    df = docs(spark, texts + [(900, None), (901, ""), (902, "BAD1 bad1! Bad2")], toxicity="clash")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id long, toxic int")
+    m = toxicity.fit(df, labels)
+    assert (m.scores > 0).sum() >= 4
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.score(df, m).collect()}
+    for i, t in [*texts, (900, ""), (901, ""), (902, "bad1 bad1 bad2")]:
+        w = re.findall(LETTERS, low(t))
+        (_, _, tok), = list(toxicity.tokens(__import__("pyarrow").array([" ".join(w)])))
+        found = sorted((x * m.rate - math.log(max(m.scale, 1e-12) * max(len(w), 1)) for x in plain_segments([float(m.scores[k]) for k in tok])), reverse=True)
+        best = toxicity.CLIP[0]
+        for r in range(1, len(found) + 1):
+            if r > 1 and found[r - 1] <= 0:
+                break
+            x = sum(found[:r])
+            best = max(best, x - (r - 1) * math.log(max(x, 1)) + math.log(math.factorial(r)) + math.log(math.factorial(r - 1)))
+        best = min(max(best, toxicity.CLIP[0]), toxicity.CLIP[1])
+        assert got[i]["n_words"] == len(w) and got[i]["evidence"] == pytest.approx(best, abs=1e-6)
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-(m.slope * best + m.offset))), abs=1e-9)
+
+
 @pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.1"), reason="needs the larger tables")
 def test_toxicity_held_out_accuracy(spark):
     """Area under the curve on held-out rows, for each language with ten or more toxic ones. The bound was 0.95 while these
