@@ -10,8 +10,8 @@ from cohortlake.plans.base import table
 VOX = "vox AS (SELECT l_returnflag AS volume_id, (l_partkey % 32)::INT AS i, (l_suppkey % 32)::INT AS j, l_linenumber AS k, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2, 3, 4)"
 MASK = "mask AS (SELECT i, j, k, value FROM vox WHERE volume_id = 'N' AND value > 60)"
 ROIS = "rois AS (SELECT DISTINCT i, j, k, ((i // 8 + 4 * (j // 8)) % 6)::INT AS roi FROM vox)"
-ATLAS = "atlas AS (SELECT 'demo' AS atlas, l.idx AS label_idx, i, j, k, ((i * 7 + j * 3 + k * 11 + l.idx * 5) % 101)::DOUBLE AS prob FROM (SELECT DISTINCT i, j, k FROM vox) CROSS JOIN (SELECT unnest(range(0, 4))::INT AS idx) l WHERE (i * 7 + j * 3 + k * 11 + l.idx * 5) % 101 > 40)"
-LABELS = "alabels AS (SELECT 'demo' AS atlas, r_regionkey AS idx, r_name AS name, (r_regionkey * 3)::INT AS x, (r_regionkey * 2)::INT AS y, r_regionkey::INT AS z FROM region WHERE r_regionkey < 3)"
+ATLAS = "atlas AS (SELECT 'demo' AS atlas, l.idx AS label_idx, i, j, k, ((i * 7 + j * 3 + k * 11 + l.idx * 5) % 101)::DOUBLE AS prob FROM (SELECT DISTINCT i, j, k FROM vox) CROSS JOIN (SELECT unnest(range(0, 6))::INT AS idx) l WHERE (i * 7 + j * 3 + k * 11 + l.idx * 5) % 101 > 40)"
+LABELS = "alabels AS (SELECT 'demo' AS atlas, r_regionkey AS idx, r_name AS name, (r_regionkey * 3)::INT AS x, (r_regionkey * 2)::INT AS y, r_regionkey::INT AS z FROM region)"
 FEAT = "feat AS (SELECT vec_id AS sample_id, (generate_subscripts(embedding, 1) - 1)::INT AS feature_id, unnest(embedding)::DOUBLE AS value FROM embeddings), lab AS (SELECT vec_id AS sample_id, label % 3 AS y FROM embeddings)"
 MOM = "mom AS (SELECT feature_id, y, count(*) AS n, avg(value) AS mean, var_pop(value) AS v FROM feat JOIN lab USING (sample_id) GROUP BY 1, 2)"
 SERIES = "series AS (SELECT 'v' || (vec_id % 2) AS volume_id, vec_id AS voxel_id, label AS roi, embedding::DOUBLE[] AS ts FROM embeddings), long AS (SELECT volume_id, voxel_id, roi, generate_subscripts(ts, 1) - 1 AS t, unnest(ts) AS x FROM series), ml AS (SELECT volume_id, roi, t, avg(x) AS x FROM long GROUP BY 1, 2, 3)"
@@ -42,14 +42,14 @@ def rois(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def atlas(spark: SparkSession, sf: str) -> DataFrame:
-    c = cells(spark, sf).withColumn("label_idx", F.explode(F.array(*[F.lit(x) for x in range(4)])))
+    c = cells(spark, sf).withColumn("label_idx", F.explode(F.array(*[F.lit(x) for x in range(6)])))
     p = F.expr("(i * 7 + j * 3 + k * 11 + label_idx * 5) % 101")
     return c.withColumn("p", p).filter("p > 40").select(F.lit("demo").alias("atlas"), "label_idx", "i", "j", "k", F.col("p").cast("double").alias("prob"))
 
 
 def atlas_labels(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("r_regionkey").cast("int")
-    return table(spark, sf, "region").filter("r_regionkey < 3").select(F.lit("demo").alias("atlas"), k.alias("idx"), F.col("r_name").alias("name"), (k * 3).alias("x"), (k * 2).alias("y"), k.alias("z"))
+    return table(spark, sf, "region").select(F.lit("demo").alias("atlas"), k.alias("idx"), F.col("r_name").alias("name"), (k * 3).alias("x"), (k * 2).alias("y"), k.alias("z"))
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:

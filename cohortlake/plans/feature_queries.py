@@ -234,10 +234,10 @@ def q_dense(spark, sf):
     return out.withColumn("block", F.transform("block", lambda v: F.round(v, 4) + 0.0))
 
 
-@query("stack_volumes", f"WITH {D.VOX}, a AS (SELECT i, j, k, value FROM vox WHERE volume_id = 'A' UNION ALL SELECT i + 32, j, k, value FROM vox WHERE volume_id = 'N') SELECT i::INT AS i, j::INT AS j, k::INT AS k, coalesce(value, 0) AS value FROM (SELECT * FROM range(0, 64) x(i), range(0, 32) y(j), range(0, 8) z(k)) LEFT JOIN a USING (i, j, k)")
+@query("stack_volumes", f"WITH {D.VOX}, a AS (SELECT i, j, k, value FROM vox WHERE volume_id = 'A' UNION ALL SELECT i + 32, j, k, value FROM vox WHERE volume_id = 'N' UNION ALL SELECT i + 64, j, k, value FROM vox WHERE volume_id = 'R') SELECT i::INT AS i, j::INT AS j, k::INT AS k, coalesce(value, 0) AS value FROM (SELECT * FROM range(0, 96) x(i), range(0, 32) y(j), range(0, 8) z(k)) LEFT JOIN a USING (i, j, k)")
 def q_stack(spark, sf):
     v, size = D.vox(spark, sf), {"i": 32, "j": 32, "k": 8}
-    return X.stack_volumes([v.filter("volume_id = 'A'"), v.filter("volume_id = 'N'")], "i", [size, size])
+    return X.stack_volumes([v.filter(F.col("volume_id") == name) for name in ("A", "N", "R")], "i", [size] * 3)
 
 
 @query("distribution", f"WITH {D.EVENTS} SELECT grp, event_type, round(count(*) / sum(count(*)) OVER (PARTITION BY grp), 8) + 0.0 AS p FROM ev GROUP BY 1, 2")

@@ -40,14 +40,22 @@ def q_compare(spark, sf):
     return R.compare_all(D.ids(spark, sf))
 
 
-@query("compare_idsets", f"WITH {D.IDS}, {_ONLY} SELECT * FROM only_ WHERE set_a IN ('1-URGENT', '2-HIGH') AND set_b IN ('1-URGENT', '2-HIGH')")
+_TWO = D.IDS.replace("o_orderpriority AS set_name", "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'fast' ELSE 'slow' END AS set_name")
+
+
+def _two(spark, sf):
+    """All orders in two sets: the two highest priorities, and the others."""
+    return D.ids(spark, sf).withColumn("set_name", F.when(F.col("set_name").isin("1-URGENT", "2-HIGH"), "fast").otherwise("slow"))
+
+
+@query("compare_idsets", f"WITH {_TWO}, {_ONLY} SELECT * FROM only_")
 def q_compare2(spark, sf):
-    return R.compare_idsets(D.ids(spark, sf), "1-URGENT", "2-HIGH")
+    return R.compare_idsets(_two(spark, sf), "fast", "slow")
 
 
-@query("foreign_repetitions", f"WITH {D.IDS}, {_REP} SELECT ids.id, ref, n FROM ids JOIN rep ON rep.id = ids.id AND rep.set_name = '2-HIGH' WHERE ids.set_name = '1-URGENT'")
+@query("foreign_repetitions", f"WITH {_TWO}, {_REP} SELECT ids.id, ref, n FROM ids JOIN rep ON rep.id = ids.id AND rep.set_name = 'slow' WHERE ids.set_name = 'fast'")
 def q_foreign(spark, sf):
-    return R.foreign_repetitions(D.ids(spark, sf), "1-URGENT", "2-HIGH")
+    return R.foreign_repetitions(_two(spark, sf), "fast", "slow")
 
 
 @query("id_report", f"""WITH {D.IDS}, {_REP}
@@ -177,13 +185,13 @@ def q_complete(spark, sf):
     return P.complete_sets(D.files(spark, sf), pat)
 
 
-@query("nearest_match", f"""WITH {D.FILES}, b AS (SELECT path FROM files WHERE {_BASE} LIKE '1%'), hit AS (SELECT path AS h FROM files WHERE regexp_matches({_BASE}, '^(?:[0-9]+\\.html)')),
+@query("nearest_match", f"""WITH {D.FILES}, b AS (SELECT path FROM files), hit AS (SELECT path AS h FROM files WHERE regexp_matches({_BASE}, '^(?:[0-9]+\\.html)')),
  anc AS (SELECT path, l.level, array_to_string(string_split(path, '/')[1:len(string_split(path, '/')) - 1 - l.level], '/') AS dir FROM b, (SELECT unnest([0, 1, 2]) AS level) l),
  m AS (SELECT path, level, min(h) AS h FROM anc JOIN hit ON dir <> '' AND starts_with(h, dir || '/') GROUP BY 1, 2)
 SELECT b.path, coalesce(arg_min(h, level), '') AS match FROM b LEFT JOIN m USING (path) GROUP BY 1""")
 def q_nearest(spark, sf):
     f = D.files(spark, sf)
-    return P.nearest_match(f.filter(S.base_name("path").startswith("1")), f, "[0-9]+\\.html")
+    return P.nearest_match(f, f, "[0-9]+\\.html")
 
 
 _TREE = "tree AS (SELECT * FROM (VALUES ('en/blog', 1, '^blog'), ('en/blog', 2, '^en$'), ('fr/any', 2, '^fr$'), ('html', 3, 'html$')) t(node, level, pattern)), depth AS (SELECT node, count(*) AS d FROM tree GROUP BY 1), part_ AS (SELECT path, generate_subscripts(string_split(path, '/'), 1) AS level, unnest(string_split(path, '/')) AS part FROM files), cls AS (SELECT path, node FROM (SELECT path, node, count(*) AS n FROM part_ JOIN tree USING (level) WHERE regexp_matches(part, pattern) GROUP BY 1, 2) JOIN depth USING (node) WHERE n = d)"

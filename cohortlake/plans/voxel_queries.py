@@ -87,10 +87,11 @@ def q_shape(spark, sf):
     return V.shape_check(n.select(F.col("l_orderkey").cast("string").alias("image_id"), F.array("a", "b").alias("shape")), "1").select("image_id", "shape")
 
 
-@query("keep_selected", f"WITH {D.SEL} SELECT DISTINCT fold, feature_id FROM sel a WHERE config_id = 'p0' AND weight > 0 AND EXISTS (SELECT 1 FROM sel b WHERE b.config_id = 'p1' AND b.fold = a.fold AND b.feature_id = a.feature_id AND b.weight > 0)")
+@query("keep_selected", f"WITH {D.SEL} SELECT DISTINCT fold, feature_id FROM sel a WHERE config_id IN ('p0', 'p2', 'p4') AND weight > 0 AND EXISTS (SELECT 1 FROM sel b WHERE b.config_id IN ('p1', 'p3', 'p5') AND b.fold = a.fold AND b.feature_id = a.feature_id AND b.weight > 0)")
 def q_keep(spark, sf):
     s = D.selections(spark, sf)
-    return V.keep_selected(s.filter("config_id = 'p0'").select("fold", "feature_id"), s.filter("config_id = 'p0'"), s.filter("config_id = 'p1'")).distinct()
+    first = F.col("config_id").isin("p0", "p2", "p4")
+    return V.keep_selected(s.select("fold", "feature_id").distinct(), s.filter(first), s.filter(~first))
 
 
 @query("skip_done", "SELECT c_custkey AS config_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
