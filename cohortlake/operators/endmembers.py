@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.operators.scans import induce  # noqa: F401
+from cohortlake.operators.sizes import small
 
 
 def _matrix(column) -> np.ndarray:
@@ -45,7 +46,7 @@ def lattice_memories(samples: DataFrame) -> DataFrame:
 def wm_endmembers(samples: DataFrame) -> DataFrame:
     """(kind, col, b, value): columns of W moved by u, of M by v, and u and v themselves: 2 d + 2 vectors."""
     x = samples.select(F.posexplode("x").alias("c", "v")).groupBy("c").agg(F.max("v").alias("u"), F.min("v").alias("v"))
-    lam = lattice_memories(samples).join(F.broadcast(x), "c")
+    lam = lattice_memories(samples).join(small(x), "c")
     out = lam.select(F.lit("w").alias("kind"), F.col("c").alias("col"), "b", (F.col("w") + F.col("u")).alias("value"))
     out = out.union(lam.select(F.lit("m"), "c", "b", F.col("m") + F.col("v")))
     return out.union(x.select(F.lit("u"), F.lit(0), "c", "u")).union(x.select(F.lit("v"), F.lit(0), "c", "v"))

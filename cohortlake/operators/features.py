@@ -51,7 +51,7 @@ def merged(m: DataFrame, by: tuple[str, ...] = ("feature_id",)) -> DataFrame:
 def train_moments(by_fold: DataFrame, by: tuple[str, ...] = ("feature_id", "y")) -> DataFrame:
     """Moments of all rows outside each fold, from the moments of the folds: each feature's rows are read once."""
     folds = by_fold.select(F.col("fold").alias("test_fold")).distinct()
-    others = by_fold.crossJoin(F.broadcast(folds)).filter("fold <> test_fold").drop("fold").withColumnRenamed("test_fold", "fold")
+    others = by_fold.crossJoin(small(folds, 100_000)).filter("fold <> test_fold").drop("fold").withColumnRenamed("test_fold", "fold")
     return merged(others, ("fold", *by))
 
 
@@ -262,5 +262,5 @@ def stack_volumes(tables: list[DataFrame], axis: str, sizes: list[dict[str, int]
     for a in axes:
         n = at if a == axis else max(s[a] for s in sizes)
         r = out.sparkSession.range(n).select(F.col("id").cast("int").alias(a))
-        grid = r if grid is None else grid.crossJoin(r)
+        grid = r if grid is None else grid.crossJoin(small(r))
     return grid.join(out, axes, "left").withColumn("value", F.coalesce("value", F.lit(0.0)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cohortlake.operators.sizes import small
+
 FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet", ".orc": "orc"}
 
 
@@ -77,7 +79,7 @@ def read_atlas_labels(spark: SparkSession, path: str) -> DataFrame:
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     schema = "_VALUE string, _index int, _x int, _y int, _z int, _v int"
     rows = spark.read.format("xml").option("rowTag", "label").schema(schema).load(path).select(name.alias("file"), F.col("_index").alias("idx"), F.trim("_VALUE").alias("name"), F.col("_x").alias("x"), F.col("_y").alias("y"), F.col("_z").alias("z"), F.col("_v").alias("v"))
-    return rows.join(F.broadcast(read_atlas_headers(spark, path).select("file", "atlas")), "file").drop("file")
+    return rows.join(small(read_atlas_headers(spark, path).select("file", "atlas"), 100_000), "file").drop("file")
 
 
 def read_atlas_headers(spark: SparkSession, path: str) -> DataFrame:
