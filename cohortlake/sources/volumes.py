@@ -7,6 +7,7 @@ import json
 import math
 import re
 import struct
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,17 +48,38 @@ def array(data: bytes) -> tuple[dict, np.ndarray]:
     return h, x * h["slope"] + h["inter"] if (h["slope"], h["inter"]) != (1.0, 0.0) else x
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+def _listed(spark: SparkSession, path: str, range_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(path, content) of all files below ``path``, those that are read whole and those that are not: uncompressed ones of
+    more than ``range_bytes``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    large = (F.col("length") > range_bytes) & ~F.col("path").endswith(".gz")
+    return files.filter(~large).select("path", "content"), files.filter(large).select("path")
 
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    def run(batches):
+def read_headers(spark: SparkSession, path: str, range_bytes: int = 128 << 20) -> DataFrame:
+    """(volume_id, shape, zooms, affine) of all files; of large uncompressed ones the header alone is read."""
+    kind = "volume_id string, shape array<int>, zooms array<double>, affine array<double>"
+
+    def table(names, hs):
+        return pa.RecordBatch.from_arrays([names, pa.array([h["shape"] for h in hs], pa.list_(pa.int32())), pa.array([h["zooms"] for h in hs], pa.list_(pa.float64())), pa.array([h["affine"] for h in hs], pa.list_(pa.float64()))], names=["volume_id", "shape", "zooms", "affine"])
+
+    def head(data: bytes) -> dict:
+        return header(zlib.decompressobj(31).decompress(data, 352) if data[:2] == b"\x1f\x8b" else data)
+
+    def held(batches):
+        for b in batches:
+            yield table(b.column(0), [head(c.as_py()) for c in b.column(1)])
+
+    def opened(batches):
         for b in batches:
-            hs = [array(c.as_py())[0] for c in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h["shape"] for h in hs], pa.list_(pa.int32())), pa.array([h["zooms"] for h in hs], pa.list_(pa.float64())), pa.array([h["affine"] for h in hs], pa.list_(pa.float64()))], names=["volume_id", "shape", "zooms", "affine"])
+            hs = []
+            for name in b.column(0).to_pylist():
+                with _open(name) as f:
+                    hs.append(header(f.read(348)))
+            yield table(b.column(0), hs)
 
-    return _files(spark, path).mapInArrow(run, "volume_id string, shape array<int>, zooms array<double>, affine array<double>")
+    whole, large = _listed(spark, path, range_bytes)
+    return whole.mapInArrow(held, kind).union(large.mapInArrow(opened, kind))
 
 
 def _voxels(name: str, x: np.ndarray, first: int, shape: list[int], zeros: bool):
@@ -140,8 +162,8 @@ def read_volumes(spark: SparkSession, path: str, zeros: bool = False, range_byte
     Uncompressed files of more than ``range_bytes`` are read by ranges of so many bytes, each in a task of its own. Others,
     and compressed ones, which cannot be split, are read one file at a time in a task, by Spark's binary reader.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    large = [r["path"] for r in files.filter((F.col("length") > range_bytes) & ~F.col("path").endswith(".gz")).select("path").collect()]  # names alone
+    whole, ranged = _listed(spark, path, range_bytes)
+    large = [r["path"] for r in ranged.collect()]  # names alone
 
     def run(batches):
         for b in batches:
@@ -149,7 +171,7 @@ def read_volumes(spark: SparkSession, path: str, zeros: bool = False, range_byte
                 h, x = array(content.as_py())
                 yield from _voxels(name, x.ravel(order="F"), 0, _four(h["shape"]), zeros)
 
-    out = files.filter((F.col("length") <= range_bytes) | F.col("path").endswith(".gz")).select("path", "content").mapInArrow(run, VOXELS)
+    out = whole.mapInArrow(run, VOXELS)
     if not large:
         return out
     spark.dataSource.register(VolumeRanges)

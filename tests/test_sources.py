@@ -87,6 +87,8 @@ def test_large_volumes_are_read_by_ranges(spark, tmp_path, zeros):
     assert parts.rdd.getNumPartitions() >= 5 + 10 + 1  # ranges of the first two, and the other files
     clean = lambda df: [(v.rsplit("/", 1)[1], *r) for v, *r in rows(df)]
     assert sorted(clean(parts)) == sorted(clean(whole)) and len(clean(whole)) > 100
+    heads = lambda n: {r["volume_id"].rsplit("/", 1)[1]: r["shape"] for r in volumes.read_headers(spark, str(tmp_path), n).collect()}
+    assert heads(1000) == heads(1 << 30) == {"a.nii": [17, 9, 5, 3], "b.nii": [40, 30], "c.nii.gz": [20, 20, 8], "d.nii": [2, 2, 2]}
     if zeros:
         assert len(clean(whole)) == 17 * 9 * 15 + 1200 + 3200 + 8
     (tmp_path / "cut.nii").write_bytes((tmp_path / "b.nii").read_bytes()[:-9])
