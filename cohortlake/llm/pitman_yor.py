@@ -7,17 +7,20 @@ table of a context is a customer of the same dish in the root.
 
 Tokens are dealt by their context into buckets of bounded size, so a context's restaurant is whole inside a bucket. The
 root is dealt by word: after each round the buckets send it their tables of each word, it seats them, and sends back
-each word's count, customers and tables. Within a round a bucket makes Gibbs sweeps: of each dish up to ``MOVES``
-customers, chosen evenly, leave in turn and sit down again, at a new table or one taken, with the chances that the
-others' seats give. All dishes of all restaurants are seated by this one law. Seats are kept from round to round; draws
-come from seeds by bucket and round, so a lost task gives the same again. Predictive probabilities are averaged over the
-states of the last round after ``BURN_IN``.
+each word's count, customers and tables. Within a round a bucket makes Gibbs sweeps over the
+dishes: given all others' tables as of the sweep's start, a dish's customers sit anew, a table's worth at a time: those
+of one table part into two, or of two go to one. Who parts is drawn by the exact chances of every way to part, and
+accepted by Metropolis and Hastings's rule, so that a frequent dish needs moves for its tables, not for its customers.
+All dishes of all restaurants are seated by this one law. Seats are kept from round to round; draws come from seeds by
+bucket and round, so a lost task gives the same again. Predictive probabilities are averaged over the states of the last
+round after ``BURN_IN``.
 """
 
 from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,6 @@ from cohortlake.llm.words import LOWER, NON_SPACE, chunks, find_words
 
 SWEEPS, BURN_IN, SEED = 5, 2, 11  # of the last round; the rounds before make BURN_IN sweeps
 ROUNDS = 2  # in which the root is seated
-MOVES = 16  # of a dish in a sweep
 BUCKET_TOKENS = 1_250_000
 BYTES_PER_TOKEN = 6
 #: Strength of the contexts' restaurants and of the root.
@@ -211,81 +213,119 @@ def _gather(key, table):
     return pa.table({"bucket": one.column("bucket"), "pid": one.column("pid"), "no": one.column("no"), "model": model, "stats": stats, "tokens": tokens, **{c: one.column(c) for c in ("keys", "counts", "held")}})
 
 
-class Seating:
-    """Customers of many dishes at tables. Dish x has ``n[x]`` customers at ``t[x]`` tables, and room for ``room[x]``.
+class Parting:
+    """How s customers of one table, or of two tables put together, part into two.
 
-    Customer i of a dish sits at the table ``seat[first + i]``; table k has ``size[first + k]`` customers. Each method
-    acts on an array of different dishes at once.
+    The ways to part weigh by their sizes i and s - i as (1-d)(2-d)...(i-1-d) times (1-d)(2-d)...(s-i-1-d). ``rate`` is
+    the weight of all ways over that of one table; ``draw`` gives the second table's size by these weights. Both come from
+    r(s) = (2-2d)(3-2d)...(s-1-2d) / (1-d)(2-d)...(s-1-d): up to ``EXACT`` from a table, beyond by its series in 1/s,
+    whose error is below 1e-9 there.
     """
 
-    def __init__(self, room: np.ndarray):
-        self.room = room.astype(np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.room)])[:-1]
-        total = int(self.room.sum())
-        self.seat, self.size = np.zeros(total, np.int32), np.zeros(total, np.int32)
-        self.free = (np.repeat(self.first + self.room, self.room) - 1 - np.arange(total)).astype(np.int32)  # a stack for each dish
-        self.n, self.t = np.zeros(len(room), np.int64), np.zeros(len(room), np.int64)
+    EXACT = 1 << 16
+
+    def __init__(self, d: float):
+        s = np.arange(3, self.EXACT + 1)
+        self.d, self.inverse = d, np.concatenate([[1.0], np.cumprod((s - 1 - d) / (s - 1 - 2 * d))]) * (1 - d)  # 1 / r(2), ...
+        self.bend = d * (3 * d + 1) / 2
+        self.scale = self.inverse[-1] * float(self.EXACT) ** -d * (1 + self.bend / self.EXACT)
+
+    def inverse_r(self, s: np.ndarray) -> np.ndarray:
+        x = np.maximum(s, self.EXACT).astype(float)
+        return np.where(s <= self.EXACT, self.inverse[np.minimum(s, self.EXACT) - 2], self.scale * x**self.d / (1 + self.bend / x))
+
+    def rate(self, s: np.ndarray) -> np.ndarray:
+        return (1 - (1 - 2 * self.d) / self.inverse_r(s)) / self.d
+
+    def draw(self, s: np.ndarray, rng) -> np.ndarray:
+        """Customer m + 1 opens the second table with a chance that falls with m; those after them go where the others do."""
+        d = self.d
+        goal = (1 - 2 * d) + (1 - rng.random(len(s))) * (self.inverse_r(s) - (1 - 2 * d))
+        m = np.searchsorted(self.inverse, goal) + 1
+        far = np.flatnonzero(m > self.EXACT - 1)
+        if len(far):
+            x = (goal[far] / self.scale) ** (1 / d)
+            m[far] = np.ceil((goal[far] / self.scale * (1 + self.bend / x)) ** (1 / d)).astype(np.int64) - 1
+        m = np.minimum(m, s - 1)
+        return 1 + rng.binomial(s - m - 1, rng.beta(1 - d, m - d))
+
+
+@lru_cache(8)
+def parting(d: float) -> Parting:
+    return Parting(d)
+
+
+class Seating:
+    """Customers of many dishes at tables. Dish x has ``n[x]`` customers at ``t[x]`` tables, whose sizes stand from ``first[x]`` on."""
+
+    def __init__(self, n: np.ndarray):
+        self.n = n.astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.n)])[:-1]
+        self.size = np.zeros(int(self.n.sum()), np.min_scalar_type(int(self.n.max(initial=0))))  # no dish has more tables than customers
+        self.t = np.ones(len(n), np.int64)
+        self.size[self.first] = self.n
+
+    def _places(self, t: np.ndarray) -> np.ndarray:
+        return np.repeat(self.first, t) + np.arange(int(t.sum())) - np.repeat(np.cumsum(t) - t, t)
 
     def fill(self, t: np.ndarray, sizes: np.ndarray) -> Seating:
-        """Seats customers of an empty restaurant by the sizes of each dish's ``t`` tables."""
-        dish = np.repeat(np.arange(len(t)), t)
-        k = np.arange(len(dish)) - np.repeat(np.cumsum(t) - t, t)
-        self.size[self.first[dish] + k] = sizes
+        """Seats the customers by what ``tables`` gave."""
         self.t = t.astype(np.int64)
-        self.n = np.bincount(dish, sizes, len(t)).astype(np.int64)
-        i = np.arange(int(self.n.sum())) - np.repeat(np.cumsum(self.n) - self.n, self.n)
-        self.seat[np.repeat(self.first, self.n) + i] = np.repeat(k, sizes)
+        self.size[self._places(self.t - 1)] = sizes
+        dish = np.repeat(np.arange(len(t)), self.t - 1)
+        self.size[self.first + self.t - 1] = self.n - np.bincount(dish, sizes, len(t)).astype(np.int64)
         return self
 
-    def sizes(self) -> np.ndarray:
-        return self.size[self.size > 0]
-
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.t.copy(), self.sizes()
-
-    def leave(self, x: np.ndarray, rng) -> None:
-        """One customer of each dish, any with the same chance, goes; the last one takes their number."""
-        first = self.first[x]
-        i = first + (rng.random(len(x)) * self.n[x]).astype(np.int64)
-        k = self.seat[i]
-        self.n[x] -= 1
-        self.seat[i] = self.seat[first + self.n[x]]
-        self.size[first + k] -= 1
-        gone = self.size[first + k] == 0
-        y = x[gone]
-        self.t[y] -= 1
-        self.free[self.first[y] + self.room[y] - 1 - self.t[y]] = k[gone]
-
-    def enter(self, x: np.ndarray, new: np.ndarray, d: float, rng) -> None:
-        """One customer of each dish sits down: at a new table by weight ``new``, else at one taken, by its size less d."""
-        first, n = self.first[x], self.n[x]
-        opens = rng.random(len(x)) * (new + n - d * self.t[x]) < new
-        opens |= n == 0
-        k = np.zeros(len(x), np.int64)
-        y = x[opens]
-        k[opens] = self.free[self.first[y] + self.room[y] - 1 - self.t[y]]
-        self.t[y] += 1
-        left = np.flatnonzero(~opens)
-        while len(left):
-            at = self.seat[first[left] + (rng.random(len(left)) * n[left]).astype(np.int64)]
-            size = self.size[first[left] + at]
-            stays = rng.random(len(left)) * size < size - d
-            k[left[stays]] = at[stays]
-            left = left[~stays]
-        self.seat[first + n] = k
-        self.size[first + k] += 1
-        self.n[x] += 1
+        """Each dish's number of tables, and the sizes of all but its last one, which has the rest."""
+        return self.t.copy(), self.size[self._places(self.t - 1)]
+
+    def pick(self, rng) -> None:
+        """A customer of each dish, any with the same chance, is its pivot: their table goes to the first place."""
+        at = np.searchsorted(np.cumsum(self.size, dtype=np.int64), self.first + (rng.random(len(self.n)) * self.n).astype(np.int64), "right")
+        self.size[self.first], self.size[at] = self.size[at], self.size[self.first]
+
+    def split(self, x: np.ndarray, base: np.ndarray, p: np.ndarray, d: float, rng) -> None:
+        """Of each dish, the pivot's table parts into theirs and one more, if that is accepted."""
+        s = self.size[self.first[x]].astype(np.int64)
+        x, s = x[s > 1], s[s > 1]
+        t = self.t[x]
+        goes = rng.random(len(x)) * t < (base[x] + d * t * p[x]) * parting(d).rate(s)
+        x, s, t = x[goes], s[goes], t[goes]
+        second = parting(d).draw(s, rng)
+        self.size[self.first[x]] = s - second
+        self.size[self.first[x] + t] = second
+        self.t[x] += 1
+
+    def join(self, x: np.ndarray, base: np.ndarray, p: np.ndarray, d: float, rng) -> None:
+        """Of each dish, another table, any with the same chance, joins the pivot's, if that is accepted: what undoes a split."""
+        x = x[self.t[x] > 1]
+        t, first = self.t[x] - 1, self.first[x]
+        other = first + 1 + (rng.random(len(x)) * t).astype(np.int64)
+        s = self.size[first].astype(np.int64) + self.size[other]
+        goes = rng.random(len(x)) * (base[x] + d * t * p[x]) * parting(d).rate(s) < t
+        x, t, first, other = x[goes], t[goes], first[goes], other[goes]
+        self.size[first] = s[goes]
+        self.size[other] = self.size[first + t]
+        self.size[first + t] = 0
+        self.t[x] = t
 
     def sweep(self, others: np.ndarray, p: np.ndarray, strength: float, d: float, rng) -> None:
-        """Up to ``MOVES`` customers of each dish sit anew. ``others``: tables of other dishes in the restaurant; ``p``:
-        the dish's share in the parent. Both as of the sweep's start."""
-        x = np.flatnonzero(self.n > 1)
-        for i in range(MOVES):
-            x = x[self.n[x] > i]
-            if not len(x):
-                break
-            self.leave(x, rng)
-            self.enter(x, (strength + d * (others[x] + self.t[x])) * p[x], d, rng)
+        """Customers of each dish sit anew, a table's worth at a time. ``others``: tables of other dishes in the restaurant;
+        ``p``: the dish's share in the parent. Both as of the sweep's start.
+
+        A dish makes two moves for each table that ``others`` and ``p`` let expect, and two more: they know nothing of the
+        tables that it has, so its seats keep their distribution. It makes at most two for each of its customers.
+        """
+        base = (strength + d * others) * p
+        moves = np.where(self.n > 1, np.ceil(np.minimum(2 * self.n, 2 + 2 * base / d)), 0).astype(np.int64)
+        self.pick(rng)
+        x = np.argsort(-moves, kind="stable")
+        left = len(x) - np.searchsorted(np.sort(moves), np.arange(1, int(moves.max(initial=0)) + 1))
+        for k in left.tolist():
+            splits = rng.random(k) < 0.5
+            self.split(x[:k][splits], base, p, d, rng)
+            self.join(x[:k][~splits], base, p, d, rng)
 
 
 @dataclass(frozen=True)
@@ -317,9 +357,7 @@ class Bucket:
         self.t = np.ones(len(self.c), np.int64)
         size = self.c[self.some]
         self.seating = Seating(size)
-        if seats is None:
-            self.seating.fill(np.ones(len(size), np.int64), size)
-        else:
+        if seats is not None:
             self.seating.fill(*[x.astype(np.int64) for x in unpacked(seats)])
             self.t[self.some] = self.seating.t
 
@@ -387,11 +425,12 @@ def _seat_root(setting: Setting | None, no: int):
             n[i] += p[2]
         k = (m > 0).astype(np.int64)
         if setting is not None:
-            seating = Seating(m).fill(k, m[m > 0])
+            seated = np.flatnonzero(m)
+            seating = Seating(m[seated])
             rng = np.random.default_rng([SEED, 1, no, home[0]])
             for _ in range(BURN_IN):
-                seating.sweep(setting.root_tables - seating.t, np.full(len(m), 1 / (setting.words + 1)), STRENGTH[1], setting.discounts[1], rng)
-            k = seating.t
+                seating.sweep(setting.root_tables - seating.t, np.full(len(seated), 1 / (setting.words + 1)), STRENGTH[1], setting.discounts[1], rng)
+            k[seated] = seating.t
         stats = [int(x) for x in ((n > 0).sum(), m.sum(), k.sum(), (m == 1).sum(), (m == 2).sum())]
         rows = [packed(*[narrow(x[i], int(x[i].max()) + 1) for x in (n, m, k)]) for i in at]
         return pa.table({

@@ -175,18 +175,56 @@ def test_tables_follow_their_law():
     seat([1], mass * w, 3)
     total = sum(law.values())
     n = 40_000
-    seating = pitman_yor.Seating(np.full(n, 5)).fill(np.ones(n, np.int64), np.full(n, 4))
-    rng, every = np.random.default_rng(0), np.arange(n)
+    seating = pitman_yor.Seating(np.full(n, 4))
+    rng = np.random.default_rng(0)
     for _ in range(12):
         seating.sweep(np.zeros(n), np.full(n, w), mass, d, rng)
     for k, v in law.items():
         assert (seating.t == k).mean() == pytest.approx(v / total, abs=0.01)
-    seating.enter(every, np.full(n, 0.5), d, rng)
-    seating.leave(every, rng)
-    again = pitman_yor.Seating(np.full(n, 5)).fill(*seating.tables())
+    again = pitman_yor.Seating(np.full(n, 4)).fill(*seating.tables())
     for x in (seating, again):  # what is kept of seats is all that counts
-        assert (x.n == 4).all() and x.size.sum() == 4 * n and ((x.size.reshape(n, 5) > 0).sum(axis=1) == x.t).all()
-    assert np.array_equal(np.sort(seating.size.reshape(n, 5)), np.sort(again.size.reshape(n, 5)))
+        assert x.size.sum() == 4 * n and ((x.size.reshape(n, 4) > 0).sum(axis=1) == x.t).all()
+    assert np.array_equal(np.sort(seating.size.reshape(n, 4)), np.sort(again.size.reshape(n, 4)))
+
+
+@pytest.mark.parametrize("d", [0.1, 0.5, 0.75])
+def test_tables_of_frequent_dishes(d):
+    """After the sweeps of the operator, dishes of any number of customers have as many tables as all their seatings tell."""
+    p, mass, others, n = 0.01, 1.0, 2000, 400
+    got, want = [], []
+    for c in (2, 30, 100, 1000, 3000):
+        top = min(c, 400)
+        way = np.full(top + 1, -np.inf)  # logarithm of the ways to seat the customers so far at 1, 2, ... tables
+        way[1] = 0.0
+        t = np.arange(top + 1)
+        for k in range(1, c):
+            with np.errstate(divide="ignore"):
+                way = np.logaddexp(way + np.log(np.maximum(k - d * t, 0)), np.append(-np.inf, way[:-1]))
+        weight = way + np.append(-np.inf, np.cumsum(np.log((mass + d * (others + t[:-1])) * p)))
+        weight = np.exp(weight - weight.max())
+        want.append((weight * t).sum() / weight.sum())
+        rng, seating = np.random.default_rng(c), pitman_yor.Seating(np.full(n, c))
+        for _ in range((pitman_yor.ROUNDS - 1) * pitman_yor.BURN_IN + pitman_yor.SWEEPS):
+            seating.sweep(np.full(n, others), np.full(n, p), mass, d, rng)
+        got.append(seating.t.mean())
+        assert (seating.size.reshape(n, c).astype(np.int64).sum(axis=1) == c).all()
+    assert got == pytest.approx(want, rel=0.05)
+
+
+@pytest.mark.parametrize("d", [0.05, 0.4, 0.5, 0.75, 0.95])
+def test_partings(d):
+    """Sizes follow the weights of all ways to part a table; far beyond the exact ones the law goes on smoothly."""
+    part, rng, s, n = pitman_yor.Parting(d), np.random.default_rng(4), 9, 200_000
+    rise = [math.prod(k - d for k in range(1, i)) for i in range(s + 1)]
+    weight = [math.comb(s - 1, j) * rise[j] * rise[s - j] for j in range(1, s)]  # customer 1 is at the first table
+    assert part.rate(np.array([s]))[0] == pytest.approx(sum(weight) / rise[s])
+    drawn = np.bincount(part.draw(np.full(n, s), rng), minlength=s)[1:] / n
+    assert drawn == pytest.approx(np.array(weight) / sum(weight), abs=0.01)
+    far = np.array([part.EXACT, part.EXACT + 1, 20 * part.EXACT])
+    exact = [math.exp(math.lgamma(x - d) - math.lgamma(1 - d) - math.lgamma(x - 2 * d) + math.lgamma(2 - 2 * d)) for x in far]
+    assert part.inverse_r(far) == pytest.approx(exact, rel=1e-6)
+    second = part.draw(np.full(20_000, 20 * part.EXACT), rng)
+    assert second.min() >= 1 and second.max() < 20 * part.EXACT
 
 
 def test_predictions_sum_to_one():
