@@ -78,11 +78,14 @@ def localization_votes(selections: DataFrame, index: DataFrame | None = None) ->
 
 
 def rogers_tanimoto_matrix(selections: DataFrame, n: int) -> DataFrame:
-    """(a, b, value) for every pair of configurations: 2 R / (n + R), R the features only one of them chose, of n in all."""
+    """(a, b, value) for every pair of configurations: 2 R / (n + R), R the features only one of them chose, of n in all.
+
+    Features that the same configurations chose count together, so pairs come from each distinct choice once.
+    """
     sel = selections.filter("weight > 0").select("config_id", "feature_id").distinct()
     size = sel.groupBy("config_id").agg(F.count(F.lit(1)).alias("s"))
-    a, b = sel.select(F.col("config_id").alias("a"), "feature_id"), sel.select(F.col("config_id").alias("b"), "feature_id")
-    both = a.join(b, "feature_id").filter("a <= b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("t"))
+    choices = sel.groupBy("feature_id").agg(F.array_sort(F.collect_list("config_id")).alias("who")).groupBy("who").agg(F.count(F.lit(1)).alias("c"))
+    both = choices.select("who", "c", F.posexplode("who").alias("i", "a")).select("a", "c", F.explode(F.slice("who", F.col("i") + 1, F.size("who"))).alias("b")).groupBy("a", "b").agg(F.sum("c").alias("t"))
     sa, sb = size.select(F.col("config_id").alias("a"), F.col("s").alias("sa")), size.select(F.col("config_id").alias("b"), F.col("s").alias("sb"))
     rows = sa.crossJoin(F.broadcast(sb) if sb.limit(10_001).count() <= 10_000 else sb).filter("a <= b").join(both, ["a", "b"], "left")
     r = F.col("sa") + F.col("sb") - 2 * F.coalesce("t", F.lit(0))

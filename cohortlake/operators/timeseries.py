@@ -66,7 +66,11 @@ def band_pass(x: np.ndarray, lb: float, ub: float | None, tr: float, method: str
     ideal = lambda hz: 2 * hz * tr * np.sinc(2 * hz * tr * t)
     kernel = (ideal(ub) - ideal(lb)) * np.hamming(order + 1)
     mean = x.mean(axis=-1, keepdims=True)
-    once = lambda v: np.apply_along_axis(lambda r: np.convolve(np.pad(r, order // 2, mode="reflect"), kernel, mode="valid"), -1, v)
+
+    def once(v):
+        wide = np.pad(v, [(0, 0)] * (v.ndim - 1) + [(order // 2, order // 2)], mode="reflect")
+        return sum(k * wide[..., j : j + n] for j, k in enumerate(kernel[::-1]))
+
     return once(once(x - mean)[..., ::-1])[..., ::-1] + mean
 
 
@@ -79,9 +83,16 @@ def _box(x: np.ndarray, width: int, rounds: int) -> np.ndarray:
 
 
 def filter_series(series: DataFrame, lb: float, ub: float | None, tr: float = 2.0, method: str = "fir", column: str = "ts", order: int = 64) -> DataFrame:
+    """Series of the same length in a batch are filtered together; a null stays null, an empty one empty."""
+
     @pandas_udf("array<double>")
     def run(ts: pd.Series) -> pd.Series:
-        return ts.map(lambda x: band_pass(np.asarray(x, dtype=float), lb, ub, tr, method, order).tolist())
+        out = ts.copy()
+        for n, rows in ts.groupby(ts.map(len, na_action="ignore")):
+            if n:
+                found = band_pass(np.stack(rows.to_numpy()).astype(float), lb, ub, tr, method, order)
+                out[rows.index] = pd.Series(list(found), rows.index)
+        return out
 
     return series.withColumn(column, run(column))
 

@@ -98,6 +98,34 @@ def test_fisher():
     assert evaluation.fisher_exact(5, 0, 0, 5) == pytest.approx(2 / math.comb(10, 5))
 
 
+def test_filter_series_of_mixed_lengths(spark):
+    """Each series is filtered as if it were alone; the reference result is a convolution of each padded row, both ways."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=n).tolist()) for i, n in enumerate([60, 200, 60, 33, 200, 61])] + [(6, None), (7, [])]
+    out = {r["id"]: r["ts"] for r in timeseries.filter_series(spark.createDataFrame(rows, "id int, ts array<double>"), 0.01, 0.1, 2.0, "fir", order=16).collect()}
+    assert out[6] is None and out[7] == []
+    t = np.arange(17) - 8
+    kernel = (0.4 * np.sinc(0.4 * t) - 0.04 * np.sinc(0.04 * t)) * np.hamming(17)
+    for i, x in rows[:6]:
+        x = np.array(x)
+        if len(x) < 48:
+            want = timeseries.band_pass(x[None], 0.01, 0.1, 2.0, "fourier")[0]
+        else:
+            want = x - x.mean()
+            for _ in range(2):
+                want = np.convolve(np.pad(want, 8, mode="reflect"), kernel, mode="valid")[::-1]
+            want = want + x.mean()
+        assert out[i] == pytest.approx(want, abs=1e-12)
+
+
+def test_rogers_tanimoto_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    chosen = {c: {int(f) for f in rng.integers(0, 30, 12)} for c in "abcde"}
+    rows = [(c, f, 1.0) for c, fs in chosen.items() for f in fs] + [("a", 99, 0.0), ("a", min(chosen["a"]), 2.0)]
+    out = {(r["a"], r["b"]): r["value"] for r in evaluation.rogers_tanimoto_matrix(spark.createDataFrame(rows, "config_id string, feature_id int, weight double"), 100).collect()}
+    assert out == {(a, b): pytest.approx(2 * len(x ^ y) / (100 + len(x ^ y))) for a, x in chosen.items() for b, y in chosen.items()}
+
+
 def test_rogers_tanimoto(spark):
     s = spark.createDataFrame([("A", 0, 1, 1.0), ("A", 0, 2, 1.0), ("B", 0, 2, 1.0), ("B", 0, 3, 1.0)], "config_id string, fold int, feature_id int, weight double")
     out = {(r["a"], r["b"]): r["value"] for r in evaluation.rogers_tanimoto_matrix(s, 4).collect()}
