@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from cohortlake.operators.sizes import small
+from cohortlake.operators.tables import stored
+
 
 def _counts(p: DataFrame, by: tuple[str, ...]) -> DataFrame:
     n = lambda t, q: F.sum(F.when((F.col("y_true") == t) & (F.col("y_pred") == q), 1).otherwise(0)).alias({(1, 1): "tp", (0, 1): "fp", (0, 0): "tn", (1, 0): "fn"}[t, q])
@@ -82,12 +85,13 @@ def rogers_tanimoto_matrix(selections: DataFrame, n: int) -> DataFrame:
 
     Features that the same configurations chose count together, so pairs come from each distinct choice once.
     """
-    sel = selections.filter("weight > 0").select("config_id", "feature_id").distinct()
-    size = sel.groupBy("config_id").agg(F.count(F.lit(1)).alias("s"))
-    choices = sel.groupBy("feature_id").agg(F.array_sort(F.collect_list("config_id")).alias("who")).groupBy("who").agg(F.count(F.lit(1)).alias("c"))
+    chosen = selections.filter("weight > 0").groupBy("feature_id").agg(F.array_sort(F.collect_set("config_id")).alias("who"))
+    choices = chosen.groupBy("who").agg(F.count(F.lit(1)).alias("c"))
     both = choices.select("who", "c", F.posexplode("who").alias("i", "a")).select("a", "c", F.explode(F.slice("who", F.col("i") + 1, F.size("who"))).alias("b")).groupBy("a", "b").agg(F.sum("c").alias("t"))
+    both = stored(both, "shared")  # a row for each pair of configurations
+    size = both.filter("a = b").select(F.col("a").alias("config_id"), F.col("t").alias("s"))
     sa, sb = size.select(F.col("config_id").alias("a"), F.col("s").alias("sa")), size.select(F.col("config_id").alias("b"), F.col("s").alias("sb"))
-    rows = sa.crossJoin(F.broadcast(sb) if sb.limit(10_001).count() <= 10_000 else sb).filter("a <= b").join(both, ["a", "b"], "left")
+    rows = sa.crossJoin(small(sb, 10_000)).filter("a <= b").join(both, ["a", "b"], "left")
     r = F.col("sa") + F.col("sb") - 2 * F.coalesce("t", F.lit(0))
     half = rows.select("a", "b", (2 * r / (n + r)).alias("value"))
     return half.union(half.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "value"))
