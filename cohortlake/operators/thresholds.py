@@ -112,15 +112,15 @@ def _group_ranks(values: DataFrame, ranges: int = 64) -> DataFrame:
 def percentile_threshold(values: DataFrame, thr: float) -> DataFrame:
     """Values under the group's percentile (linear interpolation), and NaN, become 0.
 
-    The percentile is the mean of two neighbours by rank, and ranks come from ranges of the value, so one group of any
-    size is spread over tasks.
+    The percentile lies between two neighbours by rank, and is their value to the last bit where they are equal. Ranks
+    come from ranges of the value, so one group of any size is spread over tasks.
     """
     clean = values.filter("value is not null and not isnan(value)")
     n = clean.groupBy("grp").agg((F.lit(thr / 100.0) * (F.count(F.lit(1)) - 1)).alias("__at"))
     near = _group_ranks(clean.select("grp", "value", "feature_id")).join(n, "grp").withColumn("__off", F.col("rank") - 1 - F.col("__at")).filter("__off > -1 and __off < 1")
     low, high = F.max(F.when(F.col("__off") <= 0, F.col("value"))), F.min(F.when(F.col("__off") >= 0, F.col("value")))
     share = F.max("__at") - F.floor(F.max("__at"))
-    cut = near.groupBy("grp").agg(F.when(share == 0, low).otherwise((1 - share) * low + share * high).alias("__cut"))
+    cut = near.groupBy("grp").agg(F.when(share == 0, low).otherwise(low + (high - low) * share).alias("__cut"))
     return values.join(cut, "grp", "left").withColumn("value", F.when((F.col("value") >= F.col("__cut")) & ~F.isnan("value"), F.col("value")).otherwise(0.0)).drop("__cut")
 
 

@@ -34,6 +34,12 @@ def test_percentile_ignores_nan(spark):
     assert out == {0: 0.0, 1: 2.0, 2: 3.0, 3: 0.0}
 
 
+def test_percentile_between_equal_values_is_that_value(spark):
+    """0.3 x 1601.24 + 0.7 x 1601.24 is more than 1601.24 in doubles."""
+    out = thresholds.percentile_threshold(values(spark, [1601.24] * 4), 90)
+    assert [r["value"] for r in out.collect()] == [1601.24] * 4
+
+
 def robust_plain(v, bins=1000):
     """The zooming limits, one value at a time."""
     v = np.asarray(v, float)
