@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,8 @@ LONG = 25
 MIN_WORDS = 1
 #: Rows of links or of found documents (some 60 bytes each), and deleted lines (4 bytes each), that may be sent to every task.
 BROADCAST_ROWS, BROADCAST_ITEMS = 500_000, 2_000_000
-#: Pairs of equal lines without an anchor that are searched for the longest common run; beyond that the lines that are
-#: equal are paired by occurrence first.
+#: Pairs of equal lines without an anchor that are listed to find the longest common run; beyond that rows of bits give
+#: the same run.
 MAX_MATCHES = 1_000_000
 _TWO = np.uint64(0xD1342543DE82EF95)  # of a run's first line
 
@@ -110,14 +112,54 @@ def longest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         for i, x in enumerate(lines):
             held.setdefault(x, []).append(i)
     both = [x for x in in_a if x in in_b]
-    if sum(len(in_a[x]) * len(in_b[x]) for x in both) <= MAX_MATCHES:
-        pairs = [(i, j) for x in both for i in in_a[x] for j in in_b[x]]
-    else:
-        pairs = [p for x in both for p in zip(in_a[x], in_b[x], strict=False)]
+    if sum(len(in_a[x]) * len(in_b[x]) for x in both) > MAX_MATCHES:
+        return _longest_by_bits(a, b, in_a, in_b)
+    pairs = [(i, j) for x in both for i in in_a[x] for j in in_b[x]]
     pairs.sort(key=lambda p: (p[0], -p[1]))  # falling, so that a line is taken once
     return [pairs[i] for i in rising([j for _, j in pairs])]
 
 
+def _longest_by_bits(a: list[int], b: list[int], in_a: dict[int, list[int]], in_b: dict[int, list[int]]) -> list[tuple[int, int]]:
+    """The run that the piles of all pairs give, in n m / 64 steps and without a list of pairs.
+
+    After each line of ``a``, a row of bits holds the tops of the piles: the places of ``b`` where the longest run with
+    the lines so far grows. One row in ``step`` is kept; on the way back those between are worked out again.
+    """
+    own = [i for i, x in enumerate(a) if x in in_b]
+    every = (1 << len(b)) - 1
+
+    @lru_cache(64)
+    def equal(x: int) -> int:
+        bits = np.zeros(len(b), np.uint8)
+        bits[in_b[x]] = 1
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    def after(tops: int, i: int) -> int:
+        free, match = every ^ tops, equal(a[i])
+        return every ^ (((free + (free & match)) | (free & ~match)) & every)
+
+    step = isqrt(len(own)) + 1
+    kept, tops = [], 0
+    for k, i in enumerate(own):
+        if k % step == 0:
+            kept.append(tops)
+        tops = after(tops, i)
+    out: list[tuple[int, int]] = []
+    k, block, rows = len(own), -1, []
+    while tops:
+        j = tops.bit_length() - 1
+        held = in_a[b[j]]
+        i = held[bisect_left(held, own[k] if k < len(own) else len(a)) - 1]  # the last before the line of the next pair
+        out.append((i, j))
+        k = bisect_left(own, i)
+        if k // step != block:
+            block, rows = k // step, [kept[k // step]]
+            for x in own[block * step : k]:
+                rows.append(after(rows[-1], x))
+        tops = rows[k % step] & ((1 << j) - 1)
+    return out[::-1]
+
+
 def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Patience alignment of two lists of lines: pairs of places with equal lines, rising on both sides."""
     out, todo = [], [(0, len(a), 0, len(b))]

@@ -713,6 +713,20 @@ def test_line_order_matters():
     assert lines.longest(list("xyxy"), list("yxyx"))[0][0] < 2 and len(lines.longest(list("xyxy"), list("yxyx"))) == 3
 
 
+@pytest.mark.parametrize("kinds", [1, 2, 5, 20])
+def test_alignment_by_bits_is_that_of_all_pairs(monkeypatch, kinds):
+    rng = random.Random(kinds)
+    cases = [[[rng.randrange(kinds + side) for _ in range(rng.randrange(60))] for side in (0, 1)] for _ in range(100)]
+    want = [lines.longest(a, b) for a, b in cases]
+    monkeypatch.setattr(lines, "MAX_MATCHES", -1)
+    assert [lines.longest(a, b) for a, b in cases] == want
+
+
+def test_alignment_of_many_equal_lines():
+    a = list("xy") * 1000
+    assert [i for i, _ in lines.longest(a, list("xxy") * 1000)] == list(range(len(a)))
+
+
 def test_alignment_recurses():
     """Lines that are single only between two anchors are anchors there."""
     a, b = list("pqAqpBpq"), list("qpAqpBqp")

@@ -74,6 +74,27 @@ def test_toxicity_stage_follows_the_scores(spark):
     assert {r["doc_id"] for r in P.toxicity(spark, df, DATA).collect()} == {k for k, s in scores.items() if s < 0.5}
 
 
+def test_toxicity_stage_learns_from_all_labels(spark, tmp_path):
+    """400,000 more labels, of keys that no document has, change nothing."""
+    from cohortlake.llm import toxicity
+
+    df, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    labels = labels.select("doc_id", "toxic")
+    more = labels.unionByName(spark.range(10**9, 10**9 + 400_000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic"))
+    few, many = toxicity.fit(df, labels), toxicity.fit(df, more)
+    assert (few.scores == many.scores).all()
+    assert [few.rate, few.scale, few.slope, few.offset] == [many.rate, many.scale, many.slope, many.offset]
+    more.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = lambda sf: sorted(r["doc_id"] for r in P.toxicity(spark, df, str(sf)).select("doc_id").collect())
+    assert kept(tmp_path) == kept(DATA)
+
+
+def test_line_dedup_stage_aligns_long_repetitions(spark):
+    """All 2,000 lines of the later text stand in the earlier one in order: 3,000,000 pairs of equal lines."""
+    df = docs(spark, [(0, "\n".join(["this", "this", "that"] * 1000)), (1, "\n".join(["this", "that"] * 1000))], lang="en", source="s").selectExpr("*", "cast(length(text) as long) n_chars")
+    assert {r["doc_id"]: r["n_chars"] for r in P.line_dedup(spark, df, DATA).collect()} == {0: df.filter("doc_id = 0").first()["n_chars"], 1: 0}
+
+
 def test_whole_run(spark):
     out = P.run(spark, DATA)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 100
